@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmark.llm import decontaminate, mixing, quality_rules
+from gridmark.llm import decontaminate, mixing, quality_rules, similar, token_ids
 from gridmark.llm.common import read, staged
 
 
@@ -12,6 +13,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.kept_documents(docs, read(spark, sf_dir, "labels"))
 
 
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return similar.distinct_documents(docs)
+
+
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.clean_documents(docs, read(spark, sf_dir, "benchmark"))
 
@@ -20,7 +25,17 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality rules", quality_stage), ("benchmark decontamination", benchmark_stage), ("mixing sources", mixing_stage)]
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_ids.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), end=2)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("n-gram Jaccard join", near_copy_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("mixing sources", mixing_stage),
+    ("token ids", token_stage),
+]
 
 #: Learned rules, MinHash and hashed rounding have no SQL form: tests hold each stage against a brute-force version.
 ORACLE_SQL = None

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import gridmark
+
 #: The six ASCII white-space characters that separate words, and the same as a regular expression.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -79,3 +83,19 @@ def n_matching(text: Column, char_class: str) -> Column:
 def fingerprint(text: Column) -> Column:
     """64 bits of a text, null as null-safe as any other value, to tell rows apart that share an id."""
     return F.xxhash64(text, text.isNull())
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that Python functions find their modules there."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(gridmark.__file__).resolve().parent
+        to = Path(tempfile.mkdtemp(prefix="gridmark-")) / "gridmark.zip"
+        with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(to))
+        _shipped.add(sc.applicationId)

@@ -99,24 +99,28 @@ def near_matches(index: DataFrame, first: str, second: str, slop: int) -> DataFr
     return a.join(b, near).select("doc_id", "th", "first_pos", "second_pos").distinct()
 
 
-def marked(docs: DataFrame, items: DataFrame, k: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+def marked(docs: DataFrame, items: DataFrame, k: int = WINDOW) -> DataFrame:
     """One row for each document with n_words, n_hit, n_items, items_sha256, contaminated and ``spans``.
 
-    ``spans``: the hit word ranges (start, end) of the document.  ``carry``: columns of ``docs`` to keep beside doc_id.
+    ``spans``: the hit word ranges (start, end) of the document.
     """
+    return hits(docs.select("doc_id", "text"), candidates(docs, items, k)).select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
+
+
+def candidates(docs: DataFrame, items: DataFrame, k: int = WINDOW) -> DataFrame:
+    """(doc_id, th, found) for the documents in which all anchors of some window lie on one diagonal."""
     wanted = staged(item_table(items), "items")
     counts = staged(term_counts(docs, wanted), "term-counts")
     windows = staged(item_windows(wanted, counts, k), "item-windows")
     index = staged(postings(docs, anchors(windows)), "postings")
     lists = phrase_matches(index, windows).join(hinted(windows.select("ik", "item_id", "item", "width"), MOST_BROADCAST_ROWS // 50), "ik")
-    found = lists.groupBy("doc_id", "th").agg(F.collect_list(F.struct("item_id", "item", "width", "shift", "starts")).alias("found"))
-    return hits(docs, found, carry)
+    return lists.groupBy("doc_id", "th").agg(F.collect_list(F.struct("item_id", "item", "width", "shift", "starts")).alias("found"))
 
 
-def hits(docs: DataFrame, found: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Compares the candidates' windows with the documents' words; see ``marked``."""
-    d = docs.select(F.struct("doc_id", *carry).alias("row"), "text", F.col("doc_id").alias("id"), fingerprint(F.col("text")).alias("h"))
-    rows = d.join(found, d["id"].eqNullSafe(found["doc_id"]) & (d["h"] == found["th"]), "left").select("row", folded_words(F.col("text")).alias("w"), "found")
+def hits(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Compares the candidates' windows with the documents' words; ``row`` holds the document's own columns."""
+    d = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), fingerprint(F.col("text")).alias("h"))
+    rows = d.join(found, d["id"].eqNullSafe(found["doc_id"]) & (d["h"] == found["th"]), "left").select("row", folded_words(F.col("row.text")).alias("w"), "found")
 
     def verified(w: Column, d: Column) -> Column:
         same = F.filter(d["starts"], lambda s: (d["shift"] + s >= 0) & (F.slice(w, F.greatest(d["shift"] + s, F.lit(0)) + 1, d["width"]) == F.slice(d["item"], s + 1, d["width"])))
@@ -134,10 +138,9 @@ def hits(docs: DataFrame, found: DataFrame, carry: tuple[str, ...] = ()) -> Data
     ids = F.array_compact(F.array_sort(F.array_distinct(F.transform("true", lambda m: m["item_id"]))))
     rows = rows.select("row", "n_words", F.coalesce(spans, F.array().cast("array<struct<start:int,end:int>>")).alias("spans"), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"))
     n_hit = joined(F.col("spans")).cast("long")
-    return rows.select("row.*", "n_words", n_hit.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans")
+    return rows.select("row", "n_words", n_hit.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, k: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that contain no window of an item, with all their columns."""
-    flat = docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "text")
-    return marked(flat, items, k, carry=("whole",)).where(~F.col("contaminated")).select("whole.*")
+    return hits(docs, candidates(docs, items, k)).where(~F.col("contaminated")).select("row.*")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmark.llm import decontaminate, mixing, quality_rules
+from gridmark.llm import decontaminate, mixing, quality_rules, similar, token_ids
 from gridmark.llm.common import read
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -20,5 +25,9 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.marked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_mix_sources, op5_decontaminate)}
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_shingles")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_ids, op3_quality_rules, op4_mix_sources, op5_decontaminate, op6_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
