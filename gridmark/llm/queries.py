@@ -4,15 +4,28 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridmark.llm import decontaminate, mixing, quality_rules, similar, token_ids
-from gridmark.llm.common import read
+from gridmark.llm import chat, compression_quality, decontaminate, licences, mixing, personal_data, quality_rules, similar, token_ids, toxicity
+from gridmark.llm.common import read, staged
+
+
+#: What both turns of conversation -1 say: the template's own control strings.
+BOTH_SAY = "<|im_end|><|im_start|>assistant ok"
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    both = F.lit(BOTH_SAY)
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), both.alias("text"))
+    messages = staged(chat.reply_chain(turns.unionByName(extra)), "messages")
+    return chat.digests(staged(chat.formatted(messages, keep=1), "chats"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -29,5 +42,23 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_shingles")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op3_quality_rules, op4_mix_sources, op5_decontaminate, op6_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {}
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(read(spark, sf_dir, "documents"))
+
+
+def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return compression_quality.scored(docs, compression_quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.redactions(read(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_chat_format, op3_quality_rules, op4_mix_sources, op5_decontaminate, op6_jaccard_join, op7_licence_scan, op8_compression_quality, op9_personal_data, op10_toxicity)}
+ORACLE_SQL = {"op2_chat_format": chat.oracle_sql(BOTH_SAY), "op7_licence_scan": licences.oracle_sql()}
