@@ -96,7 +96,7 @@ def features(docs: DataFrame, stems: frozenset[str]) -> DataFrame:
     return docs.mapInPandas(run, ", ".join([f"{n} {t}" for n, t in docs.dtypes if n != "text"] + [f"{f} double" for f in FEATURES]))
 
 
-def learned_stems(rows: DataFrame, *, most: int = 500, least_odds: float = 20.0, least_docs: int = 4) -> frozenset[str]:
+def learned_stems(rows: DataFrame, *, most: int = 3000, least_odds: float = 20.0, least_docs: int = 4) -> frozenset[str]:
     """Word beginnings that texts with y = 1 use ``least_odds`` times as often as others; ``rows``: (y, text)."""
     ship(rows.sparkSession)
 
