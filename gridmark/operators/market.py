@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +44,7 @@ def _word(data: Column, n: int) -> Column:
 
 def _amount(word: Column) -> Column:
     """A word's low 96 bits as a decimal, from three groups of eight hex digits; amounts of tokens with six decimals never need more."""
-    groups = [F.conv(F.substring(word, WORD - 8 * (i + 1) + 1, 8), 16, 10).cast("decimal(10,0)") * F.lit(16 ** (8 * i)).cast("decimal(20,0)") for i in range(3)]
+    groups = [F.conv(F.substring(word, WORD - 8 * (i + 1) + 1, 8), 16, 10).cast("decimal(10,0)") * F.lit(Decimal(16 ** (8 * i))) for i in range(3)]
     return groups[0] + groups[1] + groups[2]
 
 

@@ -17,10 +17,18 @@ MOST_SAMPLES = 5
 REPORT = "match_id string, table string, rule string, n_bad long, sample string"
 
 
-def rules(df: DataFrame, table: str, key: str, bad: dict[str, Column], sample: Column | None = None) -> DataFrame:
-    """One row for each rule of ``bad`` that holds on some row of a match."""
-    sums = [F.struct(F.lit(name).alias("rule"), F.count_if(F.coalesce(c, F.lit(False))).alias("n_bad"), F.array_join(F.slice(F.array_sort(F.collect_set(F.when(F.coalesce(c, F.lit(False)), (sample if sample is not None else F.lit(None)).cast("string")))), 1, MOST_SAMPLES), ",").alias("sample")) for name, c in bad.items()]
-    return df.groupBy(F.col(key).cast("string").alias("match_id")).agg(F.array(*sums).alias("r")).select("match_id", F.lit(table).alias("table"), F.explode("r").alias("r")).select("match_id", "table", "r.rule", "r.n_bad", "r.sample").where("n_bad > 0")
+def rules(df: DataFrame, table: str, key: str, bad: dict[str, Column | tuple[Column, Column]], sample: Column | None = None) -> DataFrame:
+    """One row for each rule of ``bad`` that holds on some row of a match, all counted in one aggregation.
+
+    ``sample``: what to show of such rows; a rule may bring its own, as (condition, sample).
+    """
+    sums = []
+    for name, rule in bad.items():
+        holds, shown = rule if isinstance(rule, tuple) else (rule, F.lit(None) if sample is None else sample)
+        holds = F.coalesce(holds, F.lit(False))
+        sums.append(F.struct(F.lit(name).alias("rule"), F.count_if(holds).alias("n_bad"), F.array_join(F.slice(F.array_sort(F.collect_set(F.when(holds, shown.cast("string")))), 1, MOST_SAMPLES), ",").alias("sample")))
+    by = df.groupBy(F.col(key).cast("string").alias("match_id")).agg(F.array(*sums).alias("r"))
+    return by.select("match_id", F.lit(table).alias("table"), F.explode("r").alias("r")).select("match_id", "table", "r.rule", "r.n_bad", "r.sample").where("n_bad > 0")
 
 
 def column_errors(df: DataFrame, table: str) -> list[str]:
@@ -36,21 +44,19 @@ def column_errors(df: DataFrame, table: str) -> list[str]:
 
 
 def column_rules(df: DataFrame, table: str) -> DataFrame:
-    """NaN, nulls in non-null columns, values outside a domain, lists of wrong length."""
-    out = []
+    """NaN, nulls in non-null columns, values outside a domain, lists of wrong length: one pass over the table."""
+    bad: dict[str, Column | tuple[Column, Column]] = {}
     for c in schema.TABLES[table]:
-        v, bad = F.col(c.name), {}
+        v = F.col(c.name)
         if c.kind == "float":
             bad[f"{c.name}: NaN"] = F.isnan(v)
         if not c.nullable:
             bad[f"{c.name}: null"] = v.isNull()
         if c.values:
-            bad[f"{c.name}: outside its domain"] = ~v.isin(*c.values)
+            bad[f"{c.name}: outside its domain"] = (~v.isin(*c.values), v)
         if c.kind == "list_float":
             bad[f"{c.name}: not 8 values"] = F.size(v) != 8
-        if bad:
-            out.append(rules(df, table, "match_id", bad, v if c.kind != "list_float" else None))
-    return reduce(DataFrame.unionByName, out)
+    return rules(df, table, "match_id", bad)
 
 
 def repeated(df: DataFrame, table: str, keys: list[str], rule: str) -> DataFrame:
