@@ -93,7 +93,7 @@ def _fold(members: Column, seed: int) -> Column:
 def decisions(sized: DataFrame, goals: DataFrame, *, seed: int = 17, fan: int = 96) -> DataFrame:
     """(doc_id, source, th, copies) for each different document with words, of staged ``sizes`` and ``targets``."""
     units = sized.where(F.col("size") > 0).groupBy(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "th").agg(F.sum("size").alias("size"))
-    g = hinted(goals.select(F.col("source").alias("of"), "n_docs", (F.col("target") / F.col("source_size")).alias("each")), MOST_BROADCAST_ROWS)
+    g = hinted(goals.select(F.col("source").alias("of"), "n_docs", F.try_divide("target", F.col("source_size").cast("double")).alias("each")), MOST_BROADCAST_ROWS)
     units = units.join(g, units["source"].eqNullSafe(g["of"]))
     base = F.floor("each").cast("bigint")
     h = F.xxhash64(F.lit(seed), "doc_id", "source", "th")
