@@ -112,6 +112,53 @@ def lead_features(frames: DataFrame) -> DataFrame:
     return rows.withColumns(own).drop("_turn", "_run", "_right", "_left", *ends)
 
 
+def lead_player_features(frames: DataFrame, objects: DataFrame) -> DataFrame:
+    """Lines and numbers near the box of both teams at both ends, their changes over 3 and 5 seconds, picked by the row's own team and end."""
+    p = objects.where("object_type IN ('player', 'goalkeeper') AND visible AND x IS NOT NULL AND team IS NOT NULL")
+    sums = []
+    for team in ("home", "away"):
+        for end, e in (("right", 1.0), ("left", -1.0)):
+            own, x = F.col("team") == team, F.col("x") * e
+            sums += [F.count_if(own & G.near_box(x, F.col("y"))).alias(f"near_{team}_{end}"), F.max(F.when(own & (F.col("object_type") == "player"), x)).alias(f"line_{team}_{end}")]
+    made = p.groupBy(*ROW).agg(*sums)
+    rows = frames.join(made, ROW, "left")
+    w = Window.partitionBy(*SERIES).orderBy("k")
+
+    def pick(name: str, attacking: bool, back: int = 0) -> Column:
+        """A column of the team (or the other one) at the end that the row's team attacks, ``back`` ticks ago."""
+        case = None
+        for team in ("home", "away"):
+            for end, turned in (("right", False), ("left", True)):
+                whose = team if attacking else {"home": "away", "away": "home"}[team]
+                value = F.col(f"{name}_{whose}_{end}")
+                value = F.lag(value, back).over(w) if back else value
+                holds = (F.col("possession_team") == team) & (F.col("flipped") == F.lit(turned))
+                case = F.when(holds, value) if case is None else case.when(holds, value)
+        return case
+
+    out = {"near_attackers": pick("near", True), "near_defenders": pick("near", False), "attack_line": pick("line", True), "defence_line": pick("line", False)}
+    for seconds in (3, 5):
+        out |= {f"near_attackers_change_{seconds}s": out["near_attackers"] - pick("near", True, seconds * TICKS), f"defence_line_change_{seconds}s": out["defence_line"] - pick("line", False, seconds * TICKS)}
+    out["line_gap"] = out["attack_line"] - out["defence_line"]
+    return rows.withColumns(out).select(*frames.columns, *out)
+
+
+def heading(frames: DataFrame, objects: DataFrame) -> DataFrame:
+    """Per tick with a ball of known velocity (bvx, bvy): each team's nearest distance to where the ball will be in 0.3 and 0.5 seconds, and the
+    angle between its velocity and the nearest player."""
+    p = objects.where("object_type IN ('player', 'goalkeeper') AND visible AND x IS NOT NULL AND team IS NOT NULL").select(*ROW, "team", "x", "y", "object_id")
+    j = p.join(frames.where("bx IS NOT NULL").select(*ROW, "bx", "by", "bvx", "bvy"), ROW)
+    out = []
+    for team in ("home", "away"):
+        for ahead in (0.3, 0.5):
+            d = F.hypot(F.col("x") - F.col("bx") - ahead * F.col("bvx"), F.col("y") - F.col("by") - ahead * F.col("bvy"))
+            out.append(F.min(F.when(F.col("team") == team, d)).alias(f"{team}_ahead_{int(ahead * 10)}"))
+    dx, dy = F.col("x") - F.col("bx"), F.col("y") - F.col("by")
+    cosine = F.try_divide(dx * F.col("bvx") + dy * F.col("bvy"), F.hypot(dx, dy) * F.hypot("bvx", "bvy"))
+    out.append(F.min_by(F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0))), F.struct(F.hypot(dx, dy), F.col("object_id"))).alias("angle_to_nearest"))
+    return frames.join(j.groupBy(*ROW).agg(*out), ROW, "left")
+
+
 def match_features(frames: DataFrame, objects: DataFrame) -> DataFrame:
     """All bundles on one grid, for every match at once."""
     rows = held_ball(gridded(frames), objects)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridmark.functions import geometry as G
 from gridmark.functions import scalars, timing
-from gridmark.operators import market, tables, validate, windows
+from gridmark.operators import market, reviews, tables, validate, windows
 from gridmark.plans.registry import HOUR, KEYS, bound, query, table
 
 
@@ -179,3 +179,19 @@ def false_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bound(spark, sf_dir)
     near = windows.trailing(F.count_if(F.col("event_type") == "purchase"), KEYS, "ts_us", 3 * HOUR, 3 * HOUR)
     return b.withColumn("near", near).where("event_type != 'purchase' AND p > 0.1 AND near = 0").select("event_id")
+
+
+@query("""WITH {BOUND}, a AS (SELECT match_id, team AS truth, CASE WHEN event_type <> 'view' THEN CASE WHEN x > 0 THEN 'home' ELSE 'away' END END AS inferred, event_type <> 'error' AS alive FROM b)
+SELECT match_id, count(*) AS n, count_if(inferred IS NOT DISTINCT FROM truth) AS agree, count_if(alive) AS n_alive, count_if(alive AND inferred IS NOT DISTINCT FROM truth) AS agree_alive, count_if(inferred IS NULL) AS unknown, round(count_if(inferred IS NOT DISTINCT FROM truth) / count(*), 6) AS share FROM a GROUP BY ROLLUP (match_id)""")
+def agreement_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far a guess by the half of the pitch agrees with the team, by match and pooled."""
+    b = bound(spark, sf_dir).withColumn("inferred", F.when(F.col("event_type") != "view", F.when(F.col("x") > 0, "home").otherwise("away")))
+    return reviews.agreement(b, ["match_id"], "team", "inferred", F.col("event_type") != "error").drop("share_alive").withColumn("share", F.round("share", 6))
+
+
+@query("""WITH {BOUND}, s AS (SELECT match_id, event_id, ts_us / 3600000000.0 AS h, p FROM b), t AS (SELECT match_id, event_id AS other, CAST(round(h) AS BIGINT) AS k FROM s WHERE p > 0.1)
+SELECT s.event_id, t.other FROM s JOIN t ON s.match_id = t.match_id AND CAST(round(s.h + 2) AS BIGINT) = t.k""")
+def shifted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows joined to those of the tick two hours later in the same match."""
+    s = bound(spark, sf_dir).select("match_id", "event_id", (F.col("ts_us") / 3600000000.0).alias("h"), "p")
+    return reviews.shifted_join(s, s.where("p > 0.1"), ["match_id"], "h", "h", 2, 1, {"event_id": "other"}).select("event_id", "other")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridmark import schema
 from gridmark.functions import geometry, scalars, timing
-from gridmark.operators import asof, augment, features, labels, machines, market, metrics, models, sequential, tables, validate, windows
+from gridmark.operators import asof, augment, features, labels, machines, market, metrics, models, reviews, sequential, tables, validate, windows
 from gridmark.sources import sinks, tracking
 from gridmark.streaming import stateful
 
@@ -236,6 +236,35 @@ def test_feature_values(spark):
     assert [w is None for w in features.graph_windows(nodes).where("k = 7").first()["window"]] == [True] * 4 + [False] * 2
 
 
+def test_lead_players_and_heading(spark):
+    frames, objects = scene(spark)
+    rows = {r["k"]: r for r in features.lead_player_features(features.gridded(frames), objects).collect()}
+    assert rows[70]["defence_line"] == pytest.approx(-28.0 - 3) and rows[30]["attack_line"] == pytest.approx(12.0 + 9) and rows[30]["near_attackers"] == 0
+    assert rows[35]["defence_line_change_3s"] == pytest.approx(12.0) and rows[10]["defence_line_change_3s"] is None
+    ball = features.held_ball(features.gridded(frames), objects).withColumns({"bvx": F.lit(5.0), "bvy": F.lit(0.0)})
+    r = features.heading(ball, objects).where("k = 0").first()
+    assert r["home_ahead_3"] == pytest.approx(min(math.hypot(3 * i - 1.5, 2 * i - 5) for i in range(4))) and 0 <= r["angle_to_nearest"] <= math.pi
+
+
+def test_reviews(spark):
+    step = S // 10
+    ball = spark.createDataFrame([("m", i * step, x, 0.0) for i, x in enumerate((0.0, 0.1, 0.2, 1.7, 3.2, 4.7))], "g string, t long, x double, y double")
+    assert values(reviews.kicks(ball, ["g"], "t"), "t") == [(2 * step,)]
+    rows = spark.createDataFrame([("m", i, f, "home", t) for i, (f, t) in enumerate((("home", "home"), ("away", "home"), ("away", "away"), ("away", "away")))], "g string, t long, fast string, slow string, truth string")
+    assert values(reviews.triggers(rows, ["g"], "t", "fast", "slow", "truth", 2), "t", "right") == [(1, True)]
+    labels = spark.createDataFrame([("c", 1, True), ("c", 2, True), ("c", 3, False), ("d", 1, True)], "clip string, f int, automatic boolean")
+    checks = spark.createDataFrame([("c", 1, True), ("d", 1, False)], "clip string, f int, changed boolean")
+    assert values(reviews.withdrawn(labels, checks, "clip", "f"), "clip", "f") == [("c", 1), ("c", 3), ("d", 1)]
+    points = spark.createDataFrame([("m", i * step, float(i), 0.0) for i in (0, 3, 6)], "g string, t long, dx double, dy double")
+    assert values(reviews.drift(points, ["g"], "t"), "t", "bias_x") == [(0, 4.5), (3 * step, 3.0), (6 * step, 1.5)]
+    found = spark.createDataFrame([(1, 0.0, 0.0, 0.9), (1, 50.0, 0.0, 0.2), (2, 90.0, 0.0, 0.9)], "f int, x double, y double, confidence double")
+    at = spark.createDataFrame([(1, 1.0, 0.0), (2, 0.0, 0.0), (3, 0.0, 0.0)], "f int, x double, y double")
+    assert values(reviews.decided(at, found, ["f"], 5, 40), "f", "decision") == [(1, "positive"), (2, "missed"), (3, "missed")]
+    marks = spark.createDataFrame([("m", 0, 10, "a", 1), ("m", 5, 20, "b", 2)], "g string, start long, end long, label string, ordinal int")
+    pts = spark.createDataFrame([("m", 1), ("m", 7), ("m", 20)], "g string, t long")
+    assert values(reviews.marked_at(pts, marks, ["g"], "t", 10), "t", "label") == [(1, "a"), (20, None), (7, "b")]
+
+
 def test_mirror_twice_is_identity(spark):
     df = spark.createDataFrame([(1.0, 2.0, 5.0, -3.0)], "x double, home_d double, away_d double, diff double")
     m = lambda d: features.mirrored(d, ["x"], [("home_d", "away_d")], {"diff": ("home_d", "away_d")})
