@@ -22,9 +22,11 @@ id comes first; an empty table writes no block.  A text of any length is one doc
 from __future__ import annotations
 
 import functools
+import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +43,10 @@ COUNTS = np.array([60 // int(w) for w in WIDTHS])
 ESCAPE = 0
 BLOCK_IDS = 1 << 16
 SCHEMA = "part int, block int, ids_before long, n_ids int, doc_ids array<long>, doc_ends array<long>, words binary, escapes binary"
-#: Cached pieces of a text: at about 200 bytes each, 80 MB in a Python worker.
-MOST_PIECES, LONGEST_PIECE = 400_000, 48
+#: Pieces of texts and words that a Python worker remembers: at most twice as many, at about 200 bytes each, 150 MB.
+MOST_PIECES, MOST_WORDS, LONGEST_PIECE = 80_000, 300_000, 48
+#: Signs after a word that the tokenizer always cuts off; an apostrophe may start a contraction.
+TAIL = ".,;:!?%$&*#"
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,33 +105,95 @@ def unpack(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-class Pieces(dict):
-    """Ids of the pieces between blanks and line feeds, as little-endian 32-bit bytes.
+class Recent(dict):
+    """A mapping that keeps between ``most`` and twice as many entries: those used since the last turn, and those of the turn before."""
 
-    The tokenizer turns all white space into separators that no token spans, so a text's ids are those of its pieces in order.
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = value = self.old[key]
+        return value
+
+    def knows(self, key: str) -> bool:
+        return key in self or key in self.old
+
+
+class Pieces:
+    """Ids of texts, as little-endian 32-bit bytes.
+
+    A vocabulary whose tokenizer drops white space and marks ends of words has the ids of a text's pieces (between blanks and line feeds) in
+    order.  It also cuts between letters and ``TAIL`` signs, and lower-cases, so that a word is encoded once however it is written and
+    whatever follows it; new words are encoded as one text and cut at the ids that end a word.  Other vocabularies encode whole texts.
     """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.pieces, self.words, self.tails = Tokenizer.from_file(path), Recent(MOST_PIECES), Recent(MOST_WORDS), {"": b""}
+        kind = json.loads(self.tokenizer.to_str())
+        suffix = kind["model"].get("end_of_word_suffix")
+        steps = (kind["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.by_piece = bool(suffix) and any(s.get("behavior") == "Removed" and s.get("invert") and r"[^\s\p{L}\p{N}]+" in s["pattern"].get("Regex", "") for s in steps)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if self.by_piece:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encoded_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters only."""
+        flat = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * np.flatnonzero(self.ends[flat]) + 4).tolist()
+        if len(cuts) != len(words):
+            return self.encoded(words)
+        raw = flat.tobytes()
+        return [raw[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
 
     def ids(self, texts: list[str | None], end: int) -> list[bytes]:
-        if len(self) > MOST_PIECES:
-            self.clear()
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(self)) if split else []
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[piece] = np.array(e.ids, "<u4").tobytes()
         last = end.to_bytes(4, "little")
-        out = [b"".join(map(self.__getitem__, s)) + last for s in split]
-        for piece in new:
+        if not self.by_piece:
+            return [x + last for x in self.encoded([t or "" for t in texts])]
+        pieces, words, tails = self.pieces, self.words, self.tails
+        pieces.turn()
+        words.turn()
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        cut, whole, new = [], [], set()
+        for piece in set().union(*split).difference(pieces):
+            if piece in pieces.old:
+                continue
+            core = piece.rstrip(TAIL)
+            tail = piece[len(core) :]
+            if core.isalpha() and len(piece) <= LONGEST_PIECE:
+                word = core.lower() if core.isascii() else core
+                cut.append((piece, word, tail))
+                if not words.knows(word):
+                    new.add(word)
+                if tail not in tails:
+                    tails[tail] = self.encoded([tail])[0]
+            else:
+                whole.append(piece)
+        fresh = list(new)
+        for i in range(0, len(fresh), 5000):
+            words.update(zip(fresh[i : i + 5000], self.encoded_words(fresh[i : i + 5000]), strict=True))
+        for piece, word, tail in cut:
+            pieces[piece] = words[word] + tails[tail] if tail else words[word]
+        for i in range(0, len(whole), 5000):
+            pieces.update(zip(whole[i : i + 5000], self.encoded(whole[i : i + 5000]), strict=True))
+        out = [b"".join(map(pieces.__getitem__, s)) + last for s in split]
+        for piece in whole:
             if len(piece) > LONGEST_PIECE:
-                del self[piece]
+                pieces.pop(piece, None)
+        if len(tails) > 10_000:
+            self.tails = {"": b""}
         return out
 
 
@@ -151,8 +217,8 @@ def encode(docs: DataFrame, vocabulary: str, end: int, path: str) -> None:
 
         for batch in batches:
             out = []
-            for at in range(0, len(batch), 256):
-                rows = batch.iloc[at : at + 256]
+            for at in range(0, len(batch), 128):
+                rows = batch.iloc[at : at + 128]
                 for name, own in zip(rows["doc_id"].tolist(), pieces(vocabulary).ids(rows["text"].tolist(), end), strict=True):
                     ids.append(own)
                     names.append(None if pd.isna(name) else int(name))
@@ -203,8 +269,8 @@ def digests(blocks: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for b in batch.itertuples():
-                yield pd.DataFrame([(n, s, len(i), zlib.crc32(i.astype("<u4").tobytes())) for n, s, i in _each(b)], columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+            out = [(n, s, len(i), zlib.crc32(i.astype("<u4").tobytes())) for b in batch.itertuples() for n, s, i in _each(b)]
+            yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     return blocks.mapInPandas(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
