@@ -74,8 +74,8 @@ def paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
     on = leaves.select("conv_id", F.col("msg_id").alias("leaf"), F.col("msg_id").alias("node"), F.lit(0).cast("long").alias("back"))
     for k in range(len(ups) - 1, -1, -1):
         up = ups[k].select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "up")
-        on = on.union(on.join(up, on["conv_id"].eqNullSafe(up["c"]) & (on["node"] == up["n"])).select("conv_id", "leaf", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back")))
-    on = staged(on, "paths")
+        further = on.join(up, on["conv_id"].eqNullSafe(up["c"]) & (on["node"] == up["n"])).select("conv_id", "leaf", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back"))
+        on = staged(on.union(further), "paths")  # else each step would hold the plan of the one before twice
     s = messages.select(F.col("conv_id").alias("c"), F.col("msg_id").alias("m"), F.coalesce("score", F.lit(0.0)).alias("score"))
     scored = on.join(s, on["conv_id"].eqNullSafe(s["c"]) & (on["node"] == s["m"])).groupBy("conv_id", "leaf").agg(F.sum("score").alias("total"))
     ranked = scored.select(F.col("conv_id").alias("c"), F.col("leaf").alias("l"), F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("total").desc(), "leaf")).alias("place"))
