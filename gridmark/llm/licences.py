@@ -1,12 +1,14 @@
 """Licence scans by sentences: known licence sentences become identifiers, and rules match their order.
 
-A text is cut into sentences at line feeds and after ``. ! ? ; :`` before white space; a sentence is normalised to lower-case ASCII words.
-``SENTENCES`` gives the identifier of each known one; the table is fixed, so it is always small enough to broadcast.  The
-recognised identifiers of a document, in order, are matched against ``RULES`` from the first to the last; a rule takes what it
-matches, so that a longer rule hides the shorter ones in it.
+A text is cut after ``. ! ? ; :`` before white space and at blank lines, lines with nothing but comment signs included; words are normalised to
+lower-case ASCII.  A sentence begins and ends at a line or a cut and may run over any number of lines, so wrapped licence texts and comment
+headers are recognised as well as notices of one line.  ``SENTENCES`` (notices) and ``FULL_SENTENCES`` (the sentences of licence texts)
+give the identifier of each known one; of known ones that begin together the longest counts.  The recognised identifiers of a document, in
+order, are matched against ``RULES`` and ``FULL_RULES`` from the first to the last; a rule takes what it matches, so that a longer rule hides
+the shorter ones in it.
 
-Defined cases: null and empty texts have no sentence; rows with the same id and the same text count once each but share the result; documents
-with no known sentence have an empty list.
+Defined cases: null and empty texts have no sentence; each row is scanned by itself, so rows with the same id keep their own results; documents
+with no known sentence have an empty list.  The colon of an SPDX tag is no cut.  The SQL form covers ``SENTENCES`` on one line each, as the given tables have them.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridmark.llm.common import fingerprint
+from gridmark.llm.common import let
 
 # Well-known sentences of public licences, normalised, and their identifiers.
 SENTENCES = {
@@ -50,6 +52,22 @@ SENTENCES = {
     "spdx license identifier bsd 3 clause": "bsd3-tag",
     "all rights reserved": "reserved",
 }
+# Whole sentences of licence texts, of which some entries above are only the beginning.  ``*`` stands for the name of a holder, up to 12 words.
+FULL_SENTENCES = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-keep",
+    "the asf licenses this file to you under the apache license version 2 0 the license": "apache-notice",
+    "apache license version 2 0 january 2004": "apache-title",
+    "apache license version 2 0 january 2004 http www apache org licenses": "apache-title",
+    "apache license version 2 0 january 2004 https www apache org licenses": "apache-title",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache-copy",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-copy",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-as-is",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gnu-terms-v3-later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gnu-terms-v2-later",
+    "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
+    "neither the name of * nor the names of other contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
+}
 # The rules in order, as (licence, kind, identifiers that follow one another).
 RULES = [
     ("GPL-3.0-or-later", "copyleft", ("gnu-free", "gnu-terms", "gnu-v3-later")),
@@ -70,13 +88,40 @@ RULES = [
     ("BSD-2-Clause", "permissive", ("bsd-grant",)),
     ("BSD-3-Clause", "permissive", ("bsd3-tag",)),
 ]
+# Further rules, for identifiers of whole texts; they follow those above.
+FULL_RULES = [
+    ("GPL-3.0-or-later", "copyleft", ("gnu-free", "gnu-terms-v3-later")),
+    ("GPL-2.0-or-later", "copyleft", ("gnu-free", "gnu-terms-v2-later")),
+    ("GPL-3.0-or-later", "copyleft", ("gnu-terms-v3-later",)),
+    ("GPL-2.0-or-later", "copyleft", ("gnu-terms-v2-later",)),
+    ("GPL-3.0-or-later", "copyleft", ("gnu-terms", "gnu-v3-later")),
+    ("GPL-2.0-or-later", "copyleft", ("gnu-terms", "gnu-v2-later")),
+    ("Apache-2.0", "permissive", ("apache-title",)),
+]
 KINDS = ("noncommercial", "copyleft", "permissive")
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text, empty ones included, so that their places count."""
-    cut = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?;:])[ \t\r\n]+", "$1\n"), "\n")
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+def _pattern() -> str:
+    """A regular expression of all known sentences in normalised lines, the longest first; within a sentence one line may end for each space."""
+
+    def one(sentence: str) -> str:
+        return r"(?:\s+[a-z0-9]+){1,12}?\s+".join(part.strip().replace(" ", r"[ \n]") for part in sentence.split("*"))
+
+    return "(?md)^(?:" + "|".join(one(s) for s in sorted({**SENTENCES, **FULL_SENTENCES}, key=len, reverse=True)) + ")$"
+
+
+def normalised(text: Column) -> Column:
+    """The lines of a text as lower-case ASCII words, with an empty line for each cut."""
+    cut = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<!(?i:spdx-license-identifier))([.!?;:])[ \t\r\n]+", "$1\n\n")
+    return F.regexp_replace(F.regexp_replace(F.lower(cut), r"[^a-z0-9\n]+", " "), r" ?\n ?", "\n")
+
+
+def recognised(text: Column) -> Column:
+    """The identifiers of the known sentences of a text, in order."""
+    holder = r"^(neither the name of) .* (nor the names of)"
+    known = F.create_map(*[F.lit(x) for pair in {**SENTENCES, **FULL_SENTENCES}.items() for x in pair])
+    plain = F.transform(F.regexp_extract_all(F.btrim(normalised(text), F.lit(" ")), F.lit(_pattern()), F.lit(0)), lambda s: F.regexp_replace(s, r"\s+", " "))
+    return let(known, lambda ids: F.transform(plain, lambda s: F.coalesce(F.try_element_at(ids, s), F.try_element_at(ids, F.regexp_replace(s, holder, "$1 * $2")))))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -85,25 +130,19 @@ def scanned(docs: DataFrame) -> DataFrame:
     ``licences``: the names found, sorted, each once.  ``kind``: the strictest of them, ``none`` without any.
     ``sentences``: the identifiers recognised, in order.
     """
-    spark = docs.sparkSession
-    known = F.broadcast(spark.createDataFrame(list(SENTENCES.items()), "sentence string, sid string"))
-    rows = docs.select("doc_id", fingerprint(F.col("text")).alias("th"), F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
-    found = rows.join(known, "sentence").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("pos", "sid"))).alias("seen"))
-    left, took = F.concat(F.lit(" "), F.array_join(F.transform("seen", lambda s: s["sid"]), "  "), F.lit(" ")), []
-    found = found.select("doc_id", "th", F.size("seen").cast("long").alias("n_known"), F.transform("seen", lambda s: s["sid"]).alias("sids"), left.alias("left"))
-    for name, kind, sids in RULES:
+    rules = RULES + FULL_RULES
+    left, took = F.concat(F.lit(" "), F.array_join("sids", "  "), F.lit(" ")), []
+    found = docs.select("doc_id", recognised(F.col("text")).alias("sids")).withColumn("left", left)
+    for name, kind, sids in rules:
         part = F.lit(" " + "  ".join(sids) + " ")
         took.append(F.when(F.contains("left", part), F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"))))
         found = found.withColumns({"left": F.replace("left", part, F.lit(" | ")), f"took{len(took)}": took[-1]})
-    all_took = F.array_compact(F.array(*[F.col(f"took{i + 1}") for i in range(len(RULES))]))
-    found = found.select(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th"), "n_known", "sids", all_took.alias("took"))
-    d = docs.select("doc_id", fingerprint(F.col("text")).alias("th"))
-    rows = d.join(found, d["doc_id"].eqNullSafe(found["f_id"]) & (d["th"] == found["f_th"]), "left")
+    rows = found.withColumn("took", F.array_compact(F.array(*[F.col(f"took{i + 1}") for i in range(len(rules))])))
     kinds = F.transform("took", lambda t: t["kind"])
     kind = F.lit("none")
     for k in reversed(KINDS):
         kind = F.when(F.array_contains(kinds, k), F.lit(k)).otherwise(kind)
-    return rows.select("doc_id", F.coalesce("n_known", F.lit(0)).cast("long").alias("n_known"), F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform("took", lambda t: t["name"]))), ","), F.lit("")).alias("licences"), kind.alias("kind"), F.coalesce(F.array_join("sids", ","), F.lit("")).alias("sentences"))
+    return rows.select("doc_id", F.size("sids").cast("long").alias("n_known"), F.array_join(F.array_sort(F.array_distinct(F.transform("took", lambda t: t["name"]))), ",").alias("licences"), kind.alias("kind"), F.array_join("sids", ",").alias("sentences"))
 
 
 def oracle_sql() -> str:

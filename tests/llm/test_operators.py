@@ -255,6 +255,74 @@ def test_licences(spark, small):
     assert (got[9]["licences"], got[9]["kind"]) == ("CC-BY-NC-4.0,MIT", "noncommercial") and got[10]["licences"] == "GPL-3.0-or-later" and got[4]["n_known"] == 0 and len(got) == 11
 
 
+MIT_TEXT = """The MIT License (MIT)
+
+Copyright (c) 2020 A. Holder
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+"""
+BSD_TEXT = """Copyright (c) 2020, A Holder. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE_TEXT = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+GPL_TEXT = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+
+
+def test_licence_texts_as_they_are_wrapped(spark):
+    gpl2 = GPL_TEXT.replace("Foundation, either version 3", "Foundation; either version 2")
+    plain = [MIT_TEXT, BSD_TEXT, APACHE_TEXT, GPL_TEXT, gpl2, BSD_TEXT[: BSD_TEXT.index("3. ")], BSD_TEXT.replace("the copyright holder", "Google Inc.")]
+    want = ["MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0-or-later", "GPL-2.0-or-later", "BSD-2-Clause", "BSD-3-Clause"]
+    ids = ["mit-title,mit-grant,mit-keep", "reserved,bsd-grant,bsd-names", "apache-notice,apache-comply,apache-copy,apache-as-is", "gnu-free,gnu-terms-v3-later", "gnu-free,gnu-terms,gnu-v2-later", "reserved,bsd-grant", "reserved,bsd-grant,bsd-names"]
+    forms = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: "".join(f" * {x}\n" for x in t.split("\n")), lambda t: "".join(f"# {x}\n" for x in t.split("\n")), lambda t: "Some prose before\n\n" + t + "\nand after"]
+    texts = [f(t) for f in forms for t in plain]
+    got = by_id(licences.scanned(frame(spark, texts)))
+    assert [(got[i]["licences"], got[i]["sentences"], got[i]["n_known"]) for i in range(len(texts))] == [(w, s, len(s.split(","))) for w, s in zip(want, ids, strict=True)] * len(forms)
+    one = ["// SPDX-License-Identifier: MIT\nint x;", "Released under the MIT License\nand more\nLicensed under CC BY 4.0", "Permission is hereby granted\n\nfree of charge", None, "/* SPDX-License-Identifier:\tGPL-3.0-only */"]
+    got = by_id(licences.scanned(frame(spark, one)))
+    assert [got[i]["licences"] for i in range(5)] == ["MIT", "CC-BY-4.0,MIT", "", "", "GPL-3.0-only"]
+
+
 # 9
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(reversed(d))) % 10 == 0
