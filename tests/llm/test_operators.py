@@ -363,6 +363,20 @@ def test_personal_data_adds_likely_spans(spark):
     assert all(got[i]["n_card"] == 0 and "card:5:24" in got[i]["spans"] for i in range(150, 155))
 
 
+def proposed(spark, texts, kind):
+    """The wide candidates (start, end) of a kind for each text."""
+    out = {i: [] for i in range(len(texts))}
+    for r in personal_data.candidates(personal_data.found(frame(spark, texts))).where(F.col("kind") == personal_data.KINDS.index(kind)).collect():
+        out[r["doc_id"]].append((r["start"], r["end"]))
+    return [sorted(v) for v in out.values()]
+
+
+def test_addresses_without_an_at_sign_are_proposed(spark):
+    texts = ["john [at] example.com", "john(at)example.com", "john at example.com", "john [at] example [dot] com", "john at example dot com"]
+    got = proposed(spark, texts + [t + " | @" for t in texts], "email")
+    assert got == [[(0, len(t))] for t in texts] * 2
+
+
 # 8 and 10
 @pytest.mark.parametrize(("name", "target", "least"), [("op8_compression_quality", "quality", 0.9), ("op10_toxicity", "toxic", 0.75)])
 def test_classifiers_on_held_out_labels(spark, name, target, least):
