@@ -377,6 +377,14 @@ def test_addresses_without_an_at_sign_are_proposed(spark):
     assert got == [[(0, len(t))] for t in texts] * 2
 
 
+def test_compressed_addresses_are_proposed(spark):
+    whole = ["2001:db8::1", "fe80::1", "2001:db8:85a3::8a2e:370:7334", "::1", "fe80::", "2001:db8::ff00:42:8329", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "dead:beef:cafe:babe:dead:beef:cafe:babe", "::ffff:192.0.2.1", "dead::beef"]
+    none = ["std::vector", "a std::be::x", "::", "x = y::z", ":::"]
+    assert proposed(spark, whole, "ip") == [[(0, len(t))] for t in whole]
+    assert proposed(spark, [f"🙂 at [{t}]: up" for t in whole] + [f"by {t}: up" for t in whole], "ip") == [[(6, 6 + len(t))] for t in whole] + [[(3, 3 + len(t))] for t in whole]
+    assert proposed(spark, none, "ip") == [[]] * len(none)
+
+
 # 8 and 10
 @pytest.mark.parametrize(("name", "target", "least"), [("op8_compression_quality", "quality", 0.9), ("op10_toxicity", "toxic", 0.75)])
 def test_classifiers_on_held_out_labels(spark, name, target, least):
