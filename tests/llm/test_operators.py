@@ -385,6 +385,31 @@ def test_compressed_addresses_are_proposed(spark):
     assert proposed(spark, none, "ip") == [[]] * len(none)
 
 
+def test_spans_in_longer_runs_are_proposed(spark):
+    one, two = "4111.1111.1111.1111 12/25", "4111.1111.1111.1111 5500.0000.0000.0004"
+    got = proposed(spark, [one, two, "🙂 " + two, "4" * 25], "card")
+    assert (0, 19) in got[0] and {(0, 19), (20, 39)} <= set(got[1]) and {(2, 21), (22, 41)} <= set(got[2]) and got[3] == [(0, n) for n in range(12, 20)]
+    for start, text in ((0, one), (0, two), (20, two)):
+        ends = [start + m.start() + 1 for m in re.finditer("[0-9]", text[start:])][11:19]
+        assert {(start, e) for e in ends} == {x for x in got[0 if text == one else 1] if x[0] == start}
+    got = proposed(spark, ["ip 10.0.0.1 555-123-4567", "call (555) 123-4567 24/7", "+49 30 1234567", "0049 30 1234567 8", "1" * 30], "phone")
+    assert (12, 24) in got[0] and (5, 19) in got[1] and got[2] == [(0, 14), (4, 14), (7, 14)] and {(0, 15), (0, 17)} <= set(got[3]) and got[4] == [(0, 16)]
+    assert proposed(spark, ["7.10.0.0.1", "10 . 0.0.1"], "ip") == [[(0, 8), (2, 10)], [(0, 10)]]
+
+
+def test_cards_in_longer_runs_are_added(spark):
+    r = np.random.default_rng(5)
+
+    def card(sep):
+        d = "4" + "".join(map(str, r.integers(0, 10, 14)))
+        d += next(c for c in "0123456789" if luhn(d + c))
+        return sep.join(d[i : i + 4] for i in range(0, 16, 4))
+
+    texts = [f"card {card(' ')} or {card('-')} then {r.integers(10**15, 10**16)}" for _ in range(150)] + [f"card {card('.')} 12/25" for _ in range(5)] + [f"card {card('.')} {card('.')}" for _ in range(5)]
+    got = by_id(personal_data.redactions(frame(spark, texts)))
+    assert all("card:5:24" in got[i]["spans"] for i in range(150, 160)) and all("card:25:44" in got[i]["spans"] for i in range(155, 160))
+
+
 # 8 and 10
 @pytest.mark.parametrize(("name", "target", "least"), [("op8_compression_quality", "quality", 0.9), ("op10_toxicity", "toxic", 0.75)])
 def test_classifiers_on_held_out_labels(spark, name, target, least):
