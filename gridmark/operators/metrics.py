@@ -1,6 +1,7 @@
 """Metrics of scores and alarms, calibration, folds and comparisons.
 
-Scores are grouped by equal value first; running sums then go over distinct scores, by ranges of the score in parallel where they are many.
+Scores are grouped by equal value first; running sums then go over the distinct scores of a group in one window, so without a group all distinct
+scores pass through one task.  The quantile edges of ``calibration`` likewise keep all distinct scores in one buffer.
 """
 
 from __future__ import annotations
