@@ -31,6 +31,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,8 +45,11 @@ COUNTS = np.array([60 // int(w) for w in WIDTHS])
 ESCAPE = 0
 BLOCK_IDS = 1 << 16
 SCHEMA = "part int, block int, ids_before long, n_ids int, doc_ids array<long>, doc_ends array<long>, words binary, escapes binary"
-#: Pieces of texts and words that a Python worker remembers: at most twice as many, at about 200 bytes each, 150 MB.
-MOST_PIECES, MOST_WORDS, LONGEST_PIECE = 80_000, 300_000, 48
+ARROW_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int64())), ("words", pa.binary()), ("escapes", pa.binary())])
+#: Words that a Python worker remembers before it starts anew, at about 150 bytes each 90 MB; longer pieces count as no words.
+MOST_WORDS, LONGEST_PIECE = 600_000, 48
+#: Bytes of text that are encoded together.
+BATCH_BYTES = 8 << 20
 #: Signs after a word that the tokenizer always cuts off; an apostrophe may start a contraction.
 TAIL = ".,;:!?%$&*#"
 
@@ -105,96 +110,129 @@ def unpack(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-class Recent(dict):
-    """A mapping that keeps between ``most`` and twice as many entries: those used since the last turn, and those of the turn before."""
-
-    def __init__(self, most: int) -> None:
-        super().__init__()
-        self.most, self.old = most, {}
-
-    def turn(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
-
-    def __missing__(self, key: str) -> bytes:
-        self[key] = value = self.old[key]
-        return value
-
-    def knows(self, key: str) -> bool:
-        return key in self or key in self.old
-
-
 class Pieces:
-    """Ids of texts, as little-endian 32-bit bytes.
+    """Ids of texts.
 
     A vocabulary whose tokenizer drops white space and marks ends of words has the ids of a text's pieces (between blanks and line feeds) in
-    order.  It also cuts between letters and ``TAIL`` signs, and lower-cases, so that a word is encoded once however it is written and
-    whatever follows it; new words are encoded as one text and cut at the ids that end a word.  Other vocabularies encode whole texts.
+    order.  Arrow finds the different pieces of a batch, so that Python sees each of them once.  A piece of letters with ``TAIL`` signs after it is cut
+    there, and its letters lower-cased, so that a word is encoded once however it is written and whatever follows it; new words are encoded as
+    one text and cut at the ids that end a word.  Other vocabularies encode whole texts.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.pieces, self.words, self.tails = Tokenizer.from_file(path), Recent(MOST_PIECES), Recent(MOST_WORDS), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
         kind = json.loads(self.tokenizer.to_str())
         suffix = kind["model"].get("end_of_word_suffix")
         steps = (kind["pre_tokenizer"] or {}).get("pretokenizers", [])
         self.by_piece = bool(suffix) and any(s.get("behavior") == "Removed" and s.get("invert") and r"[^\s\p{L}\p{N}]+" in s["pattern"].get("Regex", "") for s in steps)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.word_ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if self.by_piece:
-            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
-
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encoded_words(self, words: list[str]) -> list[bytes]:
-        """The ids of words of letters only."""
-        flat = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = (4 * np.flatnonzero(self.ends[flat]) + 4).tolist()
-        if len(cuts) != len(words):
-            return self.encoded(words)
-        raw = flat.tobytes()
-        return [raw[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
-
-    def ids(self, texts: list[str | None], end: int) -> list[bytes]:
-        last = end.to_bytes(4, "little")
-        if not self.by_piece:
-            return [x + last for x in self.encoded([t or "" for t in texts])]
-        pieces, words, tails = self.pieces, self.words, self.tails
-        pieces.turn()
-        words.turn()
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        cut, whole, new = [], [], set()
-        for piece in set().union(*split).difference(pieces):
-            if piece in pieces.old:
-                continue
-            core = piece.rstrip(TAIL)
-            tail = piece[len(core) :]
-            if core.isalpha() and len(piece) <= LONGEST_PIECE:
-                word = core.lower() if core.isascii() else core
-                cut.append((piece, word, tail))
-                if not words.knows(word):
-                    new.add(word)
-                if tail not in tails:
-                    tails[tail] = self.encoded([tail])[0]
+            self.word_ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memory of words: ``place`` of a word, where its ids begin in ``flat``, and how many they are.  Place 0 is the empty word."""
+        self.place, self.flat, self.ends = {"": 0}, array("I"), array("q", [0])
+
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def remember(self, words: list[str], whole: list[str]) -> None:
+        """Adds ids: of words that are letters only, many as one text, and of other pieces, each as a text."""
+        for i in range(0, len(words), 5000):
+            part = words[i : i + 5000]
+            ids = self.encoded([" ".join(part)])[0]
+            cuts = np.flatnonzero(self.word_ends[np.array(ids, np.int64)]) + 1
+            if len(cuts) == len(part):
+                self.place.update(zip(part, range(len(self.ends), len(self.ends) + len(part)), strict=True))
+                self.ends.frombytes((cuts + len(self.flat)).astype(np.int64).tobytes())
+                self.flat.extend(ids)
             else:
-                whole.append(piece)
-        fresh = list(new)
-        for i in range(0, len(fresh), 5000):
-            words.update(zip(fresh[i : i + 5000], self.encoded_words(fresh[i : i + 5000]), strict=True))
-        for piece, word, tail in cut:
-            pieces[piece] = words[word] + tails[tail] if tail else words[word]
-        for i in range(0, len(whole), 5000):
-            pieces.update(zip(whole[i : i + 5000], self.encoded(whole[i : i + 5000]), strict=True))
-        out = [b"".join(map(pieces.__getitem__, s)) + last for s in split]
-        for piece in whole:
-            if len(piece) > LONGEST_PIECE:
-                pieces.pop(piece, None)
-        if len(tails) > 10_000:
-            self.tails = {"": b""}
-        return out
+                whole = whole + part
+        for i in range(0, len(whole), 1000):
+            for word, ids in zip(whole[i : i + 1000], self.encoded(whole[i : i + 1000]), strict=True):
+                self.place[word] = len(self.ends)
+                self.flat.extend(ids)
+                self.ends.append(len(self.flat))
+
+    def places(self, words: pa.Array, of_letters: np.ndarray) -> np.ndarray:
+        """The places of different words; those that aren't known are encoded first."""
+        names = words.to_pylist()
+        known = self.place
+        new = [i for i, w in enumerate(names) if w not in known]
+        if new:
+            self.remember([names[i] for i in new if of_letters[i]], [names[i] for i in new if not of_letters[i]])
+        return np.fromiter(map(known.__getitem__, names), np.int64, len(names))
+
+    def ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by ``end``, and where each text's ids stop."""
+        if not self.by_piece:
+            each = self.encoded(["" if t is None else t for t in texts.to_pylist()])
+            stops = np.cumsum([len(x) + 1 for x in each], dtype=np.int64)
+            return np.fromiter((i for x in each for i in (*x, end)), np.uint32, int(stops[-1]) if len(stops) else 0), stops
+        if len(self.place) > MOST_WORDS or len(self.flat) > 16 * MOST_WORDS:
+            self.forget()
+        bounds, data = _bytes(texts)
+        begins = (data == 32) | (data == 10)  # a piece begins with the white space before it
+        begins[bounds[bounds < len(data)]] = True
+        cuts = np.append(np.flatnonzero(begins), len(data))
+        pieces = pa.Array.from_buffers(pa.string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode() if len(cuts) > 1 else pa.array([], pa.string()).dictionary_encode()
+        own = pc.ascii_ltrim(pieces.dictionary, characters=" \n")
+        core = pc.utf8_rtrim(own, characters=TAIL)
+        letters = pc.and_(pc.utf8_is_alpha(core), pc.less_equal(pc.binary_length(own), LONGEST_PIECE))
+        ascii_letters = pc.and_(letters, pc.string_is_ascii(core))
+        word = pc.if_else(ascii_letters, pc.ascii_lower(core), pc.if_else(letters, core, own)).dictionary_encode()
+        of_letters = np.zeros(len(word.dictionary), bool)
+        number = word.indices.to_numpy(zero_copy_only=False)
+        is_letters = letters.to_numpy(zero_copy_only=False).astype(bool)
+        of_letters[number[is_letters]] = True
+        head = self.places(word.dictionary, of_letters)[number]
+        tail_size = np.where(is_letters, pc.binary_length(own).to_numpy(zero_copy_only=False) - pc.binary_length(core).to_numpy(zero_copy_only=False), 0)
+        tailed = np.flatnonzero(tail_size)
+        tails = pa.array([s[len(s) - n :] for s, n in zip(own.take(pa.array(tailed)).to_pylist(), tail_size[tailed].tolist(), strict=True)], pa.string()).dictionary_encode()
+        tail = np.zeros(len(own), np.int64)
+        tail[tailed] = self.places(tails.dictionary, np.zeros(len(tails.dictionary), bool))[tails.indices.to_numpy(zero_copy_only=False)]
+        ends = np.frombuffer(self.ends, np.int64)
+        flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.empty(0, np.uint32)
+        kinds, kind_ends = _gathered(flat, np.concatenate([[0], ends])[np.stack([head, tail], 1).ravel()], ends[np.stack([head, tail], 1).ravel()])
+        kind_ends = kind_ends[1::2]
+        kind_starts = np.concatenate([[0], kind_ends])[:-1]
+        order = pieces.indices.to_numpy(zero_copy_only=False)
+        sizes = (kind_ends - kind_starts)[order]
+        before = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(cuts, bounds)]
+        stops = before[1:] + np.arange(1, len(bounds))
+        out = np.full(int(before[-1]) + len(stops), end, np.uint32)
+        text_of = np.ones(len(out), bool)
+        text_of[stops - 1] = False
+        out[text_of] = _gathered(kinds, kind_starts[order], kind_ends[order])[0]
+        del flat, ends  # else the memory couldn't grow
+        return out, stops
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where the texts begin and the last ends, and the bytes of all; a null is empty."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.empty(0, np.uint8)
+    return at - at[0], data[at[0] : at[-1]]
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices from each start to its end one after the other, and where each ends."""
+    sizes = ends - starts
+    stops = np.cumsum(sizes)
+    n = int(stops[-1]) if len(stops) else 0
+    at = np.ones(n, np.int32)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        first = (stops - sizes)[some]
+        at[first] = starts[some]
+        at[first[1:]] -= ends[some[:-1]].astype(np.int32) - 1
+        np.cumsum(at, out=at)
+    return flat[at], stops
 
 
 @functools.cache
@@ -203,37 +241,53 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``BATCH_BYTES`` of text, or of one longer text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > at and total + n > BATCH_BYTES:
+            yield batch.slice(at, i - at)
+            at, total = i, 0
+        total += n
+    if at < len(sizes):
+        yield batch.slice(at)
+
+
 def encode(docs: DataFrame, vocabulary: str, end: int, path: str) -> None:
     """Writes the ids of the texts of ``docs`` (doc_id, text) to ``path`` in ascending doc_id order."""
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, before = TaskContext.get().partitionId(), 0, 0
-        ids, names, held = [], [], 0
+        ids: list[np.ndarray] = []
+        names: list[int | None] = []
+        ends: list[int] = []
 
-        def closed() -> dict:
-            flat = np.frombuffer(b"".join(ids), "<u4")
+        def closed() -> pa.RecordBatch:
+            flat = np.concatenate(ids)
             words, escapes = pack(flat)
-            return {"part": part, "block": block, "ids_before": before, "n_ids": len(flat), "doc_ids": names, "doc_ends": np.cumsum([len(x) // 4 for x in ids]), "words": words.astype("<u8").tobytes(), "escapes": escapes.astype("<u8").tobytes()}
+            row = {"part": part, "block": block, "ids_before": before, "n_ids": len(flat), "doc_ids": names, "doc_ends": ends, "words": words.astype("<u8").tobytes(), "escapes": escapes.astype("<u8").tobytes()}
+            return pa.RecordBatch.from_pylist([row], ARROW_SCHEMA)
 
         for batch in batches:
-            out = []
-            for at in range(0, len(batch), 128):
-                rows = batch.iloc[at : at + 128]
-                for name, own in zip(rows["doc_id"].tolist(), pieces(vocabulary).ids(rows["text"].tolist(), end), strict=True):
-                    ids.append(own)
-                    names.append(None if pd.isna(name) else int(name))
-                    held += len(own) // 4
-                    if held >= BLOCK_IDS:
-                        out.append(closed())
-                        block, before, ids, names, held = block + 1, before + held, [], [], 0
-            if out:
-                yield pd.DataFrame(out)
+            for rows in _parts(batch):
+                flat, stops = pieces(vocabulary).ids(rows.column("text"), end)
+                begin = 0
+                for name, stop in zip(rows.column("doc_id").to_pylist(), stops.tolist(), strict=True):
+                    ids.append(flat[begin:stop])
+                    names.append(name)
+                    ends.append((ends[-1] if ends else 0) + stop - begin)
+                    begin = stop
+                    if ends[-1] >= BLOCK_IDS:
+                        yield closed()
+                        block, before = block + 1, before + ends[-1]
+                        ids, names, ends = [], [], []
         if ids:
-            yield pd.DataFrame([closed()])
+            yield closed()
 
     ship(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInPandas(blocks, SCHEMA).write.option("compression", "zstd").parquet(path)
+    ordered = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    ordered.mapInArrow(blocks, SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def opened(spark: SparkSession, path: str) -> DataFrame:
