@@ -56,6 +56,19 @@ def hinted(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, most_rows) else df
 
 
+SALTS = 16
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """``left`` joined with a ``right`` that has at most one row a key; rows of ``left`` with one key are dealt to ``salts`` tasks by their column ``spread``.
+
+    Each row of ``right`` is written ``salts`` times, so it should be narrow.
+    """
+    a = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return a.join(b, [*keys, "_salt"], how).drop("_salt")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once for each row, however often ``body`` uses it.
 

@@ -37,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridmark.llm.arrow_text import as_bytes, gathered, parts, pieces
 from gridmark.llm.common import hinted, shared_dir, ship
 
 #: Selector k from 1 on: WIDTHS[k - 1] bits for each of COUNTS[k - 1] ids.
@@ -48,8 +49,6 @@ SCHEMA = "part int, block int, ids_before long, n_ids int, doc_ids array<long>,
 ARROW_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int64())), ("words", pa.binary()), ("escapes", pa.binary())])
 #: Words that a Python worker remembers before it starts anew, at about 150 bytes each 90 MB; longer pieces count as no words.
 MOST_WORDS, LONGEST_PIECE = 600_000, 48
-#: Bytes of text that are encoded together.
-BATCH_BYTES = 8 << 20
 #: Signs after a word that the tokenizer always cuts off; an apostrophe may start a contraction.
 TAIL = ".,;:!?%$&*#"
 
@@ -175,12 +174,9 @@ class Pieces:
             return np.fromiter((i for x in each for i in (*x, end)), np.uint32, int(stops[-1]) if len(stops) else 0), stops
         if len(self.place) > MOST_WORDS or len(self.flat) > 16 * MOST_WORDS:
             self.forget()
-        bounds, data = _bytes(texts)
-        begins = (data == 32) | (data == 10)  # a piece begins with the white space before it
-        begins[bounds[bounds < len(data)]] = True
-        cuts = np.append(np.flatnonzero(begins), len(data))
-        pieces = pa.Array.from_buffers(pa.string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode() if len(cuts) > 1 else pa.array([], pa.string()).dictionary_encode()
-        own = pc.ascii_ltrim(pieces.dictionary, characters=" \n")
+        bounds, data = as_bytes(texts)
+        cuts, found = pieces(bounds, data, (data == 32) | (data == 10))
+        own = pc.ascii_ltrim(found.dictionary, characters=" \n")
         core = pc.utf8_rtrim(own, characters=TAIL)
         letters = pc.and_(pc.utf8_is_alpha(core), pc.less_equal(pc.binary_length(own), LONGEST_PIECE))
         ascii_letters = pc.and_(letters, pc.string_is_ascii(core))
@@ -197,63 +193,27 @@ class Pieces:
         tail[tailed] = self.places(tails.dictionary, np.zeros(len(tails.dictionary), bool))[tails.indices.to_numpy(zero_copy_only=False)]
         ends = np.frombuffer(self.ends, np.int64)
         flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.empty(0, np.uint32)
-        kinds, kind_ends = _gathered(flat, np.concatenate([[0], ends])[np.stack([head, tail], 1).ravel()], ends[np.stack([head, tail], 1).ravel()])
+        kinds, kind_ends = gathered(flat, np.concatenate([[0], ends])[np.stack([head, tail], 1).ravel()], ends[np.stack([head, tail], 1).ravel()])
         kind_ends = kind_ends[1::2]
         kind_starts = np.concatenate([[0], kind_ends])[:-1]
-        order = pieces.indices.to_numpy(zero_copy_only=False)
+        order = found.indices.to_numpy(zero_copy_only=False)
         sizes = (kind_ends - kind_starts)[order]
         before = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(cuts, bounds)]
         stops = before[1:] + np.arange(1, len(bounds))
         out = np.full(int(before[-1]) + len(stops), end, np.uint32)
         text_of = np.ones(len(out), bool)
         text_of[stops - 1] = False
-        out[text_of] = _gathered(kinds, kind_starts[order], kind_ends[order])[0]
+        out[text_of] = gathered(kinds, kind_starts[order], kind_ends[order])[0]
         del flat, ends  # else the memory couldn't grow
         return out, stops
 
 
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Where the texts begin and the last ends, and the bytes of all; a null is empty."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.empty(0, np.uint8)
-    return at - at[0], data[at[0] : at[-1]]
-
-
-def _gathered(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The slices from each start to its end one after the other, and where each ends."""
-    sizes = ends - starts
-    stops = np.cumsum(sizes)
-    n = int(stops[-1]) if len(stops) else 0
-    at = np.ones(n, np.int32)
-    some = np.flatnonzero(sizes)
-    if len(some):
-        first = (stops - sizes)[some]
-        at[first] = starts[some]
-        at[first[1:]] -= ends[some[:-1]].astype(np.int32) - 1
-        np.cumsum(at, out=at)
-    return flat[at], stops
-
-
 @functools.cache
-def pieces(path: str) -> Pieces:
+def encoder(path: str) -> Pieces:
     """One for each Python worker: loading a vocabulary costs more than a task's texts."""
     return Pieces(path)
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``BATCH_BYTES`` of text, or of one longer text."""
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    at, total = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if i > at and total + n > BATCH_BYTES:
-            yield batch.slice(at, i - at)
-            at, total = i, 0
-        total += n
-    if at < len(sizes):
-        yield batch.slice(at)
-
-
 def encode(docs: DataFrame, vocabulary: str, end: int, path: str) -> None:
     """Writes the ids of the texts of ``docs`` (doc_id, text) to ``path`` in ascending doc_id order."""
 
@@ -270,8 +230,8 @@ def encode(docs: DataFrame, vocabulary: str, end: int, path: str) -> None:
             return pa.RecordBatch.from_pylist([row], ARROW_SCHEMA)
 
         for batch in batches:
-            for rows in _parts(batch):
-                flat, stops = pieces(vocabulary).ids(rows.column("text"), end)
+            for rows in parts(batch):
+                flat, stops = encoder(vocabulary).ids(rows.column("text"), end)
                 begin = 0
                 for name, stop in zip(rows.column("doc_id").to_pylist(), stops.tolist(), strict=True):
                     ids.append(flat[begin:stop])

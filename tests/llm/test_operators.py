@@ -4,11 +4,12 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
-from itertools import pairwise
+from itertools import combinations, pairwise
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -185,6 +186,50 @@ def test_similarity_join(spark, monkeypatch):
     assert similar.classes(docs.limit(0)).count() == 0
 
 
+def whole_table_links(path, k=5, threshold=0.8):
+    """Links and classes of a whole table by counting, for each pair of texts with a common shingle, how many they share."""
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{path}'").fetchall()
+    sets, lists = {}, defaultdict(list)
+    for i, t in rows:
+        w = WORDS.findall(t or "")
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+        for x in sets[i]:
+            lists[x].append(i)
+    both = Counter()
+    for own in lists.values():
+        if len(own) > 1:
+            both.update(combinations(sorted(own), 2))
+    n, root = dict.fromkeys(sets, 0), {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, b), c in both.items():
+        if c >= threshold * (len(sets[a]) + len(sets[b]) - c) - 1e-9:
+            n[a] += 1
+            n[b] += 1
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return n, {i: find(i) for i in sets}
+
+
+def test_similarity_join_finds_the_links_of_a_whole_table(spark):
+    want_n, want_class = whole_table_links("/root/testdata/sf0.01/documents.parquet")
+    got = by_id(queries.op6_jaccard_join(spark, "/root/testdata/sf0.01"))
+    assert sum(want_n.values()) > 100
+    assert sum(r["n_links"] for r in got.values()) >= 0.999 * sum(want_n.values())
+    assert {i: r["n_links"] for i, r in got.items()} == want_n
+    assert {i: r["class_id"] for i, r in got.items()} == want_class
+
+
+def test_buckets_inside_larger_ones_are_left_out(spark):
+    rows = [(1, 5, [10, 20]), (2, 5, [10, 20]), (3, 5, [10, 30]), (4, 5, [30, 40]), (5, 5, [50])]
+    got = similar.buckets(spark.createDataFrame(rows, "node long, n int, bands array<long>"))
+    assert sorted((r["bucket"], r["node"]) for r in got.collect()) == [(10, 1), (10, 2), (10, 3), (30, 3), (30, 4)]
+
+
 def test_intersections():
     r = np.random.default_rng(0)
     sets = [np.unique(r.integers(0, 60, 40).astype(np.uint64)) for _ in range(70)]
@@ -206,7 +251,7 @@ def test_token_ids(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     texts = [*ODD, "It's I'LL don't <|endoftext|>, x. İstanbul ΟΔΟΣ É́. ½² a1b2 ...", "x" * 300 + ". ok"]
     docs = frame(spark, texts)
-    tok, at = token_ids.pieces(path).tokenizer, 0
+    tok, at = token_ids.encoder(path).tokenizer, 0
     got = by_id(token_ids.round_trip(docs, path))
     for i, t in enumerate(texts):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
@@ -219,7 +264,7 @@ def test_token_ids(spark):
 
 def test_other_vocabularies_keep_their_spaces(spark):
     p = token_ids.Pieces(public_tokenizers.path("byte_bpe_50k.json"))
-    assert np.frombuffer(p.ids(["a  b\n c"], 7)[0], "<u4").tolist() == [*p.tokenizer.encode("a  b\n c", add_special_tokens=False).ids, 7]
+    assert p.ids(pa.array(["a  b\n c"]), 7)[0].tolist() == [*p.tokenizer.encode("a  b\n c", add_special_tokens=False).ids, 7]
 
 
 # 2
