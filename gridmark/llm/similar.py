@@ -35,7 +35,7 @@ from gridmark.llm.common import fingerprint, hinted, salted_join, ship, staged
 from gridmark.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
-BLOCK_SETS, BLOCK_SHINGLES = 1000, 1_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 500, 1_000_000
 #: Rows of ids up to which a side may be broadcast: at 8 to 300 bytes a row at most 60 MB.
 MOST_BROADCAST_ROWS = 200_000
 WHITE = " \t\n\x0b\x0c\r"
