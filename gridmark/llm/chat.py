@@ -1,16 +1,16 @@
 """Chat formatting of reply trees.
 
-A message names the one that it answers.  ``paths`` enumerates root-to-leaf paths by self-joins: ``lifts`` doubles the
-distance to an ancestor in each join, and the paths then take each ancestor from the widest distance to the narrowest, so
-log2(depth) joins reach every message of a path once.  Branches are ranked by the sum of their messages' scores, and ``formatted``
-writes each chosen path as one conversation.
+A message names the one that it answers.  ``lifts`` doubles the distance to an ancestor in each self-join and sums the scores on the way; branches are ranked
+by that sum for their leaf.  ``paths`` then enumerates the chosen root-to-leaf paths: it takes each ancestor from the widest distance to the
+narrowest, so log2(depth) joins reach every message of a path once.  ``formatted`` writes each chosen path as one conversation.
 
 The template is ``<|im_start|>role LF text <|im_end|> LF``.  Inside roles and texts every ``<``, backslashes, ``|`` gets one more
 backslash, so no control string of a text survives and ``unescaped`` takes exactly that one away.
 
 Defined cases: a null text or role is an empty one; rows of equal turn follow in the order of role and text, nulls first, and each is a
-message; a null conv_id is a conversation; a message whose parent is missing starts a path; messages on a cycle of answers have no root
-and belong to no path; no rows give no rows.  One conversation is one row, so it must fit in a task.
+message; a null conv_id is a conversation; a message whose parent is missing starts a path; messages on a cycle of answers, and those
+that answer them, have no root and belong to no path; of rows with the same conv_id and msg_id the least counts (``one_row_each``), and a null msg_id is a
+message that none can answer; columns other than those of ``TREE`` are not looked at; no rows give no rows.  One conversation is one row, so it must fit in a task.
 """
 
 from __future__ import annotations
@@ -49,38 +49,47 @@ def reply_chain(turns: DataFrame) -> DataFrame:
     return rows.select("conv_id", "msg_id", F.when(F.col("msg_id") > 1, F.col("msg_id") - 1).alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def one_row_each(messages: DataFrame) -> DataFrame:
+    """``messages`` with one row for each conv_id and msg_id: the least by parent, role, text and score, nulls first."""
+    rest = ("parent_id", "role", "text", "score")
+    return messages.groupBy("conv_id", "msg_id").agg(F.min(F.struct(*rest)).alias("m")).select("conv_id", "msg_id", *[F.col(f"m.{c}").alias(c) for c in rest]).select(*TREE)
+
+
 def lifts(messages: DataFrame) -> list[DataFrame]:
-    """For each k the table (conv_id, node, up, gain): the ancestor 2^k above a message, and the scores on the way to below it."""
-    m = messages.select("conv_id", "msg_id")
-    known = messages.select("conv_id", F.col("msg_id").alias("node"), F.col("parent_id").alias("up"), F.coalesce("score", F.lit(0.0)).alias("gain"))
-    p = m.select(F.col("conv_id").alias("c"), F.col("msg_id").alias("p"))
-    now = staged(known.join(p, known["conv_id"].eqNullSafe(p["c"]) & (known["up"] == p["p"])).select("conv_id", "node", "up", "gain"), "lift")
-    most, out = messages.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0, []
-    while not now.isEmpty() and 1 << len(out) <= most:
-        out.append(now)
+    """For each k the table (conv_id, node, up, gain) of all messages: the ancestor 2^k above, null where the path has ended, and the scores on the way to below it.
+
+    Each table joins the one before with itself.  In the last, ``gain`` is the score of a message's whole path, and only messages above or on a cycle still have an ancestor.
+    """
+    known = messages.select("conv_id", F.col("msg_id").alias("node"), F.col("parent_id").alias("p"), F.coalesce("score", F.lit(0.0)).alias("gain"))
+    m = messages.select(F.col("conv_id").alias("c"), F.col("msg_id").alias("up"))
+    now = staged(known.join(m, known["conv_id"].eqNullSafe(m["c"]) & (known["p"] == m["up"]), "left").select("conv_id", "node", "up", "gain"), "lift")
+    most, out = messages.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0, [now]
+    while 1 << len(out) - 1 < most and not now.where(F.col("up").isNotNull()).isEmpty():
         b = now.select(F.col("conv_id").alias("c"), F.col("node").alias("mid"), F.col("up").alias("far"), F.col("gain").alias("more"))
-        now = staged(now.join(b, now["conv_id"].eqNullSafe(b["c"]) & (now["up"] == b["mid"])).select("conv_id", "node", F.col("far").alias("up"), (F.col("gain") + F.col("more")).alias("gain")), "lift")
+        far = now.join(b, now["conv_id"].eqNullSafe(b["c"]) & (now["up"] == b["mid"]), "left")
+        now = staged(far.select("conv_id", "node", F.col("far").alias("up"), (F.col("gain") + F.coalesce("more", F.lit(0.0))).alias("gain")), "lift")
+        out.append(now)
     return out
 
 
 def paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
-    """(conv_id, leaf, place, node, back): the messages of each path, ``back`` steps above its leaf.
+    """(conv_id, leaf, place, node, back): the messages of each chosen path, ``back`` steps above its leaf.
 
-    ``place``: the path's rank in its conversation by score, then by leaf.  ``keep``: how many paths of each to take; None for all.
+    ``place``: the path's rank in its conversation by the sum of its scores, then by leaf.  ``keep``: how many paths of each to take; None for all.
+    Leaves are ranked by what ``lifts`` summed up for them, and only chosen paths are enumerated.  ``messages``: one row each.
     """
     ups = lifts(messages)
     parents = messages.where(F.col("parent_id").isNotNull()).select(F.col("conv_id").alias("c"), F.col("parent_id").alias("p")).distinct()
-    leaves = messages.join(parents, messages["conv_id"].eqNullSafe(parents["c"]) & (messages["msg_id"] == parents["p"]), "left_anti")
-    on = leaves.select("conv_id", F.col("msg_id").alias("leaf"), F.col("msg_id").alias("node"), F.lit(0).cast("long").alias("back"))
+    rooted = ups[-1].where(F.col("up").isNull())
+    leaves = rooted.join(parents, rooted["conv_id"].eqNullSafe(parents["c"]) & (rooted["node"] == parents["p"]), "left_anti")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("gain").desc(), "node"))
+    chosen = leaves.select("conv_id", F.col("node").alias("leaf"), place.alias("place"), "node", F.lit(0).cast("long").alias("back"))
+    on = chosen if keep is None else chosen.where(F.col("place") <= keep)
     for k in range(len(ups) - 1, -1, -1):
-        up = ups[k].select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "up")
-        further = on.join(up, on["conv_id"].eqNullSafe(up["c"]) & (on["node"] == up["n"])).select("conv_id", "leaf", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back"))
+        up = ups[k].where(F.col("up").isNotNull()).select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "up")
+        further = on.join(up, on["conv_id"].eqNullSafe(up["c"]) & (on["node"] == up["n"])).select("conv_id", "leaf", "place", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back"))
         on = staged(on.union(further), "paths")  # else each step would hold the plan of the one before twice
-    s = messages.select(F.col("conv_id").alias("c"), F.col("msg_id").alias("m"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    scored = on.join(s, on["conv_id"].eqNullSafe(s["c"]) & (on["node"] == s["m"])).groupBy("conv_id", "leaf").agg(F.sum("score").alias("total"))
-    ranked = scored.select(F.col("conv_id").alias("c"), F.col("leaf").alias("l"), F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("total").desc(), "leaf")).alias("place"))
-    chosen = ranked if keep is None else ranked.where(F.col("place") <= keep)
-    return on.join(chosen, on["conv_id"].eqNullSafe(chosen["c"]) & (on["leaf"] == chosen["l"])).select("conv_id", "leaf", "place", "node", "back")
+    return on
 
 
 def formatted(messages: DataFrame, keep: int | None = None, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -88,6 +97,7 @@ def formatted(messages: DataFrame, keep: int | None = None, learn: tuple[str, ..
 
     ``loss``: the ranges (start, end) of code points that carry loss, the escaped texts of roles in ``learn``.
     """
+    messages = staged(one_row_each(messages), "messages")
     on = paths(messages, keep)
     m = messages.select(F.col("conv_id").alias("c"), F.col("msg_id").alias("m"), F.coalesce("role", F.lit("")).alias("role"), escaped(F.col("text")).alias("body"))
     rows = on.join(m, on["conv_id"].eqNullSafe(m["c"]) & (on["node"] == m["m"]))

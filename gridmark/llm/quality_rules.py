@@ -2,8 +2,9 @@
 
 ``text_measures`` counts natively inside the row, so a text is read once and never shuffled.  ``learn`` is
 sequential covering: it grows a conjunction of thresholds by FOIL gain on two thirds of the labelled rows, prunes
-it on the other third, removes the rows that it covers, and goes on.  Each step sees only a histogram that Spark
-counts over all labelled rows: its size is (measures x bins x classes), whatever the size of the corpus.
+it on the other third, removes the rows that it covers, and goes on.  Labelled rows alone are measured for that, and stored as one row for each different vector of bins
+(at most one for each labelled row); the driver sees only histograms of (measures x bins x classes), whatever the size of the corpus.  All documents are
+then measured and judged in one pass that stores nothing.
 
 Defined cases: a null text counts as an empty one (no words, ``base_failed``); a null or repeated doc_id is judged
 row by row; without usable labels of both classes the list is empty, and only the base rules reject.
@@ -199,28 +200,27 @@ def _pruned(rows: DataFrame, left: Column, rule: list[Condition]) -> list[Condit
     return rule[: worth.index(max(worth)) + 1]
 
 
-def labelled_measures(measured: DataFrame, labels: DataFrame, into: str = "measures") -> DataFrame:
-    """The measures of the labelled rows, for ``learn``; a doc_id with several labels counts with the lowest."""
+def labelled_measures(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The measures of the labelled rows, for ``learn``; a doc_id with several labels counts with the lowest.  Texts without a label are not measured."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
-    return measured.select("doc_id", f"{into}.tested.*").join(known, "doc_id").select(F.col("doc_id").alias("row"), "bad", *MEASURES)
+    return text_measures(docs.select("doc_id", "text").join(known, "doc_id")).select(F.col("doc_id").alias("row"), "bad", "measures.tested.*").select("row", "bad", *MEASURES)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each document: its id, the base counts, ``base_failed``, ``rule`` and ``kept``."""
-    measured = staged(text_measures(docs.select("doc_id", "text")).select("doc_id", "measures"), "measures")
-    rules = learn(labelled_measures(measured, labels))
+    rules = learn(staged(labelled_measures(docs, labels), "labelled-measures"))
     m = F.col("measures")
     rule = F.when(~m["base_failed"], rules.rule_of(m["tested"]))
     kept = ~m["base_failed"] & rules.verdict(m["tested"])
+    measured = text_measures(docs.select("doc_id", "text"))
     return measured.select("doc_id", *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], kept.alias("kept"), rule.alias("rule"))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that base rules and learned rules keep, with all their columns and no others."""
-    name = "measures"
-    while name in docs.columns:
-        name += "_"
-    measured = staged(text_measures(docs, into=name), "measured-documents")
-    rules = learn(labelled_measures(measured, labels, name))
-    m = F.col(name)
-    return measured.where(~m["base_failed"] & rules.verdict(m["tested"])).select(*docs.columns)
+    rules = learn(staged(labelled_measures(docs, labels), "labelled-measures"))
+    m = F.col("measures")
+    measured = text_measures(docs.select(F.struct(*docs.columns).alias("row"), "text"))
+    # a filter would be pushed below the measures and compute them again for each rule; an exploded array is not
+    kept = F.explode(F.when(~m["base_failed"] & rules.verdict(m["tested"]), F.array("row")))
+    return measured.select(kept.alias("row")).select("row.*")

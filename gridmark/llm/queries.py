@@ -22,8 +22,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     both = F.lit(BOTH_SAY)
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), both.alias("text"))
-    messages = staged(chat.reply_chain(turns.unionByName(extra)), "messages")
-    return chat.digests(staged(chat.formatted(messages, keep=1), "chats"))
+    return chat.digests(staged(chat.formatted(chat.reply_chain(turns.unionByName(extra)), keep=1), "chats"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -288,6 +288,43 @@ def test_reply_trees(spark):
     assert chat.formatted(m.limit(0)).count() == 0
 
 
+def all_paths(rows):
+    """Every path of each conversation, best first, found by walking up from each leaf."""
+    own = {}
+    for c, m, *rest in sorted(set(rows), key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0, r[3], r[4], r[5])):
+        own.setdefault((c, m), rest)
+    answered = {(c, p) for (c, _), (p, *_) in own.items()}
+    out = defaultdict(list)
+    for c, m in own:
+        if (c, m) in answered:
+            continue
+        seen, at = [], m
+        while at is not None and (c, at) in own and at not in seen:
+            seen.append(at)
+            at = own[c, at][0]
+        if at is None or (c, at) not in own:
+            out[c].append((-sum(own[c, x][3] for x in seen), m, [(own[c, x][1], own[c, x][2]) for x in reversed(seen)]))
+    return {(c, n): turns for c, v in out.items() for n, (_, _, turns) in enumerate(sorted(v), 1)}
+
+
+def test_random_reply_trees(spark):
+    r = np.random.default_rng(8)
+    rows = []
+    for c in range(40):
+        n = int(r.integers(1, 14))
+        for m in range(n):
+            parent = None if m == 0 or r.random() < 0.1 else int(r.integers(0, m)) if r.random() < 0.85 else int(r.integers(0, n + 2))
+            rows.append((c, m, parent, str(r.choice(["user", "assistant"])), f"t{m} <|im_end|>", float(r.integers(0, 4))))
+    rows += rows[::7]  # repeated messages
+    rows += [(99, 1, 3, "user", "a", 0.0), (99, 2, 1, "user", "b", 0.0), (99, 3, 2, "user", "c", 0.0), (99, 4, 1, "user", "leaf", 0.0)]  # an answer to a cycle
+    rows += [(98, 1, None, "user", "long " * 60_000, 1.0), (98, 2, 1, "assistant", "<|im_start|>" * 20_000, 0.5)]
+    want = all_paths(rows)
+    m = spark.createDataFrame(rows, "conv_id long, msg_id long, parent_id long, role string, text string, score double").withColumns({"node": F.lit(1), "up": F.lit(2), "leaf": F.lit("x"), "place": F.lit(0), "c": F.lit(3)})
+    for keep in (None, 1):
+        got = {(x["conv_id"], x["place"]): [(t["role"], t["text"]) for t in x["t"]] for x in chat.formatted(m, keep).select("conv_id", "place", chat.parsed(F.col("formatted")).alias("t")).collect()}
+        assert got == {k: v for k, v in want.items() if keep is None or k[1] <= keep}
+
+
 # 7
 def test_licences(spark, small):
     c = duckdb.connect()
