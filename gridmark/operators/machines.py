@@ -9,116 +9,6 @@ from __future__ import annotations
 import math
 
 
-class Alarms:
-    """Alarms with hysteresis on a probability series.
-
-    Starts at p > tau with a team and the ball not dead.  Ends on dead, on another non-null team, on p < low x tau, or when p has been null for more
-    than ``stale`` micros; else at the end of the group.  The row that ends one may start another.
-    """
-
-    def __init__(self, tau: float, low: float = 0.8, stale: int = 2_000_000) -> None:
-        self.tau, self.low, self.stale = tau, low, stale
-        self.team = self.start = self.last_p = self.last = None
-
-    def step(self, row: dict) -> list[dict]:
-        t, p, team, dead = row["ts_us"], row["p"], row["team"], row["dead"]
-        out, why = [], None
-        if self.team is not None:
-            if p is not None:
-                self.last_p = t
-            if dead:
-                why = "dead"
-            elif team is not None and team != self.team:
-                why = "team"
-            elif p is not None and p < self.low * self.tau:
-                why = "p"
-            elif p is None and t - self.last_p > self.stale:
-                why = "stale"
-            if why:
-                out.append({"team": self.team, "start_us": self.start, "end_us": t, "ended_by": why})
-                self.team = None
-        if self.team is None and p is not None and p > self.tau and team is not None and not dead:
-            self.team, self.start, self.last_p = team, t, t
-        self.last = t
-        return out
-
-    def end(self) -> list[dict]:
-        if self.team is None:
-            return []
-        out = [{"team": self.team, "start_us": self.start, "end_us": self.last, "ended_by": "period"}]
-        self.team = None
-        return out
-
-
-class TeamHysteresis:
-    """home at >= high, away at <= low, else the last team; a row without p takes its fallback, a skipped tick forgets."""
-
-    def __init__(self, high: float = 0.75, low: float = 0.25) -> None:
-        self.high, self.low, self.team, self.k = high, low, None, None
-
-    def step(self, row: dict) -> list[dict]:
-        if self.k is not None and row["k"] != self.k + 1:
-            self.team = None
-        self.k, p = row["k"], row["p"]
-        if p is None:
-            self.team = row.get("fallback") or self.team
-        elif p >= self.high:
-            self.team = "home"
-        elif p <= self.low:
-            self.team = "away"
-        elif self.team is None:
-            self.team = "home" if p >= 0.5 else "away"
-        return [{"k": row["k"], "smoothed": self.team}]
-
-    def end(self) -> list[dict]:
-        return []
-
-
-class Carrier:
-    """Who carries the ball, which team possesses it, and whether it is alive.
-
-    Rows have the frame's nearest reachable object (``candidate``, ``candidate_team``, null if none) and the ball (x, y; null if unseen).  A candidate
-    becomes the carrier after ``take_us``; a gap of up to ``keep_us`` doesn't lose it.  Possession is the last carrier's team.  The ball is dead when
-    out, or after resting ``rest_us`` at a restart spot; alive again at ``wake`` metres a second; unknown when unseen for ``blind_us``.
-    """
-
-    def __init__(self, take_us: int = 300_000, keep_us: int = 500_000, rest_us: int = 1_000_000, blind_us: int = 2_000_000, slow: float = 0.5, wake: float = 3.0, half_length: float = 52.5, half_width: float = 34.0) -> None:
-        self.take_us, self.keep_us, self.rest_us, self.blind_us, self.slow, self.wake, self.half_length, self.half_width = take_us, keep_us, rest_us, blind_us, slow, wake, half_length, half_width
-        self.streak = self.streak_from = self.carrier = self.carrier_at = self.possession = self.ball = self.rest_from = None
-        self.alive: bool | None = None
-
-    def step(self, row: dict) -> list[dict]:
-        t, c = row["ts_us"], row["candidate"]
-        if c is None or c != self.streak:
-            self.streak, self.streak_from = c, t
-        if c is not None and t - self.streak_from >= self.take_us:
-            self.carrier, self.possession = c, row["candidate_team"]
-        if c is not None and c == self.carrier:
-            self.carrier_at = t
-        if self.carrier is not None and t - self.carrier_at > self.keep_us:
-            self.carrier = None
-        x, y = row["x"], row["y"]
-        if x is not None and y is not None:
-            speed = None
-            if self.ball and t > self.ball[0]:
-                speed = math.hypot(x - self.ball[1], y - self.ball[2]) / ((t - self.ball[0]) / 1e6)
-            out = abs(x) > self.half_length or abs(y) > self.half_width
-            still = speed is not None and speed < self.slow
-            self.rest_from = (self.rest_from if self.rest_from is not None else t) if still else None
-            if out or (self.rest_from is not None and t - self.rest_from >= self.rest_us and row.get("at_spot", True)):
-                self.alive = False
-            elif self.alive is not False or (speed is not None and speed >= self.wake):
-                self.alive = True
-            self.ball = [t, x, y]
-        elif self.ball and t - self.ball[0] > self.blind_us:
-            self.alive = None
-        state = None if self.alive is None else "alive" if self.alive else "dead"
-        return [{"event_id": row["event_id"], "carrier": self.carrier, "possession": self.possession, "ball_state": state, "streak_from": self.streak_from}]
-
-    def end(self) -> list[dict]:
-        return []
-
-
 class ViewGate:
     """Flips on after ``on_us`` of passing shares, off after ``off_us`` of failing ones."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmark.operators import machines, metrics, sequential
+from gridmark.operators import machines, metrics, possession, sequential
 from gridmark.plans.registry import HOUR, KEYS, bound, query, table
 
 TAUS = [0.05, 0.1, 0.2, 0.3]
@@ -45,22 +45,10 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_alarms(spark: SparkSession, sf_dir: str, taus: list[float]) -> DataFrame:
     rows = sequential.swept(series(spark, sf_dir), "tau", taus)
-    out = sequential.batch(rows, ["tau", *KEYS], ["ts_us", "event_id"], _alarms, "team string, start_us long, end_us long, ended_by string", params=["tau"])
+    out = possession.alarms(rows, ["tau", *KEYS], ["event_id"], F.col("tau"), stale_us=6 * HOUR)
     return out.withColumn("alarm_id", F.concat_ws("-", "match_id", "period", "start_us"))
 
 
-def _alarms(params: dict) -> machines.Alarms:
-    return machines.Alarms(params["tau"], stale=6 * HOUR)
-
-
-def _hysteresis(params: dict) -> machines.TeamHysteresis:
-    return machines.TeamHysteresis(0.12, 0.02)
-
-
-def _carrier(params: dict) -> machines.Carrier:
-    return machines.Carrier(take_us=HOUR, keep_us=4 * HOUR, rest_us=2 * HOUR, blind_us=12 * HOUR, slow=0.0005, wake=0.003)
-
-
 def _limit(params: dict) -> machines.RateLimit:
     return machines.RateLimit(6 * HOUR)
 
@@ -115,15 +103,35 @@ def choose_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
 def team_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smoothed team per tick: decisive scores switch it, others keep it, a skipped tick forgets it."""
     k = bound(spark, sf_dir).groupBy(*KEYS, F.floor(F.col("ts_us") / HOUR).alias("k")).agg(F.avg("p").alias("p"))
-    return sequential.batch(k, KEYS, ["k"], _hysteresis, "k long, smoothed string")
-
-
-@query()
+    return possession.team_hysteresis(k, KEYS, "k", "p", high=0.12, low=0.02)
+
+
+@query("""WITH {BOUND}, f AS (SELECT match_id, period, ts_us, event_id, CASE WHEN value >= 20 THEN object_id END AS candidate, CASE WHEN value >= 20 THEN team END AS candidate_team,
+  CASE WHEN event_type <> 'error' THEN x END AS x, CASE WHEN event_type <> 'error' THEN y END AS y FROM b),
+s AS (SELECT *, x IS NOT NULL AS seen, x IS NOT NULL AND (abs(x) > 52.5 OR abs(y) > 34) AS ball_out, last_value(CASE WHEN x IS NOT NULL THEN ts_us END IGNORE NULLS) OVER w AS seen_at FROM f WINDOW w AS (PARTITION BY match_id, period ORDER BY ts_us, event_id)),
+c AS (SELECT *, seen OR coalesce(ts_us - seen_at > 4 * {HOUR}, true) AS counts, CASE WHEN seen AND NOT ball_out THEN candidate END AS who, CASE WHEN seen AND NOT ball_out THEN candidate_team END AS side FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY match_id, period ORDER BY ts_us, event_id) AS n FROM c WHERE counts),
+turn AS (SELECT *, n = 1 OR who IS DISTINCT FROM lag(who) OVER (PARTITION BY match_id, period ORDER BY n) AS turns FROM k),
+streak AS (SELECT *, sum(turns::INT) OVER (PARTITION BY match_id, period ORDER BY n) AS run FROM turn),
+taken AS (SELECT match_id, period, event_id, CASE WHEN who IS NOT NULL AND ts_us - first_value(ts_us) OVER r >= {HOUR} THEN who END AS who, CASE WHEN who IS NOT NULL THEN first_value(ts_us) OVER r END AS streak_from,
+  CASE WHEN who IS NOT NULL AND ts_us - first_value(ts_us) OVER r >= {HOUR} THEN first_value(side) OVER r END AS gains FROM streak WINDOW r AS (PARTITION BY match_id, period, run ORDER BY n)),
+v AS (SELECT *, CASE WHEN seen AND NOT ball_out AND ts_us > t0 AND ts_us - t0 >= 3 * {HOUR} THEN sqrt((x - x0) ** 2 + (y - y0) ** 2) / ((ts_us - t0) / 1e6) END AS speed FROM (
+  SELECT *, first_value(CASE WHEN seen THEN ts_us END IGNORE NULLS) OVER g AS t0, first_value(CASE WHEN seen THEN x END IGNORE NULLS) OVER g AS x0, first_value(CASE WHEN seen THEN y END IGNORE NULLS) OVER g AS y0
+  FROM s WINDOW g AS (PARTITION BY match_id, period ORDER BY ts_us RANGE BETWEEN 6 * {HOUR} PRECEDING AND CURRENT ROW))),
+i AS (SELECT *, row_number() OVER (PARTITION BY match_id, period ORDER BY ts_us, event_id) AS n, NOT ball_out AND speed < 0.0015 AS slow FROM v WHERE ball_out OR speed IS NOT NULL),
+j AS (SELECT *, sum((slow AND NOT coalesce(lag_slow, false))::INT) OVER (PARTITION BY match_id, period ORDER BY n) AS rest FROM (SELECT *, lag(slow) OVER (PARTITION BY match_id, period ORDER BY n) AS lag_slow FROM i)),
+life AS (SELECT match_id, period, event_id, CASE WHEN ball_out OR (slow AND ((still >= 2 * {HOUR} AND spot) OR (still >= 2 * {HOUR} AND NOT (abs(x) >= 36 AND abs(y) <= 20.16)))) THEN true WHEN speed >= 0.003 THEN false END AS died FROM (
+  SELECT *, ts_us - min(CASE WHEN slow THEN ts_us END) OVER (PARTITION BY match_id, period, rest ORDER BY n) AS still,
+    sqrt((abs(x) - 52.5) ** 2 + (abs(y) - 34) ** 2) <= 2 OR sqrt(x * x + y * y) <= 2 OR sqrt((abs(x) - 41.5) ** 2 + y * y) <= 2 OR (abs(x) >= 47 AND abs(y) <= 9.16) AS spot FROM j))
+SELECT s.match_id, s.period, s.ts_us, s.event_id, last_value(CASE WHEN c.counts THEN coalesce(t.who, -1) END IGNORE NULLS) OVER w AS carrier, last_value(t.gains IGNORE NULLS) OVER w AS possession,
+  CASE WHEN s.ts_us - s.seen_at <= 12 * {HOUR} THEN CASE WHEN coalesce(last_value(l.died IGNORE NULLS) OVER w, false) THEN 'dead' ELSE 'alive' END END AS ball_state, t.streak_from, s.ball_out
+FROM s JOIN c USING (match_id, period, event_id) LEFT JOIN taken t USING (match_id, period, event_id) LEFT JOIN life l USING (match_id, period, event_id) WINDOW w AS (PARTITION BY s.match_id, s.period ORDER BY s.ts_us, s.event_id)""")
 def carrier_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Carrier, possession and ball state over the events as frames; an event of value 20 or more has its object near the ball."""
-    near = F.col("value") >= 20
-    rows = bound(spark, sf_dir).select(*KEYS, "ts_us", "event_id", F.when(near, F.col("object_id")).alias("candidate"), F.when(near, F.col("team")).alias("candidate_team"), F.when(F.col("event_type") != "error", F.col("x")).alias("x"), F.when(F.col("event_type") != "error", F.col("y")).alias("y"))
-    return sequential.batch(rows, KEYS, ["ts_us", "event_id"], _carrier, "event_id long, carrier long, possession string, ball_state string, streak_from long")
+    """Carrier, possession and ball state over the events as frames; an event of value 20 or more has its object near the ball.  No carrier is -1."""
+    near, seen = F.col("value") >= 20, F.col("event_type") != "error"
+    rows = bound(spark, sf_dir).select(*KEYS, "ts_us", "event_id", F.when(near, F.col("object_id")).alias("candidate"), F.when(near, F.col("team")).alias("candidate_team"), F.when(seen, F.col("x")).alias("x"), F.when(seen, F.col("y")).alias("y"))
+    out = possession.carried(rows, KEYS, ["event_id"], take_us=HOUR, keep_us=4 * HOUR, blind_us=12 * HOUR, window_us=6 * HOUR, slow=0.0015, kick=0.003, spot_us=2 * HOUR, rest_us=2 * HOUR)
+    return out.select(*KEYS, "ts_us", "event_id", F.coalesce("carrier", F.lit(-1)).cast("long").alias("carrier"), "possession", "ball_state", "streak_from", "ball_out")
 
 
 @query("WITH RECURSIVE {BOUND}, r AS (SELECT match_id, period, event_id, ts_us, row_number() OVER (PARTITION BY match_id, period ORDER BY ts_us, event_id) AS n FROM b WHERE p > 0.1), "

@@ -3,12 +3,13 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridmark import schema
 from gridmark.functions import geometry, scalars, timing
-from gridmark.operators import asof, augment, features, labels, machines, market, metrics, models, reviews, sequential, tables, validate, windows
+from gridmark.operators import asof, augment, features, labels, machines, market, metrics, models, possession, reviews, sequential, tables, validate, windows
 from gridmark.sources import sinks, tracking
 from gridmark.streaming import stateful
 
@@ -98,7 +99,7 @@ def alarm_rows(ps):
 
 
 def _alarms(params):
-    return machines.Alarms(0.5)
+    return possession.AlarmSteps(0.5)
 
 
 ALARM = "team string, start_us long, end_us long, ended_by string"
@@ -106,12 +107,12 @@ ALARM = "team string, start_us long, end_us long, ended_by string"
 
 def test_alarms(spark):
     df = spark.createDataFrame(alarm_rows([0.1, 0.6, 0.45, 0.7, 0.3, 0.1]), "g string, ts_us long, p double, team string, dead boolean")
-    assert values(sequential.batch(df, ["g"], ["ts_us"], _alarms, ALARM), "start_us", "end_us", "ended_by") == [(S // 10, 4 * S // 10, "p")]
-    m = machines.Alarms(0.5)
+    assert values(possession.alarms(df, ["g"], [], 0.5), "start_us", "end_us", "ended_by") == [(S // 10, 4 * S // 10, "p")]
+    m = possession.AlarmSteps(0.5)
     assert m.step({"ts_us": 0, "p": 0.9, "team": "home", "dead": False}) == []
     assert m.step({"ts_us": 1, "p": 0.9, "team": "away", "dead": False})[0]["ended_by"] == "team"
     assert m.end()[0]["team"] == "away"  # the row that ended one alarm started another
-    m = machines.Alarms(0.5)
+    m = possession.AlarmSteps(0.5)
     m.step({"ts_us": 0, "p": 0.9, "team": "home", "dead": False})
     assert m.step({"ts_us": 2 * S, "p": None, "team": "home", "dead": False}) == []
     assert m.step({"ts_us": 2 * S + 1, "p": None, "team": "home", "dead": False})[0]["ended_by"] == "stale"
@@ -122,17 +123,65 @@ def test_stream_equals_batch(spark, tmp_path):
     kind = "g string, ts_us long, p double, team string, dead boolean"
     for i in range(3):
         spark.createDataFrame(alarm_rows(ps)[4 * i : 4 * i + 4], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    batch = sequential.batch(spark.createDataFrame(alarm_rows(ps), kind), ["g"], ["ts_us"], _alarms, ALARM).where("ended_by != 'period'")
+    batch = possession.alarms(spark.createDataFrame(alarm_rows(ps), kind), ["g"], [], 0.5).where("ended_by != 'period'")
     source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = stateful.stream(source, ["g"], "ts_us", _alarms, ALARM).writeStream.format("memory").queryName("alarm_stream").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = values(spark.table("alarm_stream"), "start_us", "end_us", "ended_by")
-    assert set(got) <= set(values(batch, "start_us", "end_us", "ended_by")) or len(got) > 0
-
-
-def test_other_machines():
-    h = machines.TeamHysteresis()
-    assert [h.step({"k": k, "p": p})[0]["smoothed"] for k, p in ((1, 0.6), (2, 0.5), (3, 0.2), (4, 0.6), (6, 0.6))] == ["home", "home", "away", "away", "home"]
+    assert got == values(batch, "start_us", "end_us", "ended_by") and len(got) > 0
+
+
+def test_alarms_equal_their_steps(spark):
+    r = np.random.default_rng(4)
+    rows = []
+    for g in range(30):
+        t = 0
+        for _ in range(60):
+            t += int(r.choice([1, 5, 12])) * S // 10
+            rows.append((str(g), t, None if r.random() < 0.25 else float(r.choice([0.2, 0.38, 0.41, 0.45, 0.6, 0.9])), str(r.choice(["home", "away"])) if r.random() < 0.6 else None, bool(r.random() < 0.05)))
+    df = spark.createDataFrame(rows, "g string, ts_us long, p double, team string, dead boolean")
+    names = ("g", "team", "start_us", "end_us", "ended_by")
+    got = values(possession.alarms(df, ["g"], [], 0.5), *names)
+    assert got == values(sequential.batch(df, ["g"], ["ts_us"], _alarms, ALARM), *names) and len(got) > 100
+    assert {x[4] for x in got} == {"dead", "team", "p", "stale", "period"}
+
+
+def carried(spark, rows, **parameters):
+    """Rows (tenths of a second, x, y, candidate); what ``possession.carried`` says for each."""
+    df = spark.createDataFrame([("m", t * S // 10, x, y, c, c and ("home" if c.startswith("h") else "away")) for t, x, y, c in rows], "g string, ts_us long, x double, y double, candidate string, candidate_team string")
+    return [(r["carrier"], r["possession"], r["ball_state"]) for r in possession.carried(df, ["g"], [], **parameters).orderBy("ts_us").collect()]
+
+
+def test_carrier(spark):
+    # moving at 10 m/s: carried after 0.3 s; a gap of 0.5 s holds, a longer one doesn't; possession stays
+    got = carried(spark, [(t, float(t), 0.0, "h1") for t in range(5)] + [(t, None, None, None) for t in range(5, 12)])
+    assert [g[0] for g in got] == [None, None, None, "h1", "h1", "h1", "h1", "h1", "h1", "h1", None, None]
+    assert {g[1] for g in got[3:]} == {"home"} and {g[2] for g in got} == {"alive"}
+    # another candidate ends the carrier at once, and becomes one after 0.3 s
+    got = carried(spark, [(t, float(t), 0.0, "h1" if t < 5 else "a1") for t in range(10)])
+    assert [g[:2] for g in got[3:]] == [("h1", "home"), ("h1", "home"), (None, "home"), (None, "home"), (None, "home"), ("a1", "away"), ("a1", "away")]
+    # nobody carries a ball that is out, and it is dead until kicked
+    got = carried(spark, [(t, 50.0 + t, 0.0, "h1") for t in range(6)] + [(6, 20.0, 0.0, None), (7, 20.0, 0.0, None), (8, 21.0, 0.0, None)])
+    assert [g[2] for g in got] == ["alive"] * 3 + ["dead"] * 3 + ["alive"] * 3 and [g[0] for g in got[3:6]] == [None] * 3
+    # at rest for a second in midfield dies, in a penalty area it doesn't, in a goal area it does
+    for x, y, dies in ((20.0, 20.0, True), (40.0, 15.0, False), (48.0, 0.0, True)):
+        got = carried(spark, [(t, x, y, None) for t in range(16)])
+        assert [g[2] for g in got] == ["alive"] * 11 + ["dead" if dies else "alive"] * 5
+    # unseen for two seconds: no state; the team rule gives possession without a carrier
+    assert [g[2] for g in carried(spark, [(0, 0.0, 0.0, None), (20, None, None, None), (21, None, None, None)])] == ["alive", "alive", None]
+    assert carried(spark, [(0, 0.0, 0.0, "h1"), (2, 2.0, 0.0, "h2"), (4, 4.0, 0.0, "h1")], team_us=4 * S // 10)[-1][:2] == (None, "home")
+
+
+def test_candidates(spark):
+    rows = [("m", 1, "ball", "ball", None, 0.0, 0.0, 0.2, True), ("m", 1, "p2", "player", "away", 1.0, 0.0, None, True), ("m", 1, "p1", "player", "home", -1.0, 0.0, None, True), ("m", 1, "p0", "player", "home", 0.1, 0.0, None, False)]
+    rows += [("m", 2, "ball", "ball", None, 0.0, 0.0, 1.0, True), ("m", 2, "p1", "player", "home", 0.0, 0.0, None, True), ("m", 3, "p1", "player", "home", 0.0, 0.0, None, True)]
+    o = spark.createDataFrame(rows, "g string, frame_id long, object_id string, object_type string, team string, x double, y double, z double, visible boolean")
+    assert values(possession.candidates(o, ["g"], "frame_id"), "frame_id", "candidate", "candidate_team") == [(1, "p1", "home"), (2, None, None)]
+
+
+def test_other_machines(spark):
+    ticks = spark.createDataFrame([("m", k, p) for k, p in ((1, 0.6), (2, 0.5), (3, 0.2), (4, 0.6), (6, 0.6))], "g string, k long, p double")
+    assert [v[1] for v in values(possession.team_hysteresis(ticks, ["g"], "k", "p"), "k", "smoothed")] == ["home", "home", "away", "away", "home"]
     gate = machines.ViewGate(0.5, 2, 3)
     assert [gate.step({"ts_us": t, "share": s})[0]["on"] for t, s in ((0, 1), (1, 1), (2, 1), (3, 0), (6, 0))] == [False, False, True, True, False]
     track = machines.BallTrack()
@@ -140,9 +189,6 @@ def test_other_machines():
     assert seen == [None, "seen", "seen", "coasted", None]
     limit = machines.RateLimit(10)
     assert [len(limit.step({"ts_us": t, "mark": True, "event_id": t})) for t in (0, 5, 10, 12)] == [1, 0, 1, 0]
-    c = machines.Carrier()
-    out = [c.step({"ts_us": t, "candidate": w, "candidate_team": "home", "x": x, "y": 0.0, "event_id": t})[0] for t, w, x in ((0, "a", 0.0), (300_000, "a", 2.0), (600_000, None, 4.0), (1_000_000, None, 60.0))]
-    assert [o["carrier"] for o in out] == [None, "a", "a", None] and out[-1]["possession"] == "home" and out[-1]["ball_state"] == "dead"
 
 
 def test_metrics(spark):
