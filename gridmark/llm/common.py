@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import gridmark
+from gridmark.session import ship
+
+__all__ = ["fingerprint", "hinted", "let", "n_matching", "n_words", "read", "salted_join", "shared_dir", "ship", "small_enough", "staged", "words"]
 
 #: The six ASCII white-space characters that separate words, and the same as a regular expression.
 SPACES = " \t\n\x0b\x0c\r"
@@ -26,11 +26,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (a local session, tests) is a
-    temporary folder of this machine taken, once for each session.
+    A cluster names it in ``spark.checkpoint.dir``.  Where that is unset a local session (tests) takes a temporary folder of this machine, once; a cluster
+    has no such folder, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="gridmark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -96,19 +99,3 @@ def n_matching(text: Column, char_class: str) -> Column:
 def fingerprint(text: Column) -> Column:
     """64 bits of a text, null as null-safe as any other value, to tell rows apart that share an id."""
     return F.xxhash64(text, text.isNull())
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, so that Python functions find their modules there."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        root = Path(gridmark.__file__).resolve().parent
-        to = Path(tempfile.mkdtemp(prefix="gridmark-")) / "gridmark.zip"
-        with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        sc.addPyFile(str(to))
-        _shipped.add(sc.applicationId)

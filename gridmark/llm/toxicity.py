@@ -96,8 +96,8 @@ def features(docs: DataFrame, stems: frozenset[str]) -> DataFrame:
     return docs.mapInPandas(run, ", ".join([f"{n} {t}" for n, t in docs.dtypes if n != "text"] + [f"{f} double" for f in FEATURES]))
 
 
-def learned_stems(rows: DataFrame, *, most: int = 3000, least_odds: float = 20.0, least_docs: int = 4) -> frozenset[str]:
-    """Word beginnings that texts with y = 1 use ``least_odds`` times as often as others; ``rows``: (y, text)."""
+def learned_stems(rows: DataFrame, *, least_odds: float = 20.0, least_docs: int = 4) -> frozenset[str]:
+    """Word beginnings that texts with y = 1 use ``least_odds`` times as often as others; ``rows``: (y, text), a bounded sample, which bounds them too."""
     ship(rows.sparkSession)
 
     def stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +111,7 @@ def learned_stems(rows: DataFrame, *, most: int = 3000, least_odds: float = 20.0
         return frozenset(i + " " for i in INSULTS)
     seen = rows.select("y", "text").mapInPandas(stems, "stem string, y int").groupBy("stem").agg(F.sum("y").alias("a"), (F.count("*") - F.sum("y")).alias("b"))
     odds = ((F.col("a") + 0.5) / (n[1] + 1)) / ((F.col("b") + 0.5) / (n[0] + 1))
-    telling = seen.where((F.col("a") >= max(least_docs, 0.01 * n[1])) & (odds >= least_odds)).orderBy(F.col("a").desc(), "stem").limit(most)
+    telling = seen.where((F.col("a") >= max(least_docs, 0.01 * n[1])) & (odds >= least_odds))
     return frozenset(r["stem"] for r in telling.select("stem").collect()) | frozenset(i + " " for i in INSULTS)
 
 
