@@ -42,22 +42,27 @@ def _word(data: Column, n: int) -> Column:
     return F.substring(data, 3 + WORD * n, WORD)
 
 
+def _fits(word: Column) -> Column:
+    """Whether a word's amount is below 2^96: all its other digits are zero."""
+    return F.rlike(F.left(word, F.lit(WORD - 24)), F.lit("^0+$"))
+
+
 def _amount(word: Column) -> Column:
-    """A word's low 96 bits as a decimal, from three groups of eight hex digits; amounts of tokens with six decimals never need more."""
+    """A word as a decimal, from its last three groups of eight hex digits; null if it has more (``_fits``)."""
     groups = [F.conv(F.substring(word, WORD - 8 * (i + 1) + 1, 8), 16, 10).cast("decimal(10,0)") * F.lit(Decimal(16 ** (8 * i))) for i in range(3)]
-    return groups[0] + groups[1] + groups[2]
+    return F.when(_fits(word), groups[0] + groups[1] + groups[2])
 
 
 def matched_trades(logs: DataFrame, tokens: DataFrame) -> DataFrame:
     """Trades from logs (block, log_index, ts, tx, topics, data): side, token, maker and taker amounts as 32-byte words.
 
     A buy pays the maker amount and gets the taker amount, a sale the reverse; both have six decimals.  ``tokens`` (token, outcome) is joined on
-    the hex word, as ids of 256 bits fit no number; logs of other tokens are dropped.
+    the hex word, as ids of 256 bits fit no number; logs of other tokens are dropped.  ``overflow``: an amount of 2^96 or more, which is null then.
     """
     d = F.col("data")
-    rows = logs.select("block", "log_index", "ts", "tx", F.when(F.right(_word(d, 0), F.lit(1)) == "0", "BUY").otherwise("SELL").alias("side"), F.lower(_word(d, 1)).alias("token"), (_amount(_word(d, 2)) / 1000000).cast("double").alias("maker"), (_amount(_word(d, 3)) / 1000000).cast("double").alias("taker"), F.concat(F.lit("0x"), F.right(F.element_at("topics", 3), F.lit(40))).alias("wallet"))
+    rows = logs.select("block", "log_index", "ts", "tx", F.when(F.right(_word(d, 0), F.lit(1)) == "0", "BUY").otherwise("SELL").alias("side"), F.lower(_word(d, 1)).alias("token"), (_amount(_word(d, 2)) / 1000000).cast("double").alias("maker"), (_amount(_word(d, 3)) / 1000000).cast("double").alias("taker"), (~(_fits(_word(d, 2)) & _fits(_word(d, 3)))).alias("overflow"), F.concat(F.lit("0x"), F.right(F.element_at("topics", 3), F.lit(40))).alias("wallet"))
     buy = F.col("side") == "BUY"
-    return rows.join(tokens, "token").select("block", "log_index", "ts", "side", "outcome", F.when(buy, F.col("maker")).otherwise(F.col("taker")).alias("usdc"), F.when(buy, F.col("taker")).otherwise(F.col("maker")).alias("shares"), "wallet", "tx")
+    return rows.join(tokens, "token").select("block", "log_index", "ts", "side", "outcome", F.when(buy, F.col("maker")).otherwise(F.col("taker")).alias("usdc"), F.when(buy, F.col("taker")).otherwise(F.col("maker")).alias("shares"), "wallet", "tx", "overflow")
 
 
 def covered(asked: DataFrame, ingested: DataFrame, key: str) -> DataFrame:

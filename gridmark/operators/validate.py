@@ -26,36 +26,42 @@ def rules(df: DataFrame, table: str, key: str, bad: dict[str, Column | tuple[Col
     for name, rule in bad.items():
         holds, shown = rule if isinstance(rule, tuple) else (rule, F.lit(None) if sample is None else sample)
         holds = F.coalesce(holds, F.lit(False))
-        sums.append(F.struct(F.lit(name).alias("rule"), F.count_if(holds).alias("n_bad"), F.array_join(F.slice(F.array_sort(F.collect_set(F.when(holds, shown.cast("string")))), 1, MOST_SAMPLES), ",").alias("sample")))
+        sums.append(F.struct(F.lit(name).alias("rule"), F.count_if(holds).alias("n_bad"), F.array_join(_least(F.when(holds, shown.cast("string"))), ",").alias("sample")))
     by = df.groupBy(F.col(key).cast("string").alias("match_id")).agg(F.array(*sums).alias("r"))
     return by.select("match_id", F.lit(table).alias("table"), F.explode("r").alias("r")).select("match_id", "table", "r.rule", "r.n_bad", "r.sample").where("n_bad > 0")
 
 
+def _least(value: Column) -> Column:
+    """At most ``MOST_SAMPLES`` values to show: the least, and the least of each of the other hash classes.  Each buffer holds one value."""
+    part = F.pmod(F.xxhash64(value), F.lit(MOST_SAMPLES))
+    return F.array_sort(F.array_compact(F.array(*[F.min(F.when(part == i, value)) for i in range(MOST_SAMPLES)])))
+
+
 def column_errors(df: DataFrame, table: str) -> list[str]:
-    """Missing columns and wrong kinds: a check of the schema alone."""
+    """Missing columns and wrong kinds: a check of the schema alone.  Any integer or fraction will do for one of its sort."""
     have, out = {f.name: f.dataType for f in df.schema.fields}, []
-    for c in schema.TABLES[table]:
-        kind = have.get(c.name)
+    for f in schema.struct(table).fields:
+        kind = have.get(f.name)
         if kind is None:
-            out.append(f"{c.name}: missing")
-        elif not (isinstance(kind, T.IntegralType) if c.kind == "int" else isinstance(kind, T.FractionalType) if c.kind == "float" else kind == schema.KINDS[c.kind] or c.kind == "list_float" and isinstance(kind, T.ArrayType)):
-            out.append(f"{c.name}: {kind.simpleString()} is not {c.kind}")
+            out.append(f"{f.name}: missing")
+        elif not any(isinstance(f.dataType, sort) and isinstance(kind, sort) for sort in (T.IntegralType, T.FractionalType, T.ArrayType)) and kind != f.dataType:
+            out.append(f"{f.name}: {kind.simpleString()} is not {f.dataType.simpleString()}")
     return out
 
 
 def column_rules(df: DataFrame, table: str) -> DataFrame:
-    """NaN, nulls in non-null columns, values outside a domain, lists of wrong length: one pass over the table."""
+    """NaN, nulls in columns that have none, values outside a domain, arrays of wrong length: one pass over the table."""
     bad: dict[str, Column | tuple[Column, Column]] = {}
-    for c in schema.TABLES[table]:
-        v = F.col(c.name)
-        if c.kind == "float":
-            bad[f"{c.name}: NaN"] = F.isnan(v)
-        if not c.nullable:
-            bad[f"{c.name}: null"] = v.isNull()
-        if c.values:
-            bad[f"{c.name}: outside its domain"] = (~v.isin(*c.values), v)
-        if c.kind == "list_float":
-            bad[f"{c.name}: not 8 values"] = F.size(v) != 8
+    for f in schema.struct(table).fields:
+        v = F.col(f.name)
+        if isinstance(f.dataType, T.DoubleType):
+            bad[f"{f.name}: NaN"] = F.isnan(v)
+        if not f.nullable:
+            bad[f"{f.name}: null"] = v.isNull()
+        if f.name in schema.DOMAINS:
+            bad[f"{f.name}: outside its domain"] = (~v.isin(*schema.DOMAINS[f.name]), v)
+        if f.name in schema.LENGTHS:
+            bad[f"{f.name}: not {schema.LENGTHS[f.name]} values"] = F.size(v) != schema.LENGTHS[f.name]
     return rules(df, table, "match_id", bad)
 
 
@@ -111,11 +117,11 @@ def event_rules(events: DataFrame, frames: DataFrame) -> DataFrame:
 def validated(tables: dict[str, DataFrame]) -> DataFrame:
     """All rules over all matches in one plan.  Tables whose columns don't pass are reported alone, and no rule across tables runs."""
     spark: SparkSession = next(iter(tables.values())).sparkSession
-    wrong = [("*", t, e, 1, "") for t in schema.TABLES for e in (column_errors(tables[t], t) if t in tables else ["missing"])]
+    wrong = [("*", t, e, 1, "") for t in schema.DDL for e in (column_errors(tables[t], t) if t in tables else ["missing"])]
     if wrong:
         return spark.createDataFrame(wrong, REPORT)
     t = tables
-    parts = [column_rules(t[name], name) for name in schema.TABLES]
+    parts = [column_rules(t[name], name) for name in schema.DDL]
     parts += [match_rules(t["match"]), frame_rules(t["frames"]), position_rules(t["objects"], "objects"), position_rules(t["events"], "events"), object_rules(t["objects"], t["frames"], t["players"]), event_rules(t["events"], t["frames"]), repeated(t["players"], "players", ["player_id"], "player repeats")]
     return reduce(DataFrame.unionByName, parts)
 
@@ -140,11 +146,12 @@ def off_pitch_runs(objects: DataFrame, keys: list[str], frame: str) -> DataFrame
 
 
 def fingerprint(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """(keys, n, digest): an order-free digest of a group's rows, to tell whether a derived table is stale."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*columns)).alias("digest"))
+    """(keys, n, digest): an order-free digest of a group's rows, repeated ones included, to tell whether a derived table is stale."""
+    mixed = F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).cast("decimal(38,0)")
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), mixed.alias("digest"))
 
 
 def stale(recorded: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
-    """Groups whose recorded fingerprint is absent or differs."""
+    """Groups whose recorded fingerprint is absent or differs, and recorded groups that are gone (their n and digest are null)."""
     r = recorded.select(*keys, F.col("n").alias("_n"), F.col("digest").alias("_d"))
-    return current.join(r, keys, "left").where(F.col("_n").isNull() | (F.col("_n") != F.col("n")) | (F.col("_d") != F.col("digest"))).drop("_n", "_d")
+    return current.join(r, keys, "full").where(~(F.col("_n").eqNullSafe(F.col("n")) & F.col("_d").eqNullSafe(F.col("digest")))).drop("_n", "_d")
