@@ -60,11 +60,12 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], time
     """Points with every interval of equal keys that holds them.
 
     Both sides are cut into cells of ``width``, so a key's rows meet only in the cells that an interval spans.  ``closed``: which end belongs
-    to an interval, ``left`` or ``right``.
+    to an interval, ``left``, ``right`` or ``both``.
     """
     cells = intervals.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
     p = points.withColumn("_cell", F.floor(F.col(time) / width))
-    inside = (F.col(time) > F.col(start)) & (F.col(time) <= F.col(end)) if closed == "right" else (F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))
+    t = F.col(time)
+    inside = {"right": (t > F.col(start)) & (t <= F.col(end)), "left": (t >= F.col(start)) & (t < F.col(end)), "both": t.between(F.col(start), F.col(end))}[closed]
     return p.join(cells, [*keys, "_cell"]).where(inside).drop("_cell")
 
 
