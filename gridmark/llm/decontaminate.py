@@ -6,6 +6,7 @@
 4. ``phrase_matches`` intersects the anchors' lists after taking each item offset from the positions: both
    anchors of a window must lie on one diagonal (document position - item position) of a document.
 5. ``hits`` compares the whole windows of those candidates with the words of the documents, so matches are exact.
+6. ``near_items`` finds proximity matches in the same index: items two of whose anchor terms are near each other in a document, in any order.
 
 The postings of frequent terms are only read when a window has no rarer term.  The items' tables are broadcast only
 if their counted rows allow it; beyond that Spark shuffles by term, and adaptive execution splits a hot term.
@@ -17,7 +18,7 @@ equal results; columns other than id and text are not looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmark.llm.common import fingerprint, hinted, let, staged
@@ -99,20 +100,38 @@ def near_matches(index: DataFrame, first: str, second: str, slop: int) -> DataFr
     return a.join(b, near).select("doc_id", "th", "first_pos", "second_pos").distinct()
 
 
+def near_items(index: DataFrame, windows: DataFrame, slop: int = WINDOW) -> DataFrame:
+    """(doc_id, th, n_near): of how many items two different anchor terms occur at most ``slop`` words apart, in any order.
+
+    An item's postings of one document are sorted by position; if two different terms are that near, two neighbours in that order are.
+    """
+    on = index.join(hinted(anchors(windows).select("term", "ik").distinct(), MOST_BROADCAST_ROWS), "term")
+    w = Window.partitionBy("doc_id", "th", "ik").orderBy("pos")
+    near = on.withColumn("near", (F.col("pos") - F.lag("pos").over(w) <= slop) & (F.col("term") != F.lag("term").over(w)))
+    return near.where("near").groupBy("doc_id", "th", "ik").agg(F.lit(1).alias("one")).groupBy("doc_id", "th").agg(F.count("*").alias("n_near"))
+
+
 def marked(docs: DataFrame, items: DataFrame, k: int = WINDOW) -> DataFrame:
-    """One row for each document with n_words, n_hit, n_items, items_sha256, contaminated and ``spans``.
+    """One row for each document with n_words, n_hit, n_items, items_sha256, contaminated, ``spans`` and n_near.
 
-    ``spans``: the hit word ranges (start, end) of the document.
+    ``spans``: the hit word ranges (start, end) of the document.  ``n_near``: the items of proximity matches (``near_items``).
     """
-    return hits(docs.select("doc_id", "text"), candidates(docs, items, k)).select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
+    index, windows = indexed(docs, items, k)
+    near = near_items(index, windows, k).select(F.col("doc_id").alias("n_id"), F.col("th").alias("n_th"), "n_near")
+    rows = hits(docs.select("doc_id", "text", fingerprint(F.col("text")).alias("th")), candidates(index, windows)).select("row.doc_id", "row.th", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
+    return rows.join(near, rows["doc_id"].eqNullSafe(near["n_id"]) & (rows["th"] == near["n_th"]), "left").select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
-def candidates(docs: DataFrame, items: DataFrame, k: int = WINDOW) -> DataFrame:
-    """(doc_id, th, found) for the documents in which all anchors of some window lie on one diagonal."""
+def indexed(docs: DataFrame, items: DataFrame, k: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """The stored index of the anchor terms, and the items' windows."""
     wanted = staged(item_table(items), "items")
     counts = staged(term_counts(docs, wanted), "term-counts")
     windows = staged(item_windows(wanted, counts, k), "item-windows")
-    index = staged(postings(docs, anchors(windows)), "postings")
+    return staged(postings(docs, anchors(windows)), "postings"), windows
+
+
+def candidates(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """(doc_id, th, found) for the documents in which all anchors of some window lie on one diagonal."""
     lists = phrase_matches(index, windows).join(hinted(windows.select("ik", "item_id", "item", "width"), MOST_BROADCAST_ROWS // 50), "ik")
     return lists.groupBy("doc_id", "th").agg(F.collect_list(F.struct("item_id", "item", "width", "shift", "starts")).alias("found"))
 
@@ -143,4 +162,4 @@ def hits(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame, k: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that contain no window of an item, with all their columns."""
-    return hits(docs, candidates(docs, items, k)).where(~F.col("contaminated")).select("row.*")
+    return hits(docs, candidates(*indexed(docs, items, k))).where(~F.col("contaminated")).select("row.*")

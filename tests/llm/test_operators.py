@@ -140,6 +140,22 @@ def test_mixing(spark):
     assert out.columns == docs.columns and Counter(r["doc_id"] for r in out.select("doc_id").collect()) == Counter({i: t // size[i] for i, t in again if t})
 
 
+def test_proximity_matches(spark):
+    items = spark.createDataFrame([("a", "zebra quartz violin"), ("b", "zebra lantern")], "item_id string, text string")
+    filler = " ".join(["x"] * 20)
+    texts = ["zebra quartz violin", "violin x x zebra", f"zebra {filler} violin", "lantern zebra quartz", "zebra zebra zebra", None, f"quartz {filler} zebra lantern"]
+    got = by_id(decontaminate.marked(frame(spark, texts), items))
+    assert [got[i]["n_near"] for i in range(7)] == [1, 0, 0, 1, 0, 0, 1]
+    assert [got[i]["n_items"] for i in range(7)] == [1, 0, 0, 0, 0, 0, 1]
+
+
+def test_hits_of_repeated_rows(spark):
+    items = spark.createDataFrame([("a", "one two three"), ("a", "one two three"), (None, "four")], "item_id string, text string")
+    docs = frame(spark, ["x one two three y", "four", "other"])
+    got = decontaminate.marked(docs.unionByName(docs), items).collect()
+    assert sorted((r["doc_id"], r["n_hit"], r["n_items"]) for r in got) == [(0, 3, 1)] * 2 + [(1, 1, 0)] * 2 + [(2, 0, 0)] * 2
+
+
 # 6
 def links(texts, k=5, threshold=0.8):
     sets = {}
