@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def parts(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:

@@ -18,9 +18,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridmark.llm.common import let, n_matching, staged, words
+from gridmark.llm.common import hinted, let, n_matching, staged, words
 
 WINDOW = 8
+#: Labels up to which they may be broadcast: at about 16 bytes a row, 8 MB.
+MOST_BROADCAST_ROWS = 500_000
 MEASURES = ("n_words", "mean_word_chars", "symbol_share", "upper_share", "mark_share", "dup_line_share", "repeat_share", "distinct_share")
 
 
@@ -203,7 +205,7 @@ def _pruned(rows: DataFrame, left: Column, rule: list[Condition]) -> list[Condit
 def labelled_measures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The measures of the labelled rows, for ``learn``; a doc_id with several labels counts with the lowest.  Texts without a label are not measured."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
-    return text_measures(docs.select("doc_id", "text").join(known, "doc_id")).select(F.col("doc_id").alias("row"), "bad", "measures.tested.*").select("row", "bad", *MEASURES)
+    return text_measures(docs.select("doc_id", "text").join(hinted(known, MOST_BROADCAST_ROWS), "doc_id")).select(F.col("doc_id").alias("row"), "bad", "measures.tested.*").select("row", "bad", *MEASURES)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -12,10 +12,10 @@ words                 64-bit little-endian words; 4 bits select how many ids of
 escapes               ids too wide for 60 bits, as 64-bit little-endian words; the selector 0 points at them
 ====================  ==================================================================================================
 
-A block decodes without any other: the selectors give the offset of each word's first id, and all words of one
+The selectors are those of widths from 1 to 60 bits; there are none for runs of zeros, as the id 0 is rare in texts.  A block decodes without any other: the selectors give the offset of each word's first id, and all words of one
 selector are unpacked in one array operation.
 
-Defined cases: a null or empty text is just the end id; rows that share an id stay neighbours, each a document; a null
+Defined cases: a null or empty text is just the end id; rows that share an id stay neighbours in the order of a hash of their texts, each a document; a null
 id comes first; an empty table writes no block.  A text of any length is one document in one block.
 """
 
@@ -47,8 +47,8 @@ ESCAPE = 0
 BLOCK_IDS = 1 << 16
 SCHEMA = "part int, block int, ids_before long, n_ids int, doc_ids array<long>, doc_ends array<long>, words binary, escapes binary"
 ARROW_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int64())), ("words", pa.binary()), ("escapes", pa.binary())])
-#: Words that a Python worker remembers before it starts anew, at about 150 bytes each 90 MB; longer pieces count as no words.
-MOST_WORDS, LONGEST_PIECE = 600_000, 48
+#: Words that a Python worker remembers before it starts anew, at about 150 bytes each 60 MB; longer pieces count as no words.
+MOST_WORDS, LONGEST_PIECE = 400_000, 48
 #: Signs after a word that the tokenizer always cuts off; an apostrophe may start a contraction.
 TAIL = ".,;:!?%$&*#"
 
