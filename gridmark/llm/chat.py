@@ -55,21 +55,23 @@ def one_row_each(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id", "msg_id").agg(F.min(F.struct(*rest)).alias("m")).select("conv_id", "msg_id", *[F.col(f"m.{c}").alias(c) for c in rest]).select(*TREE)
 
 
-def lifts(messages: DataFrame) -> list[DataFrame]:
-    """For each k the table (conv_id, node, up, gain) of all messages: the ancestor 2^k above, null where the path has ended, and the scores on the way to below it.
+def lifts(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """For each k the table (conv_id, node, up, gain) of the messages with an ancestor 2^k above: it, and the scores on the way to below it; and the
+    messages whose way to a root is known, with the score of their whole path as ``gain``.
 
-    Each table joins the one before with itself.  In the last, ``gain`` is the score of a message's whole path, and only messages above or on a cycle still have an ancestor.
+    Each table joins the one before with what is known of the ancestors; a message whose way has ended is joined no more.  Messages above or on a cycle never end.
     """
     known = messages.select("conv_id", F.col("msg_id").alias("node"), F.col("parent_id").alias("p"), F.coalesce("score", F.lit(0.0)).alias("gain"))
     m = messages.select(F.col("conv_id").alias("c"), F.col("msg_id").alias("up"))
     now = staged(known.join(m, known["conv_id"].eqNullSafe(m["c"]) & (known["p"] == m["up"]), "left").select("conv_id", "node", "up", "gain"), "lift")
-    most, out = messages.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0, [now]
-    while 1 << len(out) - 1 < most and not now.where(F.col("up").isNotNull()).isEmpty():
-        b = now.select(F.col("conv_id").alias("c"), F.col("node").alias("mid"), F.col("up").alias("far"), F.col("gain").alias("more"))
-        far = now.join(b, now["conv_id"].eqNullSafe(b["c"]) & (now["up"] == b["mid"]), "left")
-        now = staged(far.select("conv_id", "node", F.col("far").alias("up"), (F.col("gain") + F.coalesce("more", F.lit(0.0))).alias("gain")), "lift")
-        out.append(now)
-    return out
+    most, out, ended = messages.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0, [now.where("up IS NOT NULL")], now.where("up IS NULL")
+    while 1 << len(out) - 1 < most and not out[-1].isEmpty():
+        b = out[-1].union(ended).select(F.col("conv_id").alias("c"), F.col("node").alias("mid"), F.col("up").alias("far"), F.col("gain").alias("more"))
+        further = out[-1].join(b, out[-1]["conv_id"].eqNullSafe(b["c"]) & (out[-1]["up"] == b["mid"]))
+        now = staged(further.select("conv_id", "node", F.col("far").alias("up"), (F.col("gain") + F.col("more")).alias("gain")), "lift")
+        out.append(now.where("up IS NOT NULL"))
+        ended = ended.union(now.where("up IS NULL"))
+    return out, ended
 
 
 def paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
@@ -78,15 +80,14 @@ def paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
     ``place``: the path's rank in its conversation by the sum of its scores, then by leaf.  ``keep``: how many paths of each to take; None for all.
     Leaves are ranked by what ``lifts`` summed up for them, and only chosen paths are enumerated.  ``messages``: one row each.
     """
-    ups = lifts(messages)
+    ups, rooted = lifts(messages)
     parents = messages.where(F.col("parent_id").isNotNull()).select(F.col("conv_id").alias("c"), F.col("parent_id").alias("p")).distinct()
-    rooted = ups[-1].where(F.col("up").isNull())
     leaves = rooted.join(parents, rooted["conv_id"].eqNullSafe(parents["c"]) & (rooted["node"] == parents["p"]), "left_anti")
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("gain").desc(), "node"))
     chosen = leaves.select("conv_id", F.col("node").alias("leaf"), place.alias("place"), "node", F.lit(0).cast("long").alias("back"))
     on = chosen if keep is None else chosen.where(F.col("place") <= keep)
     for k in range(len(ups) - 1, -1, -1):
-        up = ups[k].where(F.col("up").isNotNull()).select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "up")
+        up = ups[k].select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "up")
         further = on.join(up, on["conv_id"].eqNullSafe(up["c"]) & (on["node"] == up["n"])).select("conv_id", "leaf", "place", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back"))
         on = staged(on.union(further), "paths")  # else each step would hold the plan of the one before twice
     return on
