@@ -30,17 +30,17 @@ def named(code: Column, names: dict) -> Column:
 
 
 def shot_outcome(text: Column) -> Column:
-    """The first outcome whose word a shot's description contains."""
-    case = F.lit(None).cast("string")
+    """The first outcome whose word a shot's description contains in capitals; ``unknown`` for any other and for none."""
+    case = F.lit("unknown")
     for word, outcome in reversed(OUTCOME_WORDS):
-        case = F.when(F.contains(F.upper(text), F.lit(word)), F.lit(outcome)).otherwise(case)
+        case = F.when(F.contains(text, F.lit(word)), F.lit(outcome)).otherwise(case)
     return case
 
 
 def player_ref(side: Column, text: Column) -> Column:
-    """``away_26`` from a side and the first number of a text; null without a number."""
+    """``away_26`` from a side in any case and the first number of a text; null without a number."""
     number = F.regexp_extract(text, r"(\d+)", 1)
-    return F.when(number != "", F.concat_ws("_", side, number))
+    return F.when(number != "", F.concat_ws("_", F.lower(side), number))
 
 
 def team_code(team: Column) -> Column:
