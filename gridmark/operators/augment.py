@@ -13,17 +13,24 @@ from gridmark.operators import machines, sequential
 #: The arms in the one order in which they are applied.
 ARMS = ("camera_drift", "player_noise", "ball_noise", "ball_false", "no_ball_z", "ball_miss", "geom_loss", "player_miss", "team_flip", "team_unknown", "id_fragment")
 SERIES = ["match_id", "period"]
+# Mean lengths of episodes and correlation times of noise in ticks, the spread of a drift by its scale, and how near the ball teams are confused twice as often.
+MEAN_TICKS = {"ball_false": 5, "ball_miss": 20, "geom_loss": 10, "player_miss": 10, "team_flip": 30, "team_unknown": 30}
+TAU_TICKS = {"camera_drift": 30, "player_noise": 5, "ball_noise": 10}
+DRIFT_SPREAD, NEAR_BALL_M = 1.3, 10.0
+PEOPLE = ("player", "goalkeeper")
 
 
-def episodes(df: DataFrame, keys: list[str], tick: str, share: float, mean: float, seed: str, into: str) -> DataFrame:
+def episodes(df: DataFrame, keys: list[str], tick: str, share: float, mean: float, seed: str, into: str, since: str | None = None) -> DataFrame:
     """``df`` with a boolean ``into``: episodes of geometric length with the given mean that cover about ``share`` of the rows.
 
     ``df`` has one row for each tick of a series.  A start covers its length in ticks; rows between the latest end so far and their start are free.
+    ``since``: a further column with the latest start up to a row.
     """
     start = uniform(F.lit(seed), F.lit("start"), *map(F.col, [*keys, tick])) < 1 - math.exp(math.log(1 - share) / mean)
     length = F.floor(F.ln(F.greatest(uniform(F.lit(seed), F.lit("length"), *map(F.col, [*keys, tick])), F.lit(1e-12))) / math.log(1 - 1 / max(mean, 1.000001))) + 1
     w = Window.partitionBy(*keys).orderBy(tick).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_end", F.when(start, F.col(tick) + length)).withColumn(into, F.coalesce(F.max("_end").over(w) > F.col(tick), F.lit(False))).drop("_end")
+    out = df.withColumn("_end", F.when(start, F.col(tick) + length)).withColumn(into, F.coalesce(F.max("_end").over(w) > F.col(tick), F.lit(False)))
+    return (out.withColumn(since, F.max(F.when(F.col("_end").isNotNull(), F.col(tick))).over(w)) if since else out).drop("_end")
 
 
 def _noise(params: dict) -> machines.Autoregressive:
@@ -36,6 +43,20 @@ def correlated(df: DataFrame, keys: list[str], time: str, row_id: str, tau_us: i
     return sequential.batch(z, keys, ["ts_us", "event_id"], _noise, "event_id long, noise double", params=["tau_us", "sigma"])
 
 
+def drifts(objects: DataFrame, keys: list[str], axes: list[str], tau: int, seed: str) -> DataFrame:
+    """(keys, k, axes): for each series of ``keys`` and each axis a stationary AR(1) series of spread 1 over its ticks; a gap in the ticks decays like time."""
+    rows = objects.select(*keys, "k").distinct().withColumn("_axis", F.explode(F.array(*[F.lit(a) for a in axes])))
+    noise = correlated(rows, [*keys, "_axis"], "k", "k", tau, 1.0, seed)
+    return noise.groupBy(*keys, F.col("event_id").alias("k")).agg(*[F.max(F.when(F.col("_axis") == a, F.col("noise"))).alias(a) for a in axes])
+
+
+def ball_carried(objects: DataFrame) -> DataFrame:
+    """(match_id, period, k, bx, by): the visible ball, carried forward over all ticks of a period; null before the first."""
+    ball = F.min_by(F.when((F.col("object_type") == "ball") & F.col("visible"), F.struct("x", "y")), F.when((F.col("object_type") == "ball") & F.col("visible"), F.col("object_id")))
+    w = Window.partitionBy(*SERIES).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    return objects.groupBy(*SERIES, "k").agg(ball.alias("_b")).withColumn("_b", F.last("_b", ignorenulls=True).over(w)).select(*SERIES, "k", F.col("_b.x").alias("bx"), F.col("_b.y").alias("by"))
+
+
 def shifted(objects: DataFrame, which: Column, dx: Column, dy: Column) -> DataFrame:
     """``objects`` moved by (dx, dy) where ``which`` holds; null noise moves nothing."""
     return objects.withColumns({c: F.when(which, F.col(c) + F.coalesce(d, F.lit(0.0))).otherwise(F.col(c)) for c, d in (("x", dx), ("y", dy))})
@@ -49,18 +70,18 @@ def without_ball_z(objects: DataFrame) -> DataFrame:
     return objects.withColumn("z", F.when(F.col("object_type") != "ball", F.col("z")))
 
 
-def false_ball(objects: DataFrame, active: str, seed: str) -> DataFrame:
-    """The ball 5 to 30 metres away during episodes, in one direction for each row's second."""
-    second = F.floor(F.col("k") / 10)
-    keys = [F.col("match_id"), F.col("period"), second]
+def false_ball(objects: DataFrame, active: str, since: str, seed: str) -> DataFrame:
+    """The visible ball 5 to 30 metres away during episodes, in one direction for each episode (its start is ``since``)."""
+    keys = [F.col("match_id"), F.col("period"), F.col(since)]
     far, turn = 5 + 25 * uniform(F.lit(seed), F.lit("far"), *keys), 2 * math.pi * uniform(F.lit(seed), F.lit("turn"), *keys)
-    return shifted(objects, F.col(active) & (F.col("object_type") == "ball"), far * F.cos(turn), far * F.sin(turn))
+    return shifted(objects, F.col(active) & (F.col("object_type") == "ball") & F.col("visible"), far * F.cos(turn), far * F.sin(turn))
 
 
 def team_fault(objects: DataFrame, active: str, flip: bool) -> DataFrame:
-    """The other team, or none, during an object's episodes."""
+    """The other team, or none, during a visible person's episodes."""
     other = F.when(F.col("team") == "home", "away").when(F.col("team") == "away", "home") if flip else F.lit(None).cast("string")
-    return objects.withColumn("team", F.when(F.col(active) & F.col("team").isNotNull(), other).otherwise(F.col("team")))
+    which = F.col(active) & F.col("team").isNotNull() & F.col("visible") & F.col("object_type").isin(*PEOPLE)
+    return objects.withColumn("team", F.when(which, other).otherwise(F.col("team")))
 
 
 def fragmented_ids(objects: DataFrame, life_ticks: float, seed: str) -> DataFrame:
@@ -77,33 +98,51 @@ def severity(before: DataFrame, after: DataFrame, on: list[str]) -> DataFrame:
     return both.agg(F.sqrt(F.avg((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2)).alias("rms"), F.avg((F.col("visible") & ~F.col("_v")).cast("double")).alias("hidden"), F.avg((~F.col("team").eqNullSafe(F.col("_t"))).cast("double")).alias("team_changed"))
 
 
+def noisy(objects: DataFrame, arm: str, amount: float, seed: str, ball: DataFrame) -> DataFrame:
+    """Objects moved by AR(1) series: each person by its own, the ball by the period's, or all by the camera's offset and scale about ``ball`` (``ball_carried``)."""
+    if arm == "camera_drift":
+        d = drifts(objects, SERIES, ["dx", "dy", "ds"], TAU_TICKS[arm], seed).join(ball, [*SERIES, "k"], "left")
+        out, scale = objects.join(d, [*SERIES, "k"], "left"), amount / DRIFT_SPREAD
+        moved = {c: F.col(f"d{c}") * scale + F.col("ds") * (scale / 20) * (F.col(c) - F.coalesce(f"b{c}", F.lit(0.0))) for c in ("x", "y")}
+        return shifted(out, F.lit(True), moved["x"], moved["y"]).drop("dx", "dy", "ds", "bx", "by")
+    kinds, keys = (PEOPLE, [*SERIES, "object_id"]) if arm == "player_noise" else (("ball",), SERIES)
+    which = F.col("object_type").isin(*kinds)
+    out = objects.join(drifts(objects.where(which), keys, ["dx", "dy"], TAU_TICKS[arm], seed), [*keys, "k"], "left")
+    return shifted(out, which, amount * F.col("dx"), amount * F.col("dy")).drop("dx", "dy")
+
+
+def confused(objects: DataFrame, clean: DataFrame, ball: DataFrame, arm: str, share: float, seed: str) -> DataFrame:
+    """``team_fault`` in each person's episodes, and in a second set of them where it truly was within ten metres of the ball."""
+    keys = [*SERIES, "object_id"]
+    people = clean.where(F.col("object_type").isin(*PEOPLE)).groupBy(*keys, "k").agg(F.min_by("x", F.struct("x", "y")).alias("_x"), F.min_by("y", F.struct("x", "y")).alias("_y")).join(ball, [*SERIES, "k"], "left")
+    near = F.coalesce(F.hypot(F.col("_x") - F.col("bx"), F.col("_y") - F.col("by")) <= NEAR_BALL_M, F.lit(False))
+    both = episodes(episodes(people, keys, "k", share, MEAN_TICKS[arm], f"{seed}:a", "_a"), keys, "k", share, MEAN_TICKS[arm], f"{seed}:b", "_c")
+    out = objects.join(both.select(*keys, "k", (F.col("_a") | (F.col("_c") & near)).alias("_on")), [*keys, "k"], "left")
+    return team_fault(out.withColumn("_on", F.coalesce("_on", F.lit(False))), "_on", arm == "team_flip").drop("_on")
+
+
 def applied(objects: DataFrame, ticks: DataFrame, amounts: dict[str, float], seed: str) -> DataFrame:
-    """``objects`` with the asked arms in their fixed order; ``ticks``: (match_id, period, k), a row for each tick."""
-    out = objects
+    """``objects`` with the asked arms in their fixed order; ``ticks``: (match_id, period, k), a row for each tick.  The ball that drift and team faults go by is the clean one."""
+    out, ball = objects, ball_carried(objects)
     for arm in (a for a in ARMS if a in amounts):
         amount, key = amounts[arm], f"{seed}:{arm}"
         if arm == "no_ball_z":
             out = without_ball_z(out)
         elif arm == "id_fragment":
             out = fragmented_ids(out, amount, key)
-        elif arm in ("player_noise", "ball_noise", "camera_drift"):
-            kinds = {"player_noise": ["player", "goalkeeper"], "ball_noise": ["ball"], "camera_drift": ["player", "goalkeeper", "ball", "referee"]}[arm]
-            who = [F.col("object_id")] if arm != "camera_drift" else []
-            second = F.floor(F.col("k") / 10)
-            keys = [F.col("match_id"), F.col("period"), second, *who]
-            out = shifted(out, F.col("object_type").isin(*kinds), amount * normal(F.lit(key), F.lit("x"), *keys), amount * normal(F.lit(key), F.lit("y"), *keys))
+        elif arm in TAU_TICKS:
+            out = noisy(out, arm, amount, key, ball)
+        elif arm in ("team_flip", "team_unknown"):
+            out = confused(out, objects, ball, arm, amount, key)
         else:
-            per_object = arm in ("player_miss", "team_flip", "team_unknown")
-            series = out.where("object_type != 'ball'").select(*SERIES, "object_id", "k") if per_object else ticks
-            keys = [*SERIES, "object_id"] if per_object else SERIES
-            on = episodes(series, keys, "k", amount, 20, key, "_on").select(*keys, "k", "_on")
+            keys = [*SERIES, "object_id"] if arm == "player_miss" else SERIES
+            series = out.where(F.col("object_type").isin(*PEOPLE)).select(*keys, "k").distinct() if arm == "player_miss" else ticks
+            on = episodes(series, keys, "k", amount, MEAN_TICKS[arm], key, "_on", "_since").select(*keys, "k", "_on", "_since")
             out = out.join(on, [*keys, "k"], "left").withColumn("_on", F.coalesce("_on", F.lit(False)))
             if arm == "ball_false":
-                out = false_ball(out, "_on", key)
-            elif arm in ("team_flip", "team_unknown"):
-                out = team_fault(out, "_on", arm == "team_flip")
+                out = false_ball(out, "_on", "_since", key)
             else:
-                which = {"ball_miss": F.col("object_type") == "ball", "player_miss": F.col("object_type") != "ball", "geom_loss": F.lit(True)}[arm]
+                which = {"ball_miss": F.col("object_type") == "ball", "player_miss": F.col("object_type").isin(*PEOPLE), "geom_loss": F.lit(True)}[arm]
                 out = hidden(out, which & F.col("_on"))
-            out = out.drop("_on")
-    return out
+            out = out.drop("_on", "_since")
+    return out.select(*objects.columns)

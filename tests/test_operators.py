@@ -331,6 +331,30 @@ def test_faults_are_deterministic_and_sized(spark):
     assert 0.5 < s["rms"] < 2.5 and s["hidden"] == 0
 
 
+def test_noise_is_correlated_in_time(spark):
+    ticks = spark.range(4000).select(F.lit("m").alias("match_id"), F.lit(1).alias("period"), F.col("id").alias("k"))
+    d = augment.drifts(ticks, ["match_id", "period"], ["dx", "dy"], 5, "s").orderBy("k").toPandas()
+    assert len(d) == 4000 and all(0.8 < d[c].std() < 1.2 for c in ("dx", "dy"))
+    assert abs(d.dx.autocorr(1) - math.exp(-1 / 5)) < 0.06 and abs(d.dx.corr(d.dy)) < 0.2
+
+
+def test_arms_go_by_the_clean_ball(spark):
+    rows = [("m", 1, k, f"{t}_{i}", "player", t, x, 0.0, None, True) for k in range(1500) for i, (t, x) in enumerate((("home", 2.0), ("away", 40.0)))]
+    rows += [("m", 1, k, "ball", "ball", None, 0.0, 0.0, None, True) for k in range(1500) if k != 7]
+    objects = spark.createDataFrame(rows, "match_id string, period int, k long, object_id string, object_type string, team string, x double, y double, z double, visible boolean")
+    ticks = objects.select("match_id", "period", "k").distinct()
+    assert augment.ball_carried(objects).where("k = 7").first()[3:] == (0.0, 0.0)
+    flipped = augment.applied(objects, ticks, {"team_flip": 0.1, "camera_drift": 1.0, "ball_false": 0.1}, "s")
+    wrong = {r["object_id"]: r["n"] for r in flipped.where("substring_index(object_id, '_', 1) != team").groupBy("object_id").agg(F.count("*").alias("n")).collect()}
+    assert wrong["home_0"] > wrong.get("away_1", 0) > 0 and flipped.count() == len(rows)
+    moved = flipped.where("object_id = 'away_1'").agg(F.avg((F.col("x") - 40) ** 2 + F.col("y") ** 2)).first()[0]
+    assert 0.3 < moved / 2 < 3
+    far = flipped.where("object_type = 'ball' AND hypot(x, y) > 4").count()
+    assert 20 < far < 500
+    empty = augment.applied(objects.limit(0), ticks.limit(0), dict.fromkeys(augment.ARMS, 0.1), "s")
+    assert empty.count() == 0 and empty.columns == objects.columns
+
+
 def test_tables(spark):
     o = spark.createDataFrame([(1, "b", "home", 0.0, 1.0), (1, "a", "away", 0.0, -1.0), (1, "c", None, 5.0, 5.0)], "f int, object_id string, team string, x double, y double")
     t = spark.createDataFrame([(1, 0.0, 0.0)], "f int, bx double, by double")
