@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmark.llm import chat, compression_quality, decontaminate, licences, mixing, personal_data, quality_rules, similar, token_ids, toxicity
+from gridmark.llm import chat, compression_quality, decontaminate, licences, line_dedup, mixing, periodic_runs, personal_data, quality_rules, similar, token_ids, toxicity, whitening
 from gridmark.llm.common import read, staged
 
 
@@ -59,5 +59,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_chat_format, op3_quality_rules, op4_mix_sources, op5_decontaminate, op6_jaccard_join, op7_licence_scan, op8_compression_quality, op9_personal_data, op10_toxicity)}
-ORACLE_SQL = {"op2_chat_format": chat.oracle_sql(BOTH_SAY), "op7_licence_scan": licences.oracle_sql()}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(line_dedup.judged(read(spark, sf_dir, "documents")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.marked(periodic_runs.with_repeated_tails(read(spark, sf_dir, "documents"))))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_ids, op2_chat_format, op3_quality_rules, op4_mix_sources, op5_decontaminate, op6_jaccard_join, op7_licence_scan, op8_compression_quality, op9_personal_data, op10_toxicity,
+        op11_line_dedup, op12_periodic_runs, op13_whitening,
+    )
+}
+ORACLE_SQL = {"op2_chat_format": chat.oracle_sql(BOTH_SAY), "op7_licence_scan": licences.oracle_sql(), "op11_line_dedup": line_dedup.ORACLE_SQL}
