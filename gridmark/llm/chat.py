@@ -9,8 +9,8 @@ backslash, so no control string of a text survives and ``unescaped`` takes exact
 
 Defined cases: a null text or role is an empty one; rows of equal turn follow in the order of role and text, nulls first, and each is a
 message; a null conv_id is a conversation; a message whose parent is missing starts a path; messages on a cycle of answers, and those
-that answer them, have no root and belong to no path; of rows with the same conv_id and msg_id the least counts (``one_row_each``), and a null msg_id is a
-message that none can answer; columns other than those of ``TREE`` are not looked at; no rows give no rows.  One conversation is one row, so it must fit in a task.
+that answer them, have no root and belong to no path; of rows with the same conv_id and msg_id the least counts (``one_row_each``), and each row with a null msg_id is a
+message of its own that none can answer; null scores and those that aren't numbers count 0; columns other than those of ``TREE`` are not looked at; no rows give no rows.  One conversation is one row, so it must fit in a task.
 """
 
 from __future__ import annotations
@@ -50,8 +50,18 @@ def reply_chain(turns: DataFrame) -> DataFrame:
 
 
 def one_row_each(messages: DataFrame) -> DataFrame:
-    """``messages`` with one row for each conv_id and msg_id: the least by parent, role, text and score, nulls first."""
+    """``messages`` with one row for each conv_id and msg_id: the least by parent, role, text and score, nulls first.
+
+    Rows with a null msg_id all stay.  They get the numbers after all ids that their conversation names, so none of its messages answers them.
+    """
     rest = ("parent_id", "role", "text", "score")
+    messages = messages.select(*TREE)
+    if messages.schema["msg_id"].nullable:
+        named = messages.groupBy(F.col("conv_id").alias("c")).agg(F.coalesce(F.max(F.greatest("msg_id", "parent_id")), F.lit(0)).alias("last"))
+        nameless = messages.where(F.col("msg_id").isNull())
+        nth = F.row_number().over(Window.partitionBy("conv_id").orderBy(*rest))
+        nameless = nameless.join(named, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", (F.col("last") + nth).cast("long").alias("msg_id"), *rest)
+        messages = messages.where(F.col("msg_id").isNotNull()).unionByName(nameless)
     return messages.groupBy("conv_id", "msg_id").agg(F.min(F.struct(*rest)).alias("m")).select("conv_id", "msg_id", *[F.col(f"m.{c}").alias(c) for c in rest]).select(*TREE)
 
 
@@ -61,7 +71,7 @@ def lifts(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
 
     Each table joins the one before with what is known of the ancestors; a message whose way has ended is joined no more.  Messages above or on a cycle never end.
     """
-    known = messages.select("conv_id", F.col("msg_id").alias("node"), F.col("parent_id").alias("p"), F.coalesce("score", F.lit(0.0)).alias("gain"))
+    known = messages.select("conv_id", F.col("msg_id").alias("node"), F.col("parent_id").alias("p"), F.nanvl(F.coalesce(F.col("score").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("gain"))
     m = messages.select(F.col("conv_id").alias("c"), F.col("msg_id").alias("up"))
     now = staged(known.join(m, known["conv_id"].eqNullSafe(m["c"]) & (known["p"] == m["up"]), "left").select("conv_id", "node", "up", "gain"), "lift")
     most, out, ended = messages.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0, [now.where("up IS NOT NULL")], now.where("up IS NULL")
@@ -83,7 +93,7 @@ def paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
     ups, rooted = lifts(messages)
     parents = messages.where(F.col("parent_id").isNotNull()).select(F.col("conv_id").alias("c"), F.col("parent_id").alias("p")).distinct()
     leaves = rooted.join(parents, rooted["conv_id"].eqNullSafe(parents["c"]) & (rooted["node"] == parents["p"]), "left_anti")
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("gain").desc(), "node"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.nanvl("gain", F.lit(0.0)).desc(), "node"))
     chosen = leaves.select("conv_id", F.col("node").alias("leaf"), place.alias("place"), "node", F.lit(0).cast("long").alias("back"))
     on = chosen if keep is None else chosen.where(F.col("place") <= keep)
     for k in range(len(ups) - 1, -1, -1):
@@ -130,6 +140,28 @@ def digests(chats: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), let(F.array_join("learnt", ""), lambda x: F.struct(F.length(x).cast("long").alias("loss_chars"), F.sha2(x, 256).alias("loss_sha256"))).alias("l"), F.length("formatted").cast("long").alias("formatted_chars"), "place").select("conv_id", "n_turns", "turns_sha256", "l.loss_chars", "l.loss_sha256", "formatted_chars", "place")
 
 
+def reply_trees(turns: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, text) as a tree: each answers one of the three before it, chosen by its number and conversation, and scores 0 to 10."""
+    rows = reply_chain(turns)
+    n = F.col("msg_id") - 1
+    parent = F.when(n > 0, F.col("msg_id") - 1 - F.pmod(F.col("conv_id") * 7 + n * 5, F.least(n, F.lit(3))))
+    return rows.select("conv_id", "msg_id", parent.alias("parent_id"), "role", "text", F.pmod(F.col("conv_id") * 13 + n * 29, F.lit(11)).cast("double").alias("score"))
+
+
+TREES_SQL = f"""
+WITH RECURSIVE c AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS id FROM conversations),
+m AS (SELECT *, CASE WHEN id > 1 THEN id - 1 - (conv_id * 7 + (id - 1) * 5) % least(id - 1, 3) END AS parent, (conv_id * 13 + (id - 1) * 29) % 11 AS score FROM c),
+down AS (SELECT conv_id, id, [id] AS path, score AS gain FROM m WHERE parent IS NULL
+         UNION ALL SELECT m.conv_id, m.id, list_append(path, m.id), gain + m.score FROM down JOIN m ON m.conv_id = down.conv_id AND m.parent = down.id),
+leaf AS (SELECT down.*, row_number() OVER (PARTITION BY down.conv_id ORDER BY gain DESC, down.id) AS place FROM down LEFT JOIN m ON m.conv_id = down.conv_id AND m.parent = down.id WHERE m.id IS NULL),
+p AS (SELECT conv_id, place, unnest(path) AS id FROM leaf WHERE place <= 3),
+t AS (SELECT p.conv_id, p.place, p.id, m.role, m.text FROM p JOIN m ON m.conv_id = p.conv_id AND m.id = p.id)
+SELECT conv_id, place::INTEGER AS place, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY id)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY id) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum({len(START)} + length(role) + 1 + length(regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g')) + {len(END)})::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id, place"""
+
+
 def oracle_sql(extra: str) -> str:
     """``digests`` of all ``conversations`` and of one more, -1, with ``extra`` as user and as assistant, as DuckDB SQL."""
     return f"""

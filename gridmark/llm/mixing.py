@@ -7,8 +7,10 @@ document.  Pairs move words, not copies, so a source's total never changes while
 
 ``mixed`` folds buckets of about ``fan`` documents in parallel, each leaving at most one fractional document; those meet in
 buckets of buckets, and so on: a reduction tree of depth log_fan(documents).  A hot source just has more buckets.
-At the root one document of a source is left and rounds to the nearer number, so a source ends within half of that document
-of its target.  Chances come from hashes of ids, so reruns agree.
+Larger documents meet first, so that what stays fractional shrinks: a pair ends at the document that has fewer words left to move.
+At the root the one document left of a source rounds to the nearer number, and one decided document of the source, the one whose
+words come nearest to what that rounding adds or takes, is decided the other way (``settled_up``).  So a source ends nearer to its target than half of its smallest
+free document wherever it has documents of all sizes; this swap is the only step that moves an expectation, by one document of each source.  Chances come from hashes of ids, so reruns agree.
 
 Defined cases: null and blank texts have size 0 and take nothing; the null source is a source, last in order; repeated rows (the same
 id, source and text) share one decision; no documents give no rows.
@@ -16,6 +18,8 @@ id, source and text) share one decision; no documents give no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,14 +60,14 @@ def _uniform(*keys: Column) -> Column:
 
 
 def _fold(members: Column, seed: int) -> Column:
-    """Folds an array of (h, key, size, base, p): the struct (done: array of (key, copies), one: the fractional one, or null)."""
-    kind = "struct<h:bigint,key:struct<doc_id:bigint,source:string,th:bigint>,size:bigint,base:bigint,p:double>"
+    """Folds an array of (less, h, key, size, base, p), ``less`` being -size: the struct (done: array of (key, size, base, up), one: the fractional one, or null); ``up`` is 1 for one copy more than ``base``."""
+    kind = "struct<less:bigint,h:bigint,key:struct<doc_id:bigint,source:string,th:bigint>,size:bigint,base:bigint,p:double>"
 
-    def settled(x: Column, copies: Column) -> Column:
-        return F.struct(x["key"].alias("key"), (x["base"] + copies).alias("copies"))
+    def settled(x: Column, up: Column) -> Column:
+        return F.struct(x["key"].alias("key"), x["size"].alias("size"), x["base"].alias("base"), up.alias("up"))
 
     def moved(x: Column, p: Column) -> Column:
-        return F.struct(x["h"].alias("h"), x["key"].alias("key"), x["size"].alias("size"), x["base"].alias("base"), p.alias("p"))
+        return F.struct(x["less"].alias("less"), x["h"].alias("h"), x["key"].alias("key"), x["size"].alias("size"), x["base"].alias("base"), p.alias("p"))
 
     def pair(done: Column, a: Column, x: Column) -> Column:
         up = F.least((1 - a["p"]) * a["size"], x["p"] * x["size"])
@@ -86,7 +90,7 @@ def _fold(members: Column, seed: int) -> Column:
 
         return let(F.struct(up.alias("up"), down.alias("down")), after)
 
-    start = F.struct(F.array().cast("array<struct<key:struct<doc_id:bigint,source:string,th:bigint>,copies:bigint>>").alias("done"), F.lit(None).cast(kind).alias("one"))
+    start = F.struct(F.array().cast("array<struct<key:struct<doc_id:bigint,source:string,th:bigint>,size:bigint,base:bigint,up:bigint>>").alias("done"), F.lit(None).cast(kind).alias("one"))
     return F.aggregate(members, start, lambda acc, x: F.when(acc["one"].isNull(), F.struct(acc["done"].alias("done"), x.alias("one"))).otherwise(pair(acc["done"], acc["one"], x)))
 
 
@@ -98,19 +102,33 @@ def decisions(sized: DataFrame, goals: DataFrame, *, seed: int = 17, fan: int =
     base = F.floor("each").cast("bigint")
     h = F.xxhash64(F.lit(seed), "doc_id", "source", "th")
     bucket = F.pmod(h, F.ceil(F.col("n_docs") / fan).cast("bigint"))
-    units = units.select("source", bucket.alias("bucket"), F.struct(h.alias("h"), F.struct("doc_id", "source", "th").alias("key"), "size", base.alias("base"), (F.col("each") - base).alias("p")).alias("x"))
+    units = units.select("source", bucket.alias("bucket"), F.struct((-F.col("size")).alias("less"), h.alias("h"), F.struct("doc_id", "source", "th").alias("key"), "size", base.alias("base"), (F.col("each") - base).alias("p")).alias("x"))
     buckets = -(-(goals.agg(F.max("n_docs")).first()[0] or 1) // fan)
-    out, level = units.where(F.col("x.p") == 0).select("x.key.*", F.col("x.base").alias("copies")), units.where(F.col("x.p") > 0)
+    whole, level, done = units.where(F.col("x.p") == 0).select("x.key.*", F.col("x.base").alias("copies")), units.where(F.col("x.p") > 0), []
     while True:
         folded = level.groupBy("source", "bucket").agg(F.sort_array(F.collect_list("x")).alias("xs")).select("source", "bucket", _fold(F.col("xs"), seed).alias("f"))
         folded = staged(folded, "pivots")
-        out = out.unionByName(folded.select(F.explode("f.done").alias("d")).select("d.key.*", "d.copies"))
+        done.append(folded.select(F.explode("f.done").alias("d")).select("d.key.*", "d.size", "d.base", "d.up"))
         left = folded.where(F.col("f.one").isNotNull()).select("source", F.floor(F.col("bucket") / fan).alias("bucket"), F.col("f.one").alias("x"))
         if buckets <= 1:
-            return out.unionByName(left.select("x.key.*", (F.col("x.base") + F.round("x.p")).cast("bigint").alias("copies")))
+            return whole.unionByName(settled_up(reduce(DataFrame.unionByName, done), left))
         level, buckets = left, -(-buckets // fan)
 
 
+def settled_up(done: DataFrame, left: DataFrame) -> DataFrame:
+    """(doc_id, source, th, copies) of the decided documents and of the one left of each source, with the swap that makes up for rounding it."""
+    up = F.round("x.p").cast("bigint")
+    roots = staged(left.select("source", F.struct("x.key.*", (F.col("x.base") + up).alias("copies")).alias("root"), ((up - F.col("x.p")) * F.col("x.size")).alias("excess")), "roots")
+    of = hinted(roots.select(F.col("source").alias("of"), "excess"), MOST_BROADCAST_ROWS)
+    off = F.abs(F.col("size") - F.abs("excess"))
+    able = done.join(of, done["source"].eqNullSafe(F.col("of"))).where(((F.col("up") == 1) == (F.col("excess") > 0)) & (off < F.abs("excess")))
+    swaps = staged(able.groupBy("source").agg(F.min(F.struct(off.alias("off"), "doc_id", "th")).alias("m")).select(F.col("source").alias("of"), F.col("m.doc_id").alias("of_id"), F.col("m.th").alias("of_th"), F.lit(1).cast("bigint").alias("swap")), "swaps")
+    same = done["source"].eqNullSafe(F.col("of")) & done["doc_id"].eqNullSafe(F.col("of_id")) & (done["th"] == F.col("of_th"))
+    swapped = done.join(hinted(swaps, MOST_BROADCAST_ROWS), same, "left")
+    copies = F.col("base") + F.abs(F.col("up") - F.coalesce("swap", F.lit(0).cast("bigint")))
+    return swapped.select("doc_id", "source", "th", copies.alias("copies")).unionByName(roots.select("root.*"))
+
+
 def mixed(docs: DataFrame, *, seed: int = 17) -> DataFrame:
     """(doc_id, source, th, size, source_size, target, copies, taken): a row for each row of ``docs``."""
     sized = staged(sizes(docs), "sizes")

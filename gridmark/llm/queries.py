@@ -25,6 +25,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(staged(chat.formatted(chat.reply_chain(turns.unionByName(extra)), keep=1), "chats"))
 
 
+def chat_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as reply trees: the three best paths of each."""
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    return chat.digests(staged(chat.formatted(chat.reply_trees(turns), keep=3), "chats"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -75,7 +81,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_ids, op2_chat_format, op3_quality_rules, op4_mix_sources, op5_decontaminate, op6_jaccard_join, op7_licence_scan, op8_compression_quality, op9_personal_data, op10_toxicity,
-        op11_line_dedup, op12_periodic_runs, op13_whitening,
+        op11_line_dedup, op12_periodic_runs, op13_whitening, chat_reply_trees,
     )
 }
-ORACLE_SQL = {"op2_chat_format": chat.oracle_sql(BOTH_SAY), "op7_licence_scan": licences.oracle_sql(), "op11_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op2_chat_format": chat.oracle_sql(BOTH_SAY), "chat_reply_trees": chat.TREES_SQL, "op7_licence_scan": licences.oracle_sql(), "op11_line_dedup": line_dedup.ORACLE_SQL}
