@@ -38,9 +38,9 @@ def shot_outcome(text: Column) -> Column:
 
 
 def player_ref(side: Column, text: Column) -> Column:
-    """``away_26`` from a side in any case and the first number of a text; null without a number."""
+    """``away_26`` from a side in any case and the first number of a text; null without a side or a number."""
     number = F.regexp_extract(text, r"(\d+)", 1)
-    return F.when(number != "", F.concat_ws("_", F.lower(side), number))
+    return F.when(number != "", F.concat(F.lower(side), F.lit("_"), number))
 
 
 def team_code(team: Column) -> Column:

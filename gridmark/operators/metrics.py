@@ -68,12 +68,12 @@ def alarm_summary(taken: DataFrame, alarms: DataFrame, n_matches: Column, by: li
     return both.withColumns({"miss_rate": F.try_divide(F.col("missed"), F.col("shots")), "false_per_match": F.col("false_alarms") / n_matches})
 
 
-def choose_tau(summary: DataFrame, most_false: float) -> DataFrame:
-    """The row with the lowest miss rate among those within the budget, ties to the higher tau; else with the fewest false alarms, flagged."""
+def choose_tau(summary: DataFrame, most_false: float, by: list[str] | None = None) -> DataFrame:
+    """The row (of each ``by``) with the lowest miss rate among those within the budget, ties to the higher tau; else with the fewest false alarms, flagged."""
     inside = F.col("false_per_match") <= most_false
     order = F.struct((~inside).alias("over"), F.when(inside, F.col("miss_rate")).otherwise(F.col("false_per_match")).alias("worth"), (-F.col("tau")).alias("t"))
-    best = summary.agg(F.min_by(F.struct(*summary.columns), order).alias("b"), F.min(order).alias("o"))
-    return best.select("b.*", F.col("o.over").alias("over_budget"))
+    best = summary.groupBy(*by or []).agg(F.min_by(F.struct(*[c for c in summary.columns if c not in (by or [])]), order).alias("b"), F.min(order).alias("o"))
+    return best.select(*by or [], "b.*", F.col("o.over").alias("over_budget"))
 
 
 def stratified_folds(matches: DataFrame, match: str, source: str, size: str, folds: int, seed: str) -> DataFrame:
