@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridmark.operators import sequential
+
 
 def _running(df: DataFrame, p: str, y: str, by: list[str]) -> DataFrame:
     """(by, p, pos, n, pos_at, n_at): the counts at a score and at or above it, ``pos_all`` and ``n_all`` of the group."""
@@ -85,14 +87,48 @@ def stratified_folds(matches: DataFrame, match: str, source: str, size: str, fol
     return blocks.withColumn("fold", place.cast("int")).drop("_block")
 
 
-def appended_folds(frozen: DataFrame, matches: DataFrame, match: str, source: str, folds: int, seed: str) -> DataFrame:
-    """Frozen assignments, and later matches dealt round-robin to the smallest folds first; assigned ones never move."""
-    late = matches.join(frozen.select(match), match, "left_anti").withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col(match).cast("string"))))
-    all_folds = frozen.sparkSession.range(folds).select(F.col("id").cast("int").alias("fold"))
-    sizes = matches.select(source).distinct().crossJoin(F.broadcast(all_folds)).join(frozen.groupBy(source, "fold").count(), [source, "fold"], "left").fillna(0, ["count"])
-    order = sizes.withColumn("_turn", F.row_number().over(Window.partitionBy(source).orderBy("count", "fold")) - 1)
-    dealt = late.withColumn("_turn", (F.row_number().over(Window.partitionBy(source).orderBy("_h", match)) - 1) % folds)
-    return frozen.unionByName(dealt.join(order, [source, "_turn"]).select(*frozen.columns), allowMissingColumns=True)
+class SmallestFold:
+    """Gives each match of a source the fold with the fewest matches, then the least size, then the least number; what it keeps is two numbers for each fold."""
+
+    def __init__(self, params: dict) -> None:
+        self.load = [[0, 0] for _ in range(params["_folds"])]
+
+    def step(self, row: dict) -> list[dict]:
+        fold, size, out = row["_fold"], row["_size"] or 0, []
+        if fold is None:
+            fold = min(range(len(self.load)), key=lambda f: (*self.load[f], f))
+            out = [{"_match": row["_match"], "fold": fold}]
+        fold = int(fold)  # pandas has no whole numbers beside nulls
+        self.load[fold] = [self.load[fold][0] + 1, self.load[fold][1] + size]
+        return out
+
+    def end(self) -> list[dict]:
+        return []
+
+
+def appended_folds(frozen: DataFrame, matches: DataFrame, match: str, source: str, size: str, folds: int, seed: str) -> DataFrame:
+    """(match, source, size, fold): frozen assignments, which never move, and later matches.
+
+    A source without frozen matches is dealt out anew (``stratified_folds``); each later match of another goes, in the order of its id, to the fold that is smallest then.
+    One row is one match, so the one pass over a source's matches is short.
+    """
+    late = matches.select(match, source, size).join(frozen.select(match), match, "left_anti")
+    old = frozen.select(source).distinct()
+    fresh = stratified_folds(late.join(old, source, "left_anti"), match, source, size, folds, seed).select(match, source, size, "fold")
+    late = late.join(old, source)
+    both = frozen.select(source, F.col(match).alias("_match"), F.col(size).cast("long").alias("_size"), F.col("fold").cast("int").alias("_fold")).unionByName(late.select(source, F.col(match).alias("_match"), F.col(size).cast("long").alias("_size"), F.lit(None).cast("int").alias("_fold")))
+    both = both.withColumns({"_late": F.col("_fold").isNull(), "_folds": F.lit(folds)})
+    kind = matches.schema[match].dataType.simpleString()
+    dealt = sequential.batch(both, [source], ["_late", "_match"], SmallestFold, f"_match {kind}, fold int", ["_folds"])
+    dealt = dealt.select(F.col("_match").alias(match), "fold").join(late, match).select(match, source, size, "fold")
+    return frozen.select(match, source, size, "fold").unionByName(dealt).unionByName(fresh)
+
+
+def refreshed_sizes(frozen: DataFrame, current: DataFrame, match: str, size: str) -> DataFrame:
+    """``frozen`` with the sizes that ``current`` has now, and ``changed``; folds never move."""
+    now = current.select(match, F.col(size).alias("_now"))
+    rows = frozen.join(now, match, "left").withColumn("_new", F.coalesce("_now", size))
+    return rows.withColumn("changed", ~F.col("_new").eqNullSafe(F.col(size))).withColumn(size, F.col("_new")).select(*frozen.columns, "changed")
 
 
 def inner_split(matches: DataFrame, match: str, source: str, size: str, every: int, seed: str) -> DataFrame:

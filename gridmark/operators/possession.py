@@ -95,6 +95,55 @@ def team_hysteresis(df: DataFrame, keys: list[str], tick: str, p: str, *, high:
     return rows.select(*keys, tick, filled(decided, inside).alias("smoothed"))
 
 
+def smoothed(df: DataFrame, keys: list[str], tick: str, p: str, rule: str, fallback: str, margin: Column, dwell: Column, hold: Column) -> DataFrame:
+    """``df`` with ``smoothed``: the team after a margin, a dwell and a hold, which may be columns, so that a sweep is one job with them among ``keys``.
+
+    A row decides for home from 0.5 + margin, for away up to 0.5 - margin; ``dwell`` decisive rows in a row (one at least) change the team.  A row without p, or marked
+    ``fallback``, shows the rule's team and, unless ``hold``, sets it; with hold it keeps the model's last team.  The first row that knows anything sets the team,
+    a model row by 0.5 alone.  So the team is what the last setting row set: the row at which a run of decisive rows reaches the dwell, or a fallback row.
+    """
+    w = ordered(keys, tick)
+    score = F.when(~F.coalesce(F.col(fallback), F.lit(False)), F.col(p))
+    says = F.when(score >= 0.5 + margin, "home").when(score <= 0.5 - margin, "away")
+    rows = df.withColumns({"_p": score, "_says": says})
+    rows = rows.withColumns({"_n": F.row_number().over(w), "_turns": ~F.col("_says").eqNullSafe(F.lag("_says").over(w)) | (F.row_number().over(w) == 1)})
+    run = F.col("_n") - filled(F.when(F.col("_turns"), F.col("_n")), w) + 1
+    any_before = F.coalesce(F.max((F.col("_p").isNotNull() | F.col(rule).isNotNull()).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
+    first = F.when(F.col("_p").isNotNull(), F.coalesce("_says", F.when(F.col("_p") >= 0.5, "home").otherwise("away"))).otherwise(F.col(rule))
+    later = F.when(F.col("_p").isNotNull(), F.when(F.col("_says").isNotNull() & (run >= F.greatest(dwell, F.lit(1))), F.col("_says"))).when(~hold, F.col(rule))
+    rows = rows.withColumn("_sets", F.when(any_before, later).otherwise(first))
+    now = filled(F.col("_sets"), w)
+    return rows.withColumn("smoothed", F.when(F.col("_p").isNotNull() | (hold & now.isNotNull()), now).otherwise(F.col(rule))).drop("_p", "_says", "_n", "_turns", "_sets")
+
+
+def smoothing_sweep(df: DataFrame, keys: list[str], tick: str, p: str, rule: str, fallback: str, truth: str, positive: str, margins: list[float], dwells: list[int], young: int = 30) -> DataFrame:
+    """(margin, dwell, hold, ratios, churn, pass) of every configuration in one job: the disagreement with ``truth`` against that of the rule.
+
+    ``overall``, ``first`` (ticks up to ``young`` after truth changed) and ``positive`` are ratios of disagreeing ticks, ``late`` is the difference of their shares on the other
+    ticks, ``churn`` the ratio of changes to truth's.
+    """
+    w = ordered(keys, tick)
+    turn = F.when(~F.col(truth).eqNullSafe(F.lag(truth).over(w)), F.col(tick))
+    base = df.withColumn("_age", F.col(tick) - filled(turn, w))
+    each = base.withColumns({"margin": F.explode(F.array(*map(F.lit, margins)))}).withColumn("dwell", F.explode(F.array(*map(F.lit, dwells)))).withColumn("hold", F.explode(F.array(F.lit(False), F.lit(True))))
+    config = ["margin", "dwell", "hold"]
+    rows = smoothed(each, [*config, *keys], tick, p, rule, fallback, F.col("margin"), F.col("dwell"), F.col("hold"))
+    own = ordered([*config, *keys], tick)
+    known = F.col(truth).isNotNull()
+    wrong = {"_r": known & ~F.col(rule).eqNullSafe(F.col(truth)), "_l": known & ~F.col("smoothed").eqNullSafe(F.col(truth))}
+    turns = {f"_t_{c}": F.coalesce(F.col(c) != F.last(c, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)) for c in ("smoothed", truth)}
+    rows = rows.withColumns(wrong).withColumns(turns)
+    late = known & (F.col("_age") > young)
+    sums = [F.count_if(late).alias("n_late")]
+    for side in ("_r", "_l"):
+        bad = F.col(side)
+        sums += [F.count_if(bad).alias(f"all{side}"), F.count_if(bad & (F.col("_age") <= young)).alias(f"first{side}"), F.count_if(bad & F.col(positive)).alias(f"pos{side}"), F.count_if(bad & late).alias(f"late{side}")]
+    by = rows.groupBy(*config).agg(*sums, F.count_if("_t_smoothed").alias("churn_l"), F.count_if(f"_t_{truth}").alias("churn_r"))
+    out = by.select(*config, F.try_divide("all_l", "all_r").alias("overall"), F.try_divide("first_l", "first_r").alias("first"), F.try_divide("pos_l", "pos_r").alias("positive"), F.try_divide(F.col("late_l") - F.col("late_r"), F.col("n_late")).alias("late"), F.try_divide("churn_l", "churn_r").alias("churn"))
+    # The bars of the sweep.
+    return out.withColumn("passes", (F.col("overall") <= 0.9) & (F.col("first") <= 0.85) & (F.col("positive") <= 1) & (F.col("late") <= 0.01) & (F.col("churn") <= 1.25))
+
+
 def candidates(objects: DataFrame, keys: list[str], frame: str, *, reach: float = 1.5, most_height: float = 1.0) -> DataFrame:
     """(keys, frame, x, y, candidate, candidate_team): the visible ball of each frame, and the nearest visible player or keeper within ``reach`` of it.
 

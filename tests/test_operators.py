@@ -199,10 +199,10 @@ def test_metrics(spark):
     folds = metrics.stratified_folds(spark.range(23).select(F.col("id").alias("m"), F.lit("s").alias("s"), (F.col("id") % 7).alias("n")), "m", "s", "n", 5, "x")
     sizes = sorted(r["count"] for r in folds.groupBy("fold").count().collect())
     assert sizes == [4, 4, 5, 5, 5]
-    frozen = folds.select("m", "s", "fold")
-    later = spark.range(30).select(F.col("id").alias("m"), F.lit("s").alias("s"))
-    both = metrics.appended_folds(frozen, later, "m", "s", 5, "x")
-    assert both.count() == 30 and both.intersect(frozen).count() == 23
+    frozen = folds.select("m", "s", "n", "fold")
+    later = spark.range(30).select(F.col("id").alias("m"), F.lit("s").alias("s"), F.lit(1).cast("long").alias("n"))
+    both = metrics.appended_folds(frozen, later, "m", "s", "n", 5, "x")
+    assert both.count() == 30 and both.intersect(frozen).count() == 23 and sorted(r["count"] for r in both.groupBy("fold").count().collect()) == [6] * 5
     best = metrics.choose_tau(spark.createDataFrame([(0.1, 0.5, 9.0), (0.2, 0.6, 2.0), (0.3, 0.6, 1.0)], "tau double, miss_rate double, false_per_match double"), 3).first()
     assert best["tau"] == 0.3 and not best["over_budget"]
 
