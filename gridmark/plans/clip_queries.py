@@ -68,7 +68,7 @@ def clip_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("clip", "n_scored", "n_truth_frames", "n_geometry", "n_truth", "n_vis", "n_pairs", "n_near", *[F.round(c, 6).alias(c) for c in ("geometry_missing", "within_near", "within_near_geo", "unmatched_per_frame", "median_m", "p90_m")])
 
 
-HOURS = """{BOUND}, h AS (SELECT match_id, period, ts_us // {HOUR} AS k, round((avg(x) + 52.5) / 105, 6) AS p, arg_max(team, (ts_us, event_id)) AS rule, count(*) = 1 AND max((ts_us // {HOUR}) % 3) = 0 AS fallback, CASE WHEN 2 * count_if(team = 'home') >= count(*) THEN 'home' ELSE 'away' END AS truth, count_if(event_type = 'purchase') > 0 AS pos FROM b GROUP BY ALL)"""
+HOURS = """{BOUND}, h AS (SELECT match_id, period, ts_us // {HOUR} AS k, round((avg(x) + 52.5) / 105, 6) AS p, arg_max(CASE WHEN x >= 0 THEN 'home' ELSE 'away' END, (ts_us, event_id)) AS rule, count(*) = 1 AND max((ts_us // {HOUR}) % 3) = 0 AS fallback, CASE WHEN round(avg(x + y), 6) >= 0 THEN 'home' ELSE 'away' END AS truth, count_if(event_type = 'purchase') > 0 AS pos FROM b GROUP BY ALL)"""
 
 
 @query("WITH RECURSIVE " + HOURS + """, c AS (SELECT m.m AS margin, d.d AS dwell, x.x AS hold FROM (SELECT unnest([""" + ", ".join(map(str, MARGINS)) + """]::DOUBLE[]) AS m) m, (SELECT unnest([""" + ", ".join(map(str, DWELLS)) + """]) AS d) d, (SELECT unnest([false, true]) AS x) x),
@@ -88,8 +88,8 @@ SELECT margin, dwell::INTEGER AS dwell, hold, round(overall, 6) AS overall, roun
 def smoothing_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """56 configurations of margin, dwell and hold in one job, against the rule's team."""
     b = bound(spark, sf_dir).withColumn("k", F.floor(F.col("ts_us") / HOUR))
-    h = b.groupBy(*KEYS, "k").agg(F.round((F.avg("x") + 52.5) / 105, 6).alias("p"), F.max_by("team", F.struct("ts_us", "event_id")).alias("rule"), F.count("*").alias("n"), F.count_if(F.col("team") == "home").alias("n_home"), F.count_if(F.col("event_type") == "purchase").alias("shots"))
-    rows = h.select(*KEYS, "k", "p", "rule", ((F.col("n") == 1) & (F.col("k") % 3 == 0)).alias("fallback"), F.when(2 * F.col("n_home") >= F.col("n"), "home").otherwise("away").alias("truth"), (F.col("shots") > 0).alias("positive"))
+    h = b.groupBy(*KEYS, "k").agg(F.round((F.avg("x") + 52.5) / 105, 6).alias("p"), F.max_by(F.when(F.col("x") >= 0, "home").otherwise("away"), F.struct("ts_us", "event_id")).alias("rule"), F.count("*").alias("n"), F.round(F.avg(F.col("x") + F.col("y")), 6).alias("side"), F.count_if(F.col("event_type") == "purchase").alias("shots"))
+    rows = h.select(*KEYS, "k", "p", "rule", ((F.col("n") == 1) & (F.col("k") % 3 == 0)).alias("fallback"), F.when(F.col("side") >= 0, "home").otherwise("away").alias("truth"), (F.col("shots") > 0).alias("positive"))
     out = possession.smoothing_sweep(rows, KEYS, "k", "p", "rule", "fallback", "truth", "positive", MARGINS, DWELLS, young=3)
     return out.select("margin", "dwell", "hold", *[F.round(c, 6).alias(c) for c in ("overall", "first", "positive", "late", "churn")], "passes")
 

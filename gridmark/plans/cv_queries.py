@@ -103,13 +103,13 @@ def nested_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(match_id, period, k, band, busy, home): the hours with events, their mean place and number, and whether most are home's."""
+    """(match_id, period, k, band, busy, home): the hours with events, their mean place and number, and on which side of the diagonal they lie."""
     b = bound(spark, sf_dir).withColumn("k", F.floor(F.col("ts_us") / HOUR))
-    by = b.groupBy(*KEYS, "k").agg(F.avg("x").alias("x"), F.count("*").alias("n"), F.count_if(F.col("team") == "home").alias("n_home"))
-    return by.select(*KEYS, "k", F.floor(F.round("x", 6) / 15).alias("band"), F.least("n", F.lit(3)).alias("busy"), (2 * F.col("n_home") > F.col("n")).cast("int").alias("home"))
+    by = b.groupBy(*KEYS, "k").agg(F.avg("x").alias("x"), F.count("*").alias("n"), F.round(F.avg(F.col("x") + F.col("y")), 6).alias("side"))
+    return by.select(*KEYS, "k", F.floor(F.round("x", 6) / 15).alias("band"), F.least("n", F.lit(3)).alias("busy"), (F.col("side") > 0).cast("int").alias("home"))
 
 
-HOURS_SQL = """h AS (SELECT match_id, period, ts_us // {HOUR} AS k, CAST(floor(round(avg(x), 6) / 15) AS BIGINT) AS band, least(count(*), 3) AS busy, (2 * count_if(team = 'home') > count(*))::INT AS home FROM b GROUP BY ALL)"""
+HOURS_SQL = """h AS (SELECT match_id, period, ts_us // {HOUR} AS k, CAST(floor(round(avg(x), 6) / 15) AS BIGINT) AS band, least(count(*), 3) AS busy, (round(avg(x + y), 6) > 0)::INT AS home FROM b GROUP BY ALL)"""
 STATES_SQL = FOLDS_SQL + ", " + HOURS_SQL + """,
 pp AS (SELECT o.fold AS c, f.fold, least(o.fold, f.fold) AS fa, greatest(o.fold, f.fold) AS fb FROM (SELECT DISTINCT fold FROM m) o, (SELECT DISTINCT fold FROM m) f),
 tc AS (SELECT fa, fb, band, busy, sum(home) AS pos, count(*) AS n FROM h JOIN m USING (match_id), (SELECT DISTINCT fa, fb FROM pp) t WHERE m.fold <> fa AND m.fold <> fb GROUP BY ALL),
