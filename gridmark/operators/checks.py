@@ -152,3 +152,67 @@ def tracks_filled(detections: DataFrame, keys: list[str], time: str, box: list[s
     age = F.col(time) - F.col("_last._t")
     filled_in = {b: F.when(have, F.col(b)).when(age <= most_age, F.col(f"_last.{b}") + age * F.coalesce(F.col(f"_moves.{b}"), F.lit(0.0))) for b in box}
     return rows.withColumns({f"filled_{b}": c for b, c in filled_in.items()}).drop("_now", "_speed", "_last", "_moves")
+
+
+def sanity(objects: DataFrame, frames: DataFrame, events: DataFrame, most_speed: float = 12.0) -> DataFrame:
+    """A row for each match that shows whether coordinates and events line up: shots, how far they are from the ball, the score, speeds, and shares of frames."""
+    ball = objects.where("object_type = 'ball'").groupBy("match_id", "frame_id").agg(F.min_by(F.struct("x", "y"), "object_id").alias("b"))
+    at = events.where("event_type IN ('shot', 'goal')").join(ball, ["match_id", "frame_id"], "left")
+    shot, d = F.col("event_type") == "shot", F.hypot(F.col("x") - F.col("b.x"), F.col("y") - F.col("b.y"))
+    far = F.when(shot, d)
+    shots = at.groupBy("match_id").agg(
+        F.count_if(shot).alias("shots"), F.count_if(shot & d.isNull()).alias("shots_without_ball"), F.percentile(far, 0.5).alias("shot_to_ball_median"), F.percentile(far, 0.9).alias("shot_to_ball_p90"),
+        *[F.count_if((F.col("event_type") == "goal") & (F.col("team") == t)).alias(f"score_{t}") for t in ("home", "away")],
+    )
+    people, speed = objects.where("object_type <> 'ball'"), F.hypot("vx", "vy")
+    fast = people.groupBy("match_id").agg(F.percentile(speed, 0.99).alias("player_speed_p99"), F.count_if(speed > most_speed).alias("rows_too_fast"))
+    seen = people.groupBy("match_id", "frame_id").agg(F.bool_or("visible").alias("seen")).groupBy("match_id").agg((1 - F.avg(F.col("seen").cast("double"))).alias("frames_all_estimated"))
+    alive = frames.groupBy("match_id").agg(F.avg((F.col("ball_state") == "alive").cast("double")).alias("frames_ball_alive"))
+    rows = alive.join(shots, "match_id", "left").join(fast, "match_id", "left").join(seen, "match_id", "left")
+    return rows.fillna(0, ["shots", "shots_without_ball", "score_home", "score_away", "rows_too_fast"])
+
+
+def frozen_folds(assignments: DataFrame, frozen: DataFrame, match: str) -> DataFrame:
+    """``assignments`` (match, fold) that are those of the frozen table, neither more nor less; anything else is an error."""
+    from gridmark.operators import validate
+
+    if odd := validate.equal_keys(assignments, frozen, [match, "fold"]).head(3):
+        raise ValueError(f"assignments differ from the frozen folds: {odd}")
+    return assignments
+
+
+def carrier_teams(states: DataFrame, objects: DataFrame, keys: list[str], carrier: str = "carrier") -> DataFrame:
+    """``states`` with ``carrier_team``, the team that a carrier's object has in the match (of several, the least)."""
+    teams = objects.groupBy(*keys, F.col("object_id").alias(carrier)).agg(F.min("team").alias("carrier_team"))
+    return states.join(teams, [*keys, carrier], "left")
+
+
+def on_video(events: DataFrame, frames: DataFrame, clips: DataFrame, kinds: list[str], fps: float) -> DataFrame:
+    """Events of the ``kinds`` on the frames of each clip's run: (clip, run_frame, event columns), none before the run begins.
+
+    ``clips``: (clip, match_id, period, offset_s, start_s): period time less video time, and the video second at which the run begins.
+    """
+    timed = events.where(F.col("event_type").isin(*kinds)).join(frames.select("match_id", "frame_id", "period", "timestamp_s"), ["match_id", "frame_id"])
+    at = F.round((F.col("timestamp_s") - F.col("offset_s") - F.col("start_s")) * fps).cast("long")
+    return timed.join(clips, ["match_id", "period"]).withColumn("run_frame", at).where("run_frame >= 0").select("clip", "run_frame", *events.columns)
+
+
+def goal_times(events: DataFrame, frames: DataFrame, starts: DataFrame, synced: DataFrame | None = None) -> DataFrame:
+    """(match_id, utc_us, team, set_piece) of goals in periods whose start in UTC is known; ``synced``: hand-labelled ones, in the same shape, of matches without frames."""
+    timed = events.where("event_type = 'goal'").join(frames.select("match_id", "frame_id", "period", "timestamp_s"), ["match_id", "frame_id"]).join(starts, ["match_id", "period"])
+    out = timed.select("match_id", (F.col("start_us") + F.round(F.col("timestamp_s") * 1e6).cast("long")).alias("utc_us"), "team", "set_piece")
+    return out if synced is None else out.unionByName(synced.select("match_id", "utc_us", "team", F.lit(None).cast("string").alias("set_piece")))
+
+
+def earlier_attempts(results: DataFrame, version: str, source: str) -> DataFrame:
+    """Each result with those of the versions it was derived from, however far back: (root, depth, result columns).  A source without a result is an error."""
+    lost = results.where(F.col(source).isNotNull()).join(results.select(F.col(version).alias(source)).distinct(), source, "left_anti")
+    if bad := lost.select(version, source).head(3):
+        raise ValueError(f"no result of the source, run it first: {bad}")
+    level, depth = results.select(F.col(version).alias("root"), F.lit(0).alias("depth"), *results.columns), 0
+    out, most = level, results.count()
+    while depth < most and not (up := level.where(F.col(source).isNotNull()).select("root", F.col(source).alias("_up"))).isEmpty():
+        depth += 1
+        level = up.join(results, up["_up"] == results[version]).select("root", F.lit(depth).alias("depth"), *results.columns)
+        out = out.unionByName(level)
+    return out

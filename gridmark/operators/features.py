@@ -64,10 +64,13 @@ def possession_seconds(frames: DataFrame) -> DataFrame:
 
 
 def player_features(frames: DataFrame, objects: DataFrame) -> DataFrame:
-    """Counts, distances and lanes around the held ball: one join of a frame's players to its ball, one aggregation."""
-    players = objects.where("object_type IN ('player', 'goalkeeper') AND visible AND x IS NOT NULL").select(*ROW, "object_id", "object_type", "team", "x", "y")
-    old = players.select("match_id", "period", (F.col("k") + 5).alias("k"), "object_id", F.col("x").alias("x0"), F.col("y").alias("y0"))
-    moving = players.join(old, [*ROW, "object_id"], "left")
+    """Counts, distances and lanes around the held ball: one join of a frame's players to its ball, one aggregation.
+
+    A player's speed is over the five ticks before, inside the frame's segment: a gap in the grid has none.
+    """
+    players = objects.where("object_type IN ('player', 'goalkeeper') AND visible AND x IS NOT NULL").join(frames.select(*ROW, "seg"), ROW).select(*ROW, "seg", "object_id", "object_type", "team", "x", "y")
+    old = players.select("match_id", "period", "seg", (F.col("k") + 5).alias("k"), "object_id", F.col("x").alias("x0"), F.col("y").alias("y0"))
+    moving = players.join(old, [*ROW, "seg", "object_id"], "left").drop("seg")
     base = frames.where("possession_team IS NOT NULL").select(*ROW, "possession_team", sign().alias("s"), "bx", "by")
     j = moving.join(base, ROW)
     px, py, bx, by = F.col("x") * F.col("s"), F.col("y") * F.col("s"), F.col("bx") * F.col("s"), F.col("by") * F.col("s")
@@ -113,33 +116,47 @@ def lead_features(frames: DataFrame) -> DataFrame:
 
 
 def lead_player_features(frames: DataFrame, objects: DataFrame) -> DataFrame:
-    """Lines and numbers near the box of both teams at both ends, their changes over 3 and 5 seconds, picked by the row's own team and end."""
-    p = objects.where("object_type IN ('player', 'goalkeeper') AND visible AND x IS NOT NULL AND team IS NOT NULL")
+    """``frames`` with what tells early that an attack builds up: the carrier's way to goal, outfield players near the box, the defensive line and who is beyond it.
+
+    Each is computed for both teams attacking both ends and picked by the row's own team and end; a change is against the same team and end ``n`` ticks ago in the segment.
+    """
+    p = objects.where("object_type IN ('player', 'goalkeeper') AND visible AND x IS NOT NULL AND team IN ('home', 'away')")
+    p = p.join(frames.select(*ROW, "bx", "by"), ROW).withColumns({"field": F.col("object_type") == "player", "d": F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))})
+    here, ends = Window.partitionBy(*ROW), (("right", 1.0), ("left", -1.0))
+    other = {"home": "away", "away": "home"}
+    p = p.withColumns({f"deepest_{t}_{end}": F.max(F.when(F.col("field") & (F.col("team") == t), F.col("x") * e)).over(here) for t in other for end, e in ends})
     sums = []
-    for team in ("home", "away"):
-        for end, e in (("right", 1.0), ("left", -1.0)):
-            own, x = F.col("team") == team, F.col("x") * e
-            sums += [F.count_if(own & G.near_box(x, F.col("y"))).alias(f"near_{team}_{end}"), F.max(F.when(own & (F.col("object_type") == "player"), x)).alias(f"line_{team}_{end}")]
-    made = p.groupBy(*ROW).agg(*sums)
-    rows = frames.join(made, ROW, "left")
+    for t in other:
+        own = F.col("team") == t
+        sums.append(F.min_by(F.struct("x", "y"), F.when(own & F.col("d").isNotNull(), F.struct("d", "object_id"))).alias(f"carrier_{t}"))
+        for end, e in ends:
+            x, line = F.col("x") * e, F.col(f"deepest_{other[t]}_{end}")
+            sums += [F.count_if(own & F.col("field") & G.near_box(x, F.col("y"))).alias(f"near_{t}_{end}"), F.first(f"deepest_{t}_{end}").alias(f"deepest_{t}_{end}"), F.count_if(own & F.col("field") & (x > line)).alias(f"past_{t}_{end}")]
+    rows = frames.join(p.groupBy(*ROW).agg(*sums), ROW, "left")
     w = Window.partitionBy(*SERIES).orderBy("k")
-
-    def pick(name: str, attacking: bool, back: int = 0) -> Column:
-        """A column of the team (or the other one) at the end that the row's team attacks, ``back`` ticks ago."""
+    values = {}
+    for t in other:
+        for end, e in ends:
+            line, carrier = F.col(f"deepest_{other[t]}_{end}"), F.col(f"carrier_{t}")
+            values[t, end] = {
+                "carrier_goal_dist": G.goal_distance(carrier["x"] * e, carrier["y"] * e), "att_near_box": F.coalesce(f"near_{t}_{end}", F.lit(0)), "def_near_box": F.coalesce(f"near_{other[t]}_{end}", F.lit(0)),
+                "def_line_dist": G.HALF_LENGTH - line, "ball_line_gap": line - F.col("bx") * e, "att_beyond_line": F.when(line.isNotNull(), F.coalesce(f"past_{t}_{end}", F.lit(0))),
+            }
+
+    def pick(name: str, back: int = 0) -> Column:
         case = None
-        for team in ("home", "away"):
-            for end, turned in (("right", False), ("left", True)):
-                whose = team if attacking else {"home": "away", "away": "home"}[team]
-                value = F.col(f"{name}_{whose}_{end}")
-                value = F.lag(value, back).over(w) if back else value
-                holds = (F.col("possession_team") == team) & (F.col("flipped") == F.lit(turned))
-                case = F.when(holds, value) if case is None else case.when(holds, value)
+        for (t, end), v in values.items():
+            value = F.lag(v[name], back).over(w) if back else v[name]
+            holds = (F.col("possession_team") == t) & (F.col("flipped") == F.lit(end == "left"))
+            case = F.when(holds, value) if case is None else case.when(holds, value)
         return case
 
-    out = {"near_attackers": pick("near", True), "near_defenders": pick("near", False), "attack_line": pick("line", True), "defence_line": pick("line", False)}
-    for seconds in (3, 5):
-        out |= {f"near_attackers_change_{seconds}s": out["near_attackers"] - pick("near", True, seconds * TICKS), f"defence_line_change_{seconds}s": out["defence_line"] - pick("line", False, seconds * TICKS)}
-    out["line_gap"] = out["attack_line"] - out["defence_line"]
+    now = {name: pick(name) for name in values["home", "right"]}
+    out = {f"carrier_goal_dist_change_{n}s": now["carrier_goal_dist"] - pick("carrier_goal_dist", n * TICKS) for n in (3, 5)}
+    out |= {c: now[c] for c in ("att_near_box", "def_near_box", "def_line_dist", "ball_line_gap", "att_beyond_line")}
+    out["near_box_diff"] = now["att_near_box"] - now["def_near_box"]
+    out |= {f"{c}_change_3s": now[c] - pick(c, 3 * TICKS) for c in ("att_near_box", "def_near_box")}
+    out["def_line_change_3s"] = now["def_line_dist"] - pick("def_line_dist", 3 * TICKS)
     return rows.withColumns(out).select(*frames.columns, *out)
 
 
@@ -159,10 +176,16 @@ def heading(frames: DataFrame, objects: DataFrame) -> DataFrame:
     return frames.join(j.groupBy(*ROW).agg(*out), ROW, "left")
 
 
-def match_features(frames: DataFrame, objects: DataFrame) -> DataFrame:
-    """All bundles on one grid, for every match at once."""
-    rows = held_ball(gridded(frames), objects)
-    return player_features(lead_features(possession_seconds(ball_features(rows))), objects)
+def match_features(frames: DataFrame, objects: DataFrame, version: str = "2") -> DataFrame:
+    """All bundles on one grid, for every match at once.
+
+    ``version``: 1 without what tells early that an attack builds up, 2 with it, 3 with version 1 and ``poss_carrier_age_s``, the age of the carrier that ``frames`` bring
+    along as carrier_age_s.
+    """
+    rows = player_features(possession_seconds(ball_features(held_ball(gridded(frames), objects))), objects)
+    if version == "3":
+        return rows.withColumn("poss_carrier_age_s", F.col("carrier_age_s").cast("double"))
+    return lead_player_features(lead_features(rows), objects) if version == "2" else rows
 
 
 def mirrored(df: DataFrame, negate: list[str], swap: list[tuple[str, str]], diffs: dict[str, tuple[str, str]]) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridmark.operators import checks, features
 from gridmark.operators import possession_inputs as inputs
+from gridmark.plans.model_queries import GRID, grid
 from gridmark.plans.registry import bound, query
 
 #: Half an hour of events is a frame, 50 ms after the last one and a little off; at 20 frames a second a missing frame or two ends a segment.
@@ -66,3 +68,50 @@ def possession_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The possession model's inputs at every tick of every match; fifteen of the 159 columns are shown."""
     rows = inputs.possession_inputs(*match_tables(spark, sf_dir))
     return rows.select("match_id", "period", "k", "frame_id", "players_n", *[F.round(F.col(c).cast("double"), 3).alias(c) for c in SHOWN], F.col("away_visible_n_lag05").cast("double").alias("away_visible_n_lag05"), F.round(F.col("ball_x_lag1").cast("double"), 3).alias("ball_x_lag1"))
+
+
+#: Purchases as shots and signups as goals on the frame of their half hour; velocities are a tenth of the place.
+SANITY_SQL = MATCH_SQL + """, ev AS (SELECT 'm' || (object_id % 4) AS match_id, ts_us // 1800000000 AS frame_id, CASE event_type WHEN 'purchase' THEN 'shot' ELSE 'goal' END AS event_type, b.team, x, y FROM b WHERE event_type IN ('purchase', 'signup')),
+ba AS (SELECT match_id, frame_id, arg_min(x, oid) AS bx, arg_min(y, oid) AS b_y FROM ob WHERE kind = 'ball' GROUP BY ALL),
+sh AS (SELECT match_id, count_if(event_type = 'shot') AS shots, count_if(event_type = 'shot' AND bx IS NULL) AS shots_without_ball, quantile_cont(sqrt((x - bx) ** 2 + (y - b_y) ** 2), 0.5) FILTER (event_type = 'shot') AS m, quantile_cont(sqrt((x - bx) ** 2 + (y - b_y) ** 2), 0.9) FILTER (event_type = 'shot') AS q,
+  count_if(event_type = 'goal' AND team = 'home') AS score_home, count_if(event_type = 'goal' AND team = 'away') AS score_away FROM ev LEFT JOIN ba USING (match_id, frame_id) GROUP BY 1),
+fa AS (SELECT match_id, quantile_cont(sqrt(x * x + y * y) / 10, 0.99) AS p99, count_if(sqrt(x * x + y * y) / 10 > 5) AS fast FROM ob WHERE kind <> 'ball' GROUP BY 1),
+se AS (SELECT match_id, 1 - avg(s::INT) AS hidden FROM (SELECT match_id, frame_id, bool_or(visible) AS s FROM ob WHERE kind <> 'ball' GROUP BY ALL) GROUP BY 1),
+al AS (SELECT match_id, avg((frame_id % 3 > 0)::INT) AS alive FROM fr GROUP BY 1)
+SELECT match_id, round(alive, 6) AS frames_ball_alive, shots, shots_without_ball, round(m, 6) AS shot_to_ball_median, round(q, 6) AS shot_to_ball_p90, score_home, score_away, round(p99, 6) AS player_speed_p99, fast AS rows_too_fast, round(hidden, 6) AS frames_all_estimated FROM al JOIN sh USING (match_id) JOIN fa USING (match_id) JOIN se USING (match_id)"""
+
+
+@query("WITH " + SANITY_SQL)
+def sanity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether coordinates and events of each match line up."""
+    frames, objects = match_tables(spark, sf_dir)
+    frames = frames.withColumn("ball_state", F.when(F.col("frame_id") % 3 > 0, "alive").otherwise("dead"))
+    objects = objects.withColumns({"vx": F.col("x") / 10, "vy": F.col("y") / 10})
+    b = bound(spark, sf_dir).where("event_type IN ('purchase', 'signup')")
+    events = b.select(F.concat(F.lit("m"), F.col("object_id") % 4).alias("match_id"), F.floor(F.col("ts_us") / 1_800_000_000).alias("frame_id"), F.when(F.col("event_type") == "purchase", "shot").otherwise("goal").alias("event_type"), "team", "x", "y")
+    rows = checks.sanity(objects, frames, events, most_speed=5.0)
+    return rows.select("match_id", "shots", "shots_without_ball", "score_home", "score_away", "rows_too_fast", *[F.round(c, 6).alias(c) for c in ("frames_ball_alive", "shot_to_ball_median", "shot_to_ball_p90", "player_speed_p99", "frames_all_estimated")])
+
+
+#: Outfield players, the lines of both teams at both ends, and the row's own by its team and direction.
+LEAD_SQL = GRID + """, g2 AS (SELECT *, k - row_number() OVER (PARTITION BY match_id, period ORDER BY k) AS seg FROM f),
+tb AS (SELECT match_id, period, k, arg_min(x, event_id) AS x, arg_min(y, event_id) AS y FROM o WHERE event_type = 'view' GROUP BY ALL),
+h AS (SELECT g2.*, CASE WHEN g2.k - t.k <= 10 THEN t.x END AS bx FROM g2 ASOF LEFT JOIN (SELECT tb.* FROM tb SEMI JOIN g2 ON tb.match_id = g2.match_id AND tb.period = g2.period AND tb.k = g2.k) t ON g2.match_id = t.match_id AND g2.period = t.period AND g2.k >= t.k),
+pl AS (SELECT b.match_id, b.period, b.ts_us // {HOUR} AS k, b.event_id, CASE WHEN b.event_id % 2 = 0 THEN 'home' ELSE 'away' END AS team, b.x, b.y FROM b WHERE event_type NOT IN ('view', 'error', 'signup')),
+e AS (SELECT unnest([1, -1]) AS e), t AS (SELECT unnest(['home', 'away']) AS team),
+v AS (SELECT h.match_id, h.period, h.k, t.team, e.e, max(CASE WHEN pl.team <> t.team THEN pl.x * e.e END) AS line, count(*) FILTER (pl.team = t.team AND pl.x * e.e >= {NEAR_X} AND abs(pl.y) <= {NEAR_Y}) AS att, count(*) FILTER (pl.team <> t.team AND pl.x * e.e >= {NEAR_X} AND abs(pl.y) <= {NEAR_Y}) AS def, list(pl.x * e.e) FILTER (pl.team = t.team) AS xs
+  FROM h CROSS JOIN t CROSS JOIN e LEFT JOIN pl ON pl.match_id = h.match_id AND pl.period = h.period AND pl.k = h.k GROUP BY ALL),
+n AS (SELECT h.*, line, att, def, len(list_filter(coalesce(xs, []), lambda x: x > line)) AS past, CASE WHEN flipped THEN -1 ELSE 1 END AS s FROM h LEFT JOIN v ON v.match_id = h.match_id AND v.period = h.period AND v.k = h.k AND v.team = possession_team AND v.e = CASE WHEN flipped THEN -1 ELSE 1 END),
+c AS (SELECT n.*, w.att AS att3, w.def AS def3, w.line AS line3 FROM n LEFT JOIN h o3 ON o3.match_id = n.match_id AND o3.period = n.period AND o3.k = n.k - 30 AND o3.seg = n.seg LEFT JOIN v w ON w.match_id = o3.match_id AND w.period = o3.period AND w.k = o3.k AND w.team = n.possession_team AND w.e = n.s)
+SELECT match_id, period, k, att AS att_near_box, def AS def_near_box, att - def AS near_box_diff, att - att3 AS att_near_box_change_3s, def - def3 AS def_near_box_change_3s, round(52.5 - line, 6) AS def_line_dist, round(line3 - line, 6) AS def_line_change_3s, round(line - bx * s, 6) AS ball_line_gap, CASE WHEN line IS NOT NULL THEN past END AS att_beyond_line FROM c"""
+
+
+@query("WITH " + LEAD_SQL.replace("{NEAR_X}", str(features.G.NEAR_X)).replace("{NEAR_Y}", str(features.G.NEAR_Y)))
+def lead_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What tells early that an attack builds up, at every tick; players are of a team by their number's parity."""
+    frames, objects = grid(spark, sf_dir)
+    parity = F.when(F.substring("object_id", -9, 9).cast("long") % 2 == 0, "home").otherwise("away")
+    objects = objects.withColumn("team", F.when(F.col("object_type") != "ball", parity))
+    rows = features.lead_player_features(features.held_ball(features.gridded(frames), objects), objects)
+    counts = ("att_near_box", "def_near_box", "near_box_diff", "att_near_box_change_3s", "def_near_box_change_3s", "att_beyond_line")
+    return rows.select("match_id", "period", "k", *[F.col(c).cast("long").alias(c) for c in counts], *[F.round(c, 6).alias(c) for c in ("def_line_dist", "def_line_change_3s", "ball_line_gap")])

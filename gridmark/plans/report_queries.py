@@ -88,10 +88,10 @@ def alarms_at_fold_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("tau").agg(F.count("*").alias("n_alarms"), F.count_if(F.col("ended_by") == "team").alias("by_team"), F.sum(F.col("end_us") - F.col("start_us")).alias("total_us"))
 
 
-@query("WITH m AS (SELECT DISTINCT o_orderkey % 97 AS match_id, o_orderpriority AS source FROM orders WHERE o_orderkey < 200), f AS (SELECT range AS match_id FROM range(60)) SELECT source, count(*) AS matches, count(f.match_id) AS known, CASE WHEN count(f.match_id) = count(*) THEN 'cv' WHEN count(f.match_id) > 0 THEN 'partial' ELSE 'external' END AS role FROM m LEFT JOIN f USING (match_id) GROUP BY 1")
+@query("WITH m AS (SELECT DISTINCT o_orderkey % 97 AS match_id, o_orderpriority AS source FROM orders), f AS (SELECT range AS match_id FROM range(60)) SELECT source, count(*) AS matches, count(f.match_id) AS known, CASE WHEN count(f.match_id) = count(*) THEN 'cv' WHEN count(f.match_id) > 0 THEN 'partial' ELSE 'external' END AS role FROM m LEFT JOIN f USING (match_id) GROUP BY 1")
 def assigned_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which sources take part in the folds."""
-    m = table(spark, sf_dir, "orders").where("o_orderkey < 200").select((F.col("o_orderkey") % 97).alias("match_id"), F.col("o_orderpriority").alias("source")).distinct()
+    m = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 97).alias("match_id"), F.col("o_orderpriority").alias("source")).distinct()
     return reports.assigned_sources(m, spark.range(60).withColumnRenamed("id", "match_id"), "match_id", "source")
 
 

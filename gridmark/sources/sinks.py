@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,11 +48,31 @@ def prediction_errors(predictions: DataFrame, grid: DataFrame | None = None) ->
     return out.where("n_bad > 0")
 
 
-def save_run(predictions: DataFrame, path: str) -> None:
-    """Predictions of a run; refuses those with errors."""
-    if errors := [f"{r['rule']}: {r['n_bad']}" for r in prediction_errors(predictions).collect()]:
+def save_run(predictions: DataFrame, path: str, meta: dict | None = None) -> None:
+    """A run: its predictions, refused with errors, and what is known about it (``model`` and ``horizons`` at least), written last; a run without it is unfinished."""
+    known = {"model": None, "horizons": [c.removeprefix("p_") for c in predictions.columns if c.startswith("p_")]} if meta is None else meta
+    if missing := [k for k in ("model", "horizons") if k not in known]:
+        raise ValueError(f"meta needs {missing}")
+    if lacking := [h for h in known["horizons"] if f"p_{h}" not in predictions.columns]:
+        raise ValueError(f"predictions lack p_ columns of {lacking}")
+    rows = predictions.select(*[c for c in predictions.columns if not c.startswith("p_") or c.removeprefix("p_") in known["horizons"]])
+    if errors := [f"{r['rule']}: {r['n_bad']}" for r in prediction_errors(rows).collect()]:
         raise ValueError("; ".join(errors))
-    predictions.write.mode("overwrite").partitionBy("match_id").parquet(path)
+    rows.write.mode("overwrite").partitionBy("match_id").parquet(f"{path}/predictions")
+    spark = predictions.sparkSession
+    stamped = {**known, "run_id": path.rstrip("/").split("/")[-1], "created": spark.range(1).select(F.current_timestamp().cast("string").alias("t")).first()["t"]}
+    spark.createDataFrame([(json.dumps(stamped),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/run")
+
+
+def load_run(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
+    """(meta, predictions) of a saved run, checked again."""
+    meta = json.loads(spark.read.text(f"{path}/run").first()["value"])
+    predictions = spark.read.parquet(f"{path}/predictions")
+    if lacking := [h for h in meta["horizons"] if f"p_{h}" not in predictions.columns]:
+        raise ValueError(f"{path}: predictions lack p_ columns of {lacking}")
+    if errors := [f"{r['rule']}: {r['n_bad']}" for r in prediction_errors(predictions).collect()]:
+        raise ValueError(f"{path}: " + "; ".join(errors))
+    return meta, predictions
 
 
 def every_nth(df: DataFrame, tick: str, n: int, path: str) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridmark.functions import geometry as G
 from gridmark.functions import scalars
+from gridmark.session import hinted
 
 PLAYER = "struct<jerseyNum:string,confidence:string,visibility:string,x:double,y:double>"
 FRAME = f"frameNum long, period long, periodElapsedTime double, videoTimeMs double, homePlayers array<{PLAYER}>, awayPlayers array<{PLAYER}>, balls array<struct<visibility:string,x:double,y:double,z:double>>, game_event struct<game_event_type:string,home_ball:boolean>"
@@ -67,10 +68,56 @@ def objects(kept: DataFrame) -> DataFrame:
     return out.withColumn("interpolated", ~F.col("visible"))
 
 
+def json_elements(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row, element): the objects of JSON array files as texts in file order, each file read by as many tasks as it has blocks.
+
+    Lines end at ``}``, so a block is read without knowing what comes before it.  Whether a piece begins inside a string, how deep it lies and which object it belongs to are
+    running sums: each block sums up its own, the blocks of a file are added up in order (a row for each block), and pieces take their block's start from there.
+    An object that crosses blocks is put together by its number.
+    """
+    raw = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value"))
+    here = Window.partitionBy("file", "block").orderBy("at")
+    up_to, blocks = here.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bare = F.regexp_replace("value", r"\\.", "")
+    outside = lambda text: F.regexp_replace(text, '"[^"]*("|$)', "")
+    rows = raw.withColumns({"bare": bare, "quotes": F.regexp_count(bare, F.lit('"'))}).withColumn("before", F.coalesce(F.sum("quotes").over(up_to), F.lit(0)))
+
+    def from_start(rows: DataFrame, total: str, into: str) -> DataFrame:
+        """``rows`` with the sum of ``total`` over their file's earlier blocks."""
+        sums = rows.groupBy("file", "block").agg(F.sum(total).alias("_n"))
+        starts = sums.select("file", "block", F.coalesce(F.sum("_n").over(blocks), F.lit(0)).alias(into))
+        return rows.join(hinted(starts, 1_000_000), ["file", "block"])
+
+    rows = from_start(rows, "quotes", "quotes_before")
+    inside = (F.col("before") + F.col("quotes_before")) % 2 == 1
+    code = F.when(inside, outside(F.regexp_replace("bare", '^[^"]*("|$)', ""))).otherwise(outside(F.col("bare")))
+    ends_inside = (F.col("before") + F.col("quotes_before") + F.col("quotes")) % 2 == 1
+    rows = rows.select("file", "block", "at", "value", F.when(ends_inside, 0).otherwise(1).alias("closes"), F.regexp_count(code, F.lit(r"\{")).alias("opens"))
+    rows = rows.withColumn("moves", F.col("opens") - F.col("closes")).withColumn("depth", F.coalesce(F.sum("moves").over(up_to), F.lit(0)))
+    rows = from_start(rows, "moves", "depth_before").withColumn("ends", ((F.col("depth") + F.col("depth_before") + F.col("moves") == 0) & (F.col("closes") == 1)).cast("int"))
+    rows = rows.withColumn("done", F.coalesce(F.sum("ends").over(up_to), F.lit(0)))
+    rows = from_start(rows, "ends", "done_before").withColumn("row", (F.col("done") + F.col("done_before")).cast("long"))
+    made = rows.groupBy("file", "row").agg(F.sort_array(F.collect_list(F.struct("block", "at", "value"))).alias("pieces"), F.max("ends").alias("whole"))
+    text = F.regexp_replace(F.concat(F.array_join(F.transform("pieces", lambda p: p["value"]), "}"), F.lit("}")), r"^[\s,\[]+", "")
+    return made.where("whole = 1").select("file", "row", text.alias("element"))
+
+
 def event_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of JSON array files in file order (``row``).  One file is one match."""
-    text = spark.read.option("wholetext", True).text(path).select(match_of(F.col("_metadata.file_path")).alias("match_id"), F.from_json("value", f"array<struct<{_ddl(EVENT)}>>").alias("rows"))
-    return text.select("match_id", F.posexplode("rows").alias("row", "e")).select("match_id", "row", "e.*")
+    """Rows of JSON array files in file order (``row``), large files by several tasks.  One file is one match."""
+    text = json_elements(spark, path).select(match_of(F.col("file")).alias("match_id"), "row", F.from_json("element", EVENT).alias("e"))
+    return text.select("match_id", "row", "e.*")
+
+
+def metadata(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """The first element of each metadata file, a list: (match_id, columns)."""
+    return json_elements(spark, path).where("row = 0").select(match_of(F.col("file")).alias("match_id"), F.from_json("element", columns).alias("m")).select("match_id", "m.*")
+
+
+def facing_right(objects: DataFrame, meta: DataFrame, home_left: str) -> DataFrame:
+    """Objects (match_id, x, y) turned by 180 degrees in matches in which home doesn't start on the left, so that home attacks +x in period 1; a match without metadata stays."""
+    side = meta.select("match_id", F.when(F.col(home_left), 1.0).otherwise(-1.0).alias("_side"))
+    turned = {c: F.col(c) * F.coalesce("_side", F.lit(1.0)) for c in ("x", "y")}
+    return objects.join(hinted(side, 1_000_000), "match_id", "left").withColumns(turned).select(*objects.columns)
 
 
 def _ddl(columns: str) -> str:

@@ -249,6 +249,12 @@ def test_predictions(spark, tmp_path):
     sinks.save_run(good, str(tmp_path / "run"))
     with pytest.raises(ValueError, match="outside 0 to 1"):
         sinks.save_run(good.withColumn("p_h5", F.lit(2.0)), str(tmp_path / "bad"))
+    sinks.save_run(good.withColumn("p_h9", F.lit(0.1)), str(tmp_path / "kept"), {"model": "floor", "horizons": ["h5"], "tau": {"h5": {"0": 0.25}}})
+    meta, rows = sinks.load_run(spark, str(tmp_path / "kept"))
+    assert meta["tau"] == {"h5": {"0": 0.25}} and meta["run_id"] == "kept" and meta["created"] and set(rows.columns) == {"match_id", "period", "t_s", "p_h5"} and rows.count() == 1
+    for wrong, why in (({"model": "m"}, "meta needs"), ({"model": "m", "horizons": ["h7"]}, "lack p_ columns")):
+        with pytest.raises(ValueError, match=why):
+            sinks.save_run(good, str(tmp_path / "no"), wrong)
     assert sinks.prediction_errors(good.union(good)).first()["rule"] == "repeated key"
 
 
@@ -284,9 +290,19 @@ def test_feature_values(spark):
 
 def test_lead_players_and_heading(spark):
     frames, objects = scene(spark)
-    rows = {r["k"]: r for r in features.lead_player_features(features.gridded(frames), objects).collect()}
-    assert rows[70]["defence_line"] == pytest.approx(-28.0 - 3) and rows[30]["attack_line"] == pytest.approx(12.0 + 9) and rows[30]["near_attackers"] == 0
-    assert rows[35]["defence_line_change_3s"] == pytest.approx(12.0) and rows[10]["defence_line_change_3s"] is None
+    held = features.held_ball(features.gridded(frames), objects)
+    rows = {r["k"]: r for r in features.lead_player_features(held, objects).collect()}
+    assert rows[70]["def_line_dist"] == pytest.approx(52.5 - (-28.0 - 3)) and rows[30]["att_near_box"] == 0
+    assert rows[35]["def_line_change_3s"] == pytest.approx(-12.0) and rows[10]["def_line_change_3s"] is None
+    assert rows[35]["carrier_goal_dist_change_3s"] is not None and rows[35]["carrier_goal_dist_change_5s"] is None
+    whole = features.match_features(frames, objects)
+    assert {"att_beyond_line", "carrier_goal_dist_change_5s", "possession_min_dist", "carrier_speed"} <= set(whole.columns) and whole.count() == frames.count()
+    assert "att_near_box" not in features.match_features(frames, objects, "1").columns
+    aged = features.match_features(frames.withColumn("carrier_age_s", F.lit(0.5)), objects, "3")
+    assert aged.first()["poss_carrier_age_s"] == 0.5
+    gone = features.player_features(features.held_ball(features.gridded(frames.where("k <> 38")), objects), objects)
+    speed = {r["k"]: r["carrier_speed"] for r in gone.collect()}
+    assert speed[37] is not None and all(speed[k] is None for k in range(39, 44)) and speed[44] is not None  # no speed reaches over a gap
     ball = features.held_ball(features.gridded(frames), objects).withColumns({"bvx": F.lit(5.0), "bvy": F.lit(0.0)})
     r = features.heading(ball, objects).where("k = 0").first()
     assert r["home_ahead_3"] == pytest.approx(min(math.hypot(3 * i - 1.5, 2 * i - 5) for i in range(4))) and 0 <= r["angle_to_nearest"] <= math.pi
