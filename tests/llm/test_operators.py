@@ -582,6 +582,60 @@ def test_classifiers_without_labels(spark, module):
     assert module.scored(docs.limit(0), module.fit(docs, labels)).count() == 0
 
 
+def test_pipeline_stage_by_stage(spark, small):
+    """Each stage against brute force on its own input: base rules, links, windows, the mix and the ids."""
+    import corpus_pipeline
+
+    path, columns = public_tokenizers.path("word_bpe_49k.json"), ["doc_id", "text", "lang", "source", "n_chars"]
+    bench = [tuple(r) for r in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text").collect()]
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    judged = by_id(quality_rules.judged(docs, spark.read.parquet(f"{small}/labels.parquet")))
+    for (name, stage), number in zip(corpus_pipeline.STAGES, (3, 6, 5, 4, 1), strict=True):
+        before = {r["doc_id"]: r for r in docs.collect()} if number != 1 else sorted(docs.collect(), key=lambda r: r["doc_id"])
+        docs = corpus_pipeline.staged(stage(spark, docs, small), name.replace(" ", "-"))
+        after = docs.collect()
+        if number == 1:
+            tok, at, want = token_ids.encoder(path).tokenizer, 0, []
+            for r in before:
+                ids = [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+                want.append((r["doc_id"], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            got = sorted(after, key=lambda r: r["start"])
+            assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == sorted(want)
+            for r in got:
+                assert r["start"] == at
+                at += r["n_tokens"]
+            continue
+        assert docs.columns == columns and all(tuple(r) == tuple(before[r["doc_id"]]) for r in after)
+        ids, texts = Counter(r["doc_id"] for r in after), {i: r["text"] for i, r in before.items()}
+        if number == 3:
+            counts = {i: base_counts(t) for i, t in texts.items()}
+            failed = {i for i, c in counts.items() if c[0] < 20 or 100 * c[4] > 30 * c[0]}
+            assert set(ids) == {i for i, r in judged.items() if r["kept"]} and not failed & set(ids)
+        elif number == 6:
+            assert set(ids) == set(links(texts)[1].values())
+        elif number == 5:
+            assert set(ids) == {i for i, v in contaminated(list(texts.items()), bench).items() if not v[1]}
+        else:
+            size, sources = {i: len(WORDS.findall(t or "")) for i, t in texts.items()}, sorted({r["source"] for r in before.values()})
+            total = {s: sum(size[i] for i, r in before.items() if r["source"] == s) for s in sources}
+            goal, open_, left = {}, set(sources), 1.5 * sum(total.values())
+            weight = {s: (3, 1, 2)[n % 3] for n, s in enumerate(sources)}
+            while True:
+                level = left / sum(weight[s] for s in open_)
+                over = {s for s in open_ if level * weight[s] > 2 * total[s]}
+                if not over:
+                    goal |= {s: level * weight[s] for s in open_}
+                    break
+                goal |= {s: 2 * total[s] for s in over}
+                left, open_ = left - sum(2 * total[s] for s in over), open_ - over
+            for s in sources:
+                own = [i for i in ids if before[i]["source"] == s]
+                share = goal[s] / total[s]
+                assert all(ids[i] in (math.floor(share + 1e-9), math.ceil(share - 1e-9)) for i in own)
+                assert abs(sum(ids[i] * size[i] for i in own) - goal[s]) <= max(0.02 * goal[s], max(size[i] for i, r in before.items() if r["source"] == s) / 2)  # few documents a source here
+        assert len(after) == sum(ids.values()) and (number == 4 or max(ids.values()) == 1)
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
