@@ -1,23 +1,55 @@
 """Metrics of scores and alarms, calibration, folds and comparisons.
 
-Scores are grouped by equal value first; running sums then go over the distinct scores of a group in one window, so without a group all distinct
-scores pass through one task.  The quantile edges of ``calibration`` likewise keep all distinct scores in one buffer.
+Scores are grouped by equal value first; running sums then go over distinct scores.  They are dealt out by ranges of the score: each range sums up its own, the sums of the
+ranges before are added (a row for each range and group), and no task holds more than a range.  Exact quantiles read the same running counts.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmark.operators import sequential
+from gridmark.session import hinted, staged
 
 
 def _running(df: DataFrame, p: str, y: str, by: list[str]) -> DataFrame:
     """(by, p, pos, n, pos_at, n_at): the counts at a score and at or above it, ``pos_all`` and ``n_all`` of the group."""
     at = df.groupBy(*by, F.col(p).alias("p")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count("*").alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(*by)
-    return at.withColumns({"pos_at": F.sum("pos").over(down), "n_at": F.sum("n").over(down), "pos_all": F.sum("pos").over(every), "n_all": F.sum("n").over(every)})
+    rows = _ranged(at, by, ["pos", "n"])
+    totals = rows.groupBy(*by).agg(F.sum("pos").alias("pos_all"), F.sum("n").alias("n_all"))
+    return rows.join(totals, by) if by else rows.crossJoin(F.broadcast(totals))  # one row
+
+
+def _ranged(at: DataFrame, by: list[str], counts: list[str]) -> DataFrame:
+    """Distinct scores (by, p, counts) with ``<count>_at``: the running sums from the highest score of a group down to this one.
+
+    Scores are cut into ranges once and written with their range, as a cut made anew could fall elsewhere.
+    """
+    cut = staged(at.repartitionByRange(F.col("p").desc(), *by).withColumn("_range", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy(*by, "_range").orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in counts])
+    starts = sums.select(*by, "_range", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in counts])
+    rows = cut.withColumns({f"{c}_at": F.sum(c).over(own) for c in counts}).join(hinted(starts, 1_000_000), [*by, "_range"])
+    return rows.select(*by, "p", *counts, *[(F.col(f"{c}_at") + F.col(f"_{c}")).alias(f"{c}_at") for c in counts])
+
+
+def quantiles(df: DataFrame, p: str, shares: list[float]) -> list[float]:
+    """Exact quantiles of a column, on the straight line between the ranks around each; empty without values.  What reaches the driver is two values for each share."""
+    at = df.where(F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("p")).agg(F.count("*").alias("n"))
+    rows = _ranged(at, [], ["n"])
+    n = rows.agg(F.sum("n")).first()[0] or 0
+    if not n:
+        return []
+    places = [s * (n - 1) for s in shares]
+    ranks = sorted({n - 1 - r for x in places for r in (math.floor(x), math.ceil(x))})  # counted from the highest
+    wanted = rows.sparkSession.createDataFrame([(r,) for r in ranks], "rank long")
+    found = {r["rank"]: r["p"] for r in rows.join(F.broadcast(wanted), (F.col("rank") < F.col("n_at")) & (F.col("rank") >= F.col("n_at") - F.col("n"))).select("rank", "p").collect()}
+    low, high = ([found[n - 1 - f(x)] for x in places] for f in (math.floor, math.ceil))
+    return [a + (b - a) * (x - math.floor(x)) for a, b, x in zip(low, high, places, strict=True)]
 
 
 def threshold_free(df: DataFrame, p: str, y: str, by: list[str] | None = None) -> DataFrame:
@@ -40,10 +72,10 @@ def threshold_free(df: DataFrame, p: str, y: str, by: list[str] | None = None) -
 
 
 def calibration(df: DataFrame, p: str, y: str, bins: int) -> DataFrame:
-    """(bin, n, mean_p, share): bins by quantile edges, an edge belongs to the bin above; empty bins are absent."""
-    edges = df.where(F.col(p).isNotNull()).agg(F.percentile(p, [i / bins for i in range(1, bins)]).alias("edges"))
-    rows = df.where(F.col(p).isNotNull()).crossJoin(F.broadcast(edges))  # a single row of edges
-    place = F.size(F.filter("edges", lambda e: e <= F.col(p)))
+    """(bin, n, mean_p, share): bins by exact quantile edges, an edge belongs to the bin above; empty bins are absent."""
+    rows = df.where(F.col(p).isNotNull())
+    edges = quantiles(rows, p, [i / bins for i in range(1, bins)])
+    place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(p))) if edges else F.lit(0)
     return rows.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("share"))
 
 

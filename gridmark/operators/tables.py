@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridmark.session import hinted
+
 
 def nearest(objects: DataFrame, targets: DataFrame, on: list[str], within: float | None = None) -> DataFrame:
     """For each target row (``on``, bx, by) its nearest object (x, y), ties by object_id; objects out of reach don't count."""
@@ -56,11 +58,25 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -
 
 
 def seeded_sample(df: DataFrame, keys: list[str], row_id: str, share: float, seed: str) -> DataFrame:
-    """A share of each group's rows, one at least, chosen by a hash of seed and id; the sampling is the feature."""
-    w = Window.partitionBy(*keys)
+    """A share of each group's rows, one at least, chosen by a hash of seed and id; the sampling is the feature.
+
+    Hashes are counted by their first four digits; running counts tell which of these buckets a group takes whole, and rows are ranked inside a bucket only, so a
+    group of any size is sorted in pieces.
+    """
     h = F.md5(F.concat_ws(":", F.lit(seed), F.col(row_id).cast("string")))
-    ranked = df.withColumns({"_n": F.row_number().over(w.orderBy(h, row_id)), "_all": F.count("*").over(w)})
-    return ranked.where(F.col("_n") <= F.greatest(F.lit(1), F.ceil(F.col("_all") * share))).drop("_n", "_all")
+    rows = df.withColumn("_h", h).withColumn("_bucket", F.substring("_h", 1, 4))
+    own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    names = [f"_k{i}" for i in range(len(keys))]
+    counts = rows.groupBy(*own, F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy(*names))})
+    counts = counts.withColumn("_take", F.greatest(F.lit(1), F.ceil(F.col("_all") * share))).where("_before < _take").select(*names, "_b", "_before", "_take")
+    on = F.col("_bucket") == F.col("_b")
+    for k, n in zip(keys, names, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_h", row_id))
+    taken = rows.join(hinted(counts, 1_000_000), on).withColumn("_rank", rank)
+    return taken.where(F.col("_before") + F.col("_rank") <= F.col("_take")).select(*df.columns)
 
 
 def majority(df: DataFrame, keys: list[str], value: str, least: int, share: float) -> DataFrame:
