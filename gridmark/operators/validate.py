@@ -44,11 +44,17 @@ def column_errors(df: DataFrame, table: str) -> list[str]:
         kind = have.get(f.name)
         if kind is None:
             out.append(f"{f.name}: missing")
-        elif not any(isinstance(f.dataType, sort) and isinstance(kind, sort) for sort in (T.IntegralType, T.FractionalType, T.ArrayType)) and kind != f.dataType:
+        elif not _same_sort(f.dataType, kind):
             out.append(f"{f.name}: {kind.simpleString()} is not {f.dataType.simpleString()}")
     return out
 
 
+def _same_sort(want: T.DataType, got: T.DataType) -> bool:
+    if isinstance(want, T.ArrayType) and isinstance(got, T.ArrayType):
+        return _same_sort(want.elementType, got.elementType)
+    return want == got or any(isinstance(want, sort) and isinstance(got, sort) for sort in (T.IntegralType, T.FractionalType))
+
+
 def column_rules(df: DataFrame, table: str) -> DataFrame:
     """NaN, nulls in columns that have none, values outside a domain, arrays of wrong length: one pass over the table."""
     bad: dict[str, Column | tuple[Column, Column]] = {}
@@ -114,16 +120,30 @@ def event_rules(events: DataFrame, frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [lost, rules(events, "events", "match_id", {"disallowed goal": (F.col("event_type") == "goal") & (F.col("outcome") == "disallowed")}, F.col("frame_id")), rules(late, "events", "match_id", {"shot in a shootout": F.col("event_type") == "shot"}, F.col("frame_id"))])
 
 
+def absent_tables(tables: dict[str, DataFrame]) -> DataFrame:
+    """Tables in which a match that some table knows has no rows, but for those that may be empty: one aggregation over the ids alone."""
+    ids = reduce(DataFrame.unionByName, [df.select(F.col("match_id").cast("string").alias("match_id"), F.lit(name).alias("table")) for name, df in tables.items()])
+    needed = [name for name in schema.DDL if name not in schema.MAY_BE_EMPTY]
+    has = ids.groupBy("match_id").agg(F.array(*[F.struct(F.lit(name).alias("table"), F.count_if(F.col("table") == name).alias("n")) for name in needed]).alias("has"))
+    return has.select("match_id", F.explode("has").alias("h")).where("h.n = 0").select("match_id", "h.table", F.lit("no rows").alias("rule"), F.lit(1).cast("long").alias("n_bad"), F.lit("").alias("sample"))
+
+
 def validated(tables: dict[str, DataFrame]) -> DataFrame:
-    """All rules over all matches in one plan.  Tables whose columns don't pass are reported alone, and no rule across tables runs."""
+    """All rules over all matches in one plan.
+
+    Tables that lack columns or have the wrong kinds are reported alone.  A match whose columns break a rule, or that lacks a table, is reported with these rules
+    alone: those across rows and tables take columns that passed.
+    """
     spark: SparkSession = next(iter(tables.values())).sparkSession
     wrong = [("*", t, e, 1, "") for t in schema.DDL for e in (column_errors(tables[t], t) if t in tables else ["missing"])]
     if wrong:
         return spark.createDataFrame(wrong, REPORT)
     t = tables
-    parts = [column_rules(t[name], name) for name in schema.DDL]
-    parts += [match_rules(t["match"]), frame_rules(t["frames"]), position_rules(t["objects"], "objects"), position_rules(t["events"], "events"), object_rules(t["objects"], t["frames"], t["players"]), event_rules(t["events"], t["frames"]), repeated(t["players"], "players", ["player_id"], "player repeats")]
-    return reduce(DataFrame.unionByName, parts)
+    columns = [*[column_rules(t[name], name) for name in schema.DDL], absent_tables(t)]
+    across = [match_rules(t["match"]), frame_rules(t["frames"]), position_rules(t["objects"], "objects"), position_rules(t["events"], "events"), object_rules(t["objects"], t["frames"], t["players"]), event_rules(t["events"], t["frames"]), repeated(t["players"], "players", ["player_id"], "player repeats")]
+    report = reduce(DataFrame.unionByName, columns).withColumn("_across", F.lit(False)).unionByName(reduce(DataFrame.unionByName, across).withColumn("_across", F.lit(True)))
+    first = F.min("_across").over(Window.partitionBy("match_id"))  # a row for each broken rule of a match
+    return report.withColumn("_first", first).where(F.col("_across") == F.col("_first")).drop("_across", "_first")
 
 
 def equal_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

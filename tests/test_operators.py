@@ -208,7 +208,7 @@ def test_metrics(spark):
 
 
 def match(spark):
-    m = spark.createDataFrame([("a", "0.6", "x", None, None, None, "H", "A", 25.0)], schema.struct("match"))
+    m = spark.createDataFrame([("a", "0.6", "pff", None, None, None, "H", "A", 25.0)], schema.struct("match"))
     f = spark.createDataFrame([("a", i, 1, i / 25, True, "alive", "home", None, None, None) for i in range(3)], schema.struct("frames"))
     o = spark.createDataFrame([("a", i, w, k, t, p, 1.0, 2.0, None, None, None, True, False, 1.0) for i in range(3) for w, k, t, p in (("ball", "ball", None, None), ("h1", "player", "home", "p1"), ("a1", "player", "away", "p2"))], schema.struct("objects"))
     e = spark.createDataFrame([("a", 1, "shot", "home", "p1", 1.0, 2.0, None, None, None)], schema.struct("events"))
@@ -217,7 +217,7 @@ def match(spark):
 
 
 BROKEN = [
-    ("match", {"native_fps": "0D"}, "native_fps: not above 0"), ("frames", {"frame_id": "1L"}, "frame_id repeats"), ("frames", {"period": "IF(frame_id = 2, 0L, 1L)"}, "period decreases"), ("frames", {"timestamp_s": "-1D * frame_id"}, "timestamp decreases"),
+    ("match", {"native_fps": "0D"}, "native_fps: not above 0"), ("frames", {"frame_id": "1L"}, "frame_id repeats"), ("frames", {"period": "IF(frame_id = 2, 1L, 2L)"}, "period decreases"), ("frames", {"timestamp_s": "-1D * frame_id"}, "timestamp decreases"),
     ("frames", {"ball_carrier_id": "'zz'"}, "carrier absent"), ("frames", {"ball_carrier_id": "'h1'", "possession_team": "CAST(NULL AS STRING)"}, "carrier without team"), ("frames", {"ball_state": "'odd'"}, "ball_state: outside its domain"),
     ("objects", {"x": "99D"}, "x out of bounds"), ("objects", {"x": "DOUBLE('NaN')"}, "x: NaN"), ("objects", {"team": "'home'"}, "team on ball or referee"), ("objects", {"frame_id": "frame_id + 9"}, "frame unknown"), ("objects", {"object_type": "'ball'"}, "more than one ball"),
     ("objects", {"confidence": "2D"}, "confidence outside 0 to 1"), ("objects", {"visible": "false"}, "hidden but not interpolated"), ("objects", {"player_id": "'zz'"}, "player unknown"), ("events", {"outcome": "'disallowed'", "event_type": "'goal'"}, "disallowed goal"), ("players", {"player_id": "'p1'"}, "player repeats"),
@@ -236,6 +236,18 @@ def test_validation_names_the_rule(spark):
     assert {(str(i), rule) for i, (_, _, rule) in enumerate(BROKEN)} <= found
 
 
+def test_rules_across_tables_wait_for_columns_and_tables(spark):
+    t = match(spark)
+    lost = t | {"frames": t["frames"].limit(0), "players": t["players"].limit(0)}
+    assert values(validate.validated(lost), "table", "rule") == [("frames", "no rows")]
+    stray = t | {"objects": t["objects"].withColumn("match_id", F.lit("b"))}
+    assert set(values(validate.validated(stray), "match_id", "table", "rule")) == {("a", "objects", "no rows"), ("b", "frames", "no rows"), ("b", "match", "no rows")}
+    odd = t | {"match": t["match"].withColumns({"source": F.lit("x"), "native_fps": F.lit(0.0)}), "events": t["events"].withColumn("set_piece", F.lit("y"))}
+    assert set(values(validate.validated(odd), "rule", "sample")) == {("source: outside its domain", "x"), ("set_piece: outside its domain", "y")}
+    text = t | {"frames": t["frames"].withColumn("view_polygon", F.lit(None).cast("array<string>"))}
+    assert values(validate.validated(text), "rule") == [("view_polygon: array<string> is not array<double>",)]
+
+
 def test_valid_match_passes_and_round_trips(spark, tmp_path):
     t = match(spark)
     assert validate.validated(t).count() == 0
