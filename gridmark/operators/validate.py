@@ -1,6 +1,7 @@
 """Data quality over whole tables of many matches: (match_id, table, rule, n_bad, sample), one row for each violated rule.
 
-All rules of a table are sums in one aggregation; rules across tables are anti-joins.  No rule reads a match by itself.
+The rules of a table's rows are judged in one scan that leaves the broken rows only; rules across tables are anti-joins.  All broken rules of all tables are
+counted in one aggregation, so that the shuffle and its buffers grow with what is wrong, not with the tables.  No rule reads a match by itself.
 """
 
 from __future__ import annotations
@@ -17,18 +18,27 @@ MOST_SAMPLES = 5
 REPORT = "match_id string, table string, rule string, n_bad long, sample string"
 
 
-def rules(df: DataFrame, table: str, key: str, bad: dict[str, Column | tuple[Column, Column]], sample: Column | None = None) -> DataFrame:
-    """One row for each rule of ``bad`` that holds on some row of a match, all counted in one aggregation.
+def faults(df: DataFrame, table: str, key: str, bad: dict[str, Column | tuple[Column, Column]], sample: Column | None = None) -> DataFrame:
+    """(match_id, table, rule, sample): a row for each rule of ``bad`` that a row of ``df`` breaks.  Rows that break none leave before anything is built for them.
 
     ``sample``: what to show of such rows; a rule may bring its own, as (condition, sample).
     """
-    sums = []
-    for name, rule in bad.items():
-        holds, shown = rule if isinstance(rule, tuple) else (rule, F.lit(None) if sample is None else sample)
-        holds = F.coalesce(holds, F.lit(False))
-        sums.append(F.struct(F.lit(name).alias("rule"), F.count_if(holds).alias("n_bad"), F.array_join(_least(F.when(holds, shown.cast("string"))), ",").alias("sample")))
-    by = df.groupBy(F.col(key).cast("string").alias("match_id")).agg(F.array(*sums).alias("r"))
-    return by.select("match_id", F.lit(table).alias("table"), F.explode("r").alias("r")).select("match_id", "table", "r.rule", "r.n_bad", "r.sample").where("n_bad > 0")
+    broken = {name: rule if isinstance(rule, tuple) else (rule, F.lit(None) if sample is None else sample) for name, rule in bad.items()}
+    each = [F.when(holds, F.struct(F.lit(name).alias("rule"), shown.cast("string").alias("sample"))) for name, (holds, shown) in broken.items()]
+    some = reduce(Column.__or__, [F.coalesce(holds, F.lit(False)) for holds, _ in broken.values()])
+    rows = df.where(some).select(F.col(key).cast("string").alias("match_id"), F.explode(F.array_compact(F.array(*each))).alias("f"))
+    return rows.select("match_id", F.lit(table).alias("table"), "f.rule", "f.sample")
+
+
+def counted(found: DataFrame, *more: str) -> DataFrame:
+    """The report of the rows of ``faults``: one shuffle by match and rule, combined before it."""
+    by = found.groupBy("match_id", "table", "rule", *more).agg(F.count("*").alias("n_bad"), F.array_join(_least(F.col("sample")), ",").alias("sample"))
+    return by.select("match_id", "table", "rule", "n_bad", "sample", *more)
+
+
+def rules(df: DataFrame, table: str, key: str, bad: dict[str, Column | tuple[Column, Column]], sample: Column | None = None) -> DataFrame:
+    """One row for each rule of ``bad`` that holds on some row of a match."""
+    return counted(faults(df, table, key, bad, sample))
 
 
 def _least(value: Column) -> Column:
@@ -55,69 +65,74 @@ def _same_sort(want: T.DataType, got: T.DataType) -> bool:
     return want == got or any(isinstance(want, sort) and isinstance(got, sort) for sort in (T.IntegralType, T.FractionalType))
 
 
-def column_rules(df: DataFrame, table: str) -> DataFrame:
-    """NaN, nulls in columns that have none, values outside a domain, arrays of wrong length: one pass over the table."""
-    bad: dict[str, Column | tuple[Column, Column]] = {}
+def column_bad(table: str) -> dict[str, tuple[Column, Column]]:
+    """The rules of a table's columns: NaN, nulls in columns that have none, values outside a domain, arrays of wrong length."""
+    bad, none = {}, F.lit(None).cast("string")
     for f in schema.struct(table).fields:
         v = F.col(f.name)
         if isinstance(f.dataType, T.DoubleType):
-            bad[f"{f.name}: NaN"] = F.isnan(v)
+            bad[f"{f.name}: NaN"] = (F.isnan(v), none)
         if not f.nullable:
-            bad[f"{f.name}: null"] = v.isNull()
+            bad[f"{f.name}: null"] = (v.isNull(), none)
         if f.name in schema.DOMAINS:
             bad[f"{f.name}: outside its domain"] = (~v.isin(*schema.DOMAINS[f.name]), v)
         if f.name in schema.LENGTHS:
-            bad[f"{f.name}: not {schema.LENGTHS[f.name]} values"] = F.size(v) != schema.LENGTHS[f.name]
-    return rules(df, table, "match_id", bad)
+            bad[f"{f.name}: not {schema.LENGTHS[f.name]} values"] = (F.size(v) != schema.LENGTHS[f.name], none)
+    return bad
 
 
-def repeated(df: DataFrame, table: str, keys: list[str], rule: str) -> DataFrame:
-    """Keys that more than one row of a match has."""
+def repeats(df: DataFrame, table: str, keys: list[str], rule: str) -> DataFrame:
+    """Keys that more than one row of a match has, as faults."""
     twice = df.groupBy("match_id", *keys).count().where("count > 1")
-    return rules(twice, table, "match_id", {rule: F.lit(True)}, F.concat_ws("/", *keys))
+    return faults(twice, table, "match_id", {rule: F.lit(True)}, F.concat_ws("/", *keys))
 
 
-def orphans(df: DataFrame, table: str, to: DataFrame, on: list[str], rule: str) -> DataFrame:
-    """Rows whose key the other table lacks."""
-    return rules(df.join(to.select(*on).distinct(), on, "left_anti"), table, "match_id", {rule: F.lit(True)}, F.col(on[-1]))
+def strays(df: DataFrame, table: str, to: DataFrame, on: list[str], rule: str) -> DataFrame:
+    """Rows whose key the other table lacks, as faults."""
+    return faults(df.join(to.select(*on), on, "left_anti"), table, "match_id", {rule: F.lit(True)}, F.col(on[-1]))
 
 
-def match_rules(match: DataFrame) -> DataFrame:
-    return repeated(match, "match", [], "more than one row").unionByName(rules(match, "match", "match_id", {"native_fps: not above 0": F.col("native_fps") <= 0}, F.col("native_fps")))
+def orphans(df: DataFrame, table: str, to: DataFrame, on: list[str], rule: str) -> DataFrame:
+    """Rows whose key the other table lacks."""
+    return counted(strays(df, table, to, on, rule))
 
 
-def frame_rules(frames: DataFrame) -> DataFrame:
+def frame_faults(frames: DataFrame) -> DataFrame:
     w = Window.partitionBy("match_id").orderBy("frame_id")
-    rows = frames.withColumns({"_period": F.lag("period").over(w), "_t": F.lag("timestamp_s").over(w)})
-    return repeated(frames, "frames", ["frame_id"], "frame_id repeats").unionByName(rules(rows, "frames", "match_id", {
-        "period decreases": F.col("period") < F.col("_period"), "timestamp decreases": (F.col("period") == F.col("_period")) & (F.col("timestamp_s") < F.col("_t")),
+    rows = frames.withColumns({"_period": F.lag("period").over(w), "_t": F.lag("timestamp_s").over(w), "_id": F.lag("frame_id").over(w), "_next": F.lead("frame_id").over(w)})
+    first_of_many = (F.col("_next") == F.col("frame_id")) & ~F.coalesce(F.col("_id") == F.col("frame_id"), F.lit(False))
+    return faults(rows, "frames", "match_id", {
+        "frame_id repeats": first_of_many, "period decreases": F.col("period") < F.col("_period"), "timestamp decreases": (F.col("period") == F.col("_period")) & (F.col("timestamp_s") < F.col("_t")),
         "shootout is alive": (F.col("period") == 5) & (F.col("ball_state") == "alive"),
         "carrier without team": F.col("ball_carrier_id").isNotNull() & F.col("possession_team").isNull(), "set play without team": F.col("set_play_phase") & F.col("possession_team").isNull(),
-    }, F.col("frame_id")))
+    }, F.col("frame_id"))
+
 
+def frame_rules(frames: DataFrame) -> DataFrame:
+    """Order, repeats and states of frames: one window over each match."""
+    return counted(frame_faults(frames))
 
-def position_rules(df: DataFrame, table: str) -> DataFrame:
-    return rules(df, table, "match_id", {"x out of bounds": F.abs("x") > 67.5, "y out of bounds": F.abs("y") > 49}, F.col("frame_id"))
 
+def position_bad() -> dict[str, Column]:
+    return {"x out of bounds": F.abs("x") > 67.5, "y out of bounds": F.abs("y") > 49}
 
-def object_rules(objects: DataFrame, frames: DataFrame, players: DataFrame) -> DataFrame:
-    kind, team = F.col("object_type"), F.col("team")
-    own = rules(objects, "objects", "match_id", {
-        "team on ball or referee": kind.isin("ball", "referee") & team.isNotNull(), "z on another than the ball": (kind != "ball") & F.col("z").isNotNull(),
-        "confidence outside 0 to 1": ~F.col("confidence").between(0, 1), "hidden but not interpolated": ~F.col("visible") & ~F.col("interpolated"),
-    }, F.col("object_id"))
-    balls = repeated(objects.where(kind == "ball"), "objects", ["frame_id"], "more than one ball")
-    named = orphans(objects.where("player_id IS NOT NULL"), "objects", players, ["match_id", "player_id"], "player unknown")
-    carried = frames.where("ball_carrier_id IS NOT NULL").select("match_id", "frame_id", F.col("ball_carrier_id").alias("object_id"))
-    absent = orphans(carried, "frames", objects, ["match_id", "frame_id", "object_id"], "carrier absent")
-    parts = [own, balls, named, absent, repeated(objects, "objects", ["frame_id", "object_id"], "object repeats"), orphans(objects, "objects", frames, ["match_id", "frame_id"], "frame unknown")]
-    return reduce(DataFrame.unionByName, parts)
 
+def object_bad() -> dict[str, tuple[Column, Column]]:
+    kind, name = F.col("object_type"), F.col("object_id")
+    return {
+        "team on ball or referee": (kind.isin("ball", "referee") & F.col("team").isNotNull(), name), "z on another than the ball": ((kind != "ball") & F.col("z").isNotNull(), name),
+        "confidence outside 0 to 1": (~F.col("confidence").between(0, 1), name), "hidden but not interpolated": (~F.col("visible") & ~F.col("interpolated"), name),
+    }
 
-def event_rules(events: DataFrame, frames: DataFrame) -> DataFrame:
-    lost = orphans(events, "events", frames, ["match_id", "frame_id"], "frame unknown")
-    late = events.join(frames.where("period = 5").select("match_id", "frame_id"), ["match_id", "frame_id"], "left_semi")
-    return reduce(DataFrame.unionByName, [lost, rules(events, "events", "match_id", {"disallowed goal": (F.col("event_type") == "goal") & (F.col("outcome") == "disallowed")}, F.col("frame_id")), rules(late, "events", "match_id", {"shot in a shootout": F.col("event_type") == "shot"}, F.col("frame_id"))])
+
+def object_links(objects: DataFrame, frames: DataFrame, players: DataFrame) -> list[DataFrame]:
+    """Faults of objects among themselves and towards frames and players."""
+    per_frame = objects.groupBy("match_id", "frame_id").agg(F.count_if(F.col("object_type") == "ball").alias("balls"))
+    carried = frames.where("ball_carrier_id IS NOT NULL").select("match_id", "frame_id", F.col("ball_carrier_id").alias("object_id"))
+    return [
+        faults(per_frame, "objects", "match_id", {"more than one ball": F.col("balls") > 1}, F.col("frame_id")), strays(objects.where("player_id IS NOT NULL"), "objects", players, ["match_id", "player_id"], "player unknown"),
+        strays(carried, "frames", objects, ["match_id", "frame_id", "object_id"], "carrier absent"), repeats(objects, "objects", ["frame_id", "object_id"], "object repeats"), strays(objects, "objects", frames, ["match_id", "frame_id"], "frame unknown"),
+    ]
 
 
 def absent_tables(tables: dict[str, DataFrame]) -> DataFrame:
@@ -125,7 +140,7 @@ def absent_tables(tables: dict[str, DataFrame]) -> DataFrame:
     ids = reduce(DataFrame.unionByName, [df.select(F.col("match_id").cast("string").alias("match_id"), F.lit(name).alias("table")) for name, df in tables.items()])
     needed = [name for name in schema.DDL if name not in schema.MAY_BE_EMPTY]
     has = ids.groupBy("match_id").agg(F.array(*[F.struct(F.lit(name).alias("table"), F.count_if(F.col("table") == name).alias("n")) for name in needed]).alias("has"))
-    return has.select("match_id", F.explode("has").alias("h")).where("h.n = 0").select("match_id", "h.table", F.lit("no rows").alias("rule"), F.lit(1).cast("long").alias("n_bad"), F.lit("").alias("sample"))
+    return has.select("match_id", F.explode("has").alias("h")).where("h.n = 0").select("match_id", "h.table", F.lit("no rows").alias("rule"), F.lit(None).cast("string").alias("sample"))
 
 
 def validated(tables: dict[str, DataFrame]) -> DataFrame:
@@ -139,11 +154,15 @@ def validated(tables: dict[str, DataFrame]) -> DataFrame:
     if wrong:
         return spark.createDataFrame(wrong, REPORT)
     t = tables
-    columns = [*[column_rules(t[name], name) for name in schema.DDL], absent_tables(t)]
-    across = [match_rules(t["match"]), frame_rules(t["frames"]), position_rules(t["objects"], "objects"), position_rules(t["events"], "events"), object_rules(t["objects"], t["frames"], t["players"]), event_rules(t["events"], t["frames"]), repeated(t["players"], "players", ["player_id"], "player repeats")]
-    report = reduce(DataFrame.unionByName, columns).withColumn("_across", F.lit(False)).unionByName(reduce(DataFrame.unionByName, across).withColumn("_across", F.lit(True)))
+    late = t["events"].join(t["frames"].where("period = 5").select("match_id", "frame_id"), ["match_id", "frame_id"], "left_semi")
+    disallowed = {"disallowed goal": (F.col("event_type") == "goal") & (F.col("outcome") == "disallowed")}
+    waits = {"match": {"native_fps: not above 0": (F.col("native_fps") <= 0, F.col("native_fps"))}, "objects": position_bad() | object_bad(), "events": position_bad() | disallowed}
+    columns = [*[faults(t[name], name, "match_id", column_bad(name) | waits.get(name, {}), F.col("frame_id") if name in ("objects", "events") else None) for name in schema.DDL], absent_tables(t)]
+    across = [repeats(t["match"], "match", [], "more than one row"), frame_faults(t["frames"]), *object_links(t["objects"], t["frames"], t["players"]), strays(t["events"], "events", t["frames"], ["match_id", "frame_id"], "frame unknown"), faults(late, "events", "match_id", {"shot in a shootout": F.col("event_type") == "shot"}, F.col("frame_id")), repeats(t["players"], "players", ["player_id"], "player repeats")]
+    waiting = [rule for bad in waits.values() for rule in bad]
+    found = reduce(DataFrame.unionByName, columns).withColumn("_across", F.col("rule").isin(waiting)).unionByName(reduce(DataFrame.unionByName, across).withColumn("_across", F.lit(True)))
     first = F.min("_across").over(Window.partitionBy("match_id"))  # a row for each broken rule of a match
-    return report.withColumn("_first", first).where(F.col("_across") == F.col("_first")).drop("_across", "_first")
+    return counted(found, "_across").withColumn("_first", first).where(F.col("_across") == F.col("_first")).drop("_across", "_first")
 
 
 def equal_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
