@@ -3,7 +3,8 @@
 A text is cut after ``. ! ? ; :`` before white space and at blank lines, lines with nothing but comment signs included; words are normalised to
 lower-case ASCII.  A sentence begins and ends at a line or a cut and may run over any number of lines, so wrapped licence texts and comment
 headers are recognised as well as notices of one line.  ``SENTENCES`` (notices) and ``FULL_SENTENCES`` (the sentences of licence texts)
-give the identifier of each known one; of known ones that begin together the longest counts.  The recognised identifiers of a document, in
+give the identifier of each known one.  A line whose first three words begin a known sentence (looked up in a hash set) opens runs of one, two, ... lines; each run
+is looked up among the known sentences, so a longer table costs no more a line.  Of known ones that begin together the longest counts.  The recognised identifiers of a document, in
 order, are matched against ``RULES`` and ``FULL_RULES`` from the first to the last; a rule takes what it matches, so that a longer rule hides
 the shorter ones in it.
 
@@ -51,6 +52,33 @@ SENTENCES = {
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-names",
     "spdx license identifier bsd 3 clause": "bsd3-tag",
     "all rights reserved": "reserved",
+    "spdx license identifier gpl 2 0 only": "gpl2-tag",
+    "spdx license identifier gpl 2 0 or later": "gpl2-later-tag",
+    "licensed under the gnu general public license version 2": "gpl2-notice",
+    "spdx license identifier lgpl 2 1 only": "lgpl21-tag",
+    "spdx license identifier lgpl 2 1 or later": "lgpl21-later-tag",
+    "spdx license identifier lgpl 3 0 only": "lgpl3-tag",
+    "spdx license identifier lgpl 3 0 or later": "lgpl3-later-tag",
+    "licensed under the gnu lesser general public license version 2 1": "lgpl21-notice",
+    "licensed under the gnu lesser general public license version 3": "lgpl3-notice",
+    "spdx license identifier agpl 3 0 only": "agpl3-tag",
+    "spdx license identifier agpl 3 0 or later": "agpl3-later-tag",
+    "licensed under the gnu affero general public license version 3": "agpl3-notice",
+    "spdx license identifier mpl 2 0": "mpl2-tag",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-notice",
+    "spdx license identifier epl 2 0": "epl2-tag",
+    "spdx license identifier isc": "isc-tag",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "spdx license identifier bsd 2 clause": "bsd2-tag",
+    "spdx license identifier unlicense": "unlicense-tag",
+    "this is free and unencumbered software released into the public domain": "unlicense-grant",
+    "spdx license identifier cc0 1 0": "cc0-tag",
+    "spdx license identifier cc by 4 0": "cc-by-tag",
+    "spdx license identifier cc by sa 4 0": "cc-by-sa-tag",
+    "spdx license identifier cc by nc 4 0": "cc-by-nc-tag",
+    "spdx license identifier zlib": "zlib-tag",
+    "spdx license identifier bsl 1 0": "boost-tag",
+    "distributed under the boost software license version 1 0": "boost-notice",
 }
 # Whole sentences of licence texts, of which some entries above are only the beginning.  ``*`` stands for the name of a holder, up to 12 words.
 FULL_SENTENCES = {
@@ -87,6 +115,33 @@ RULES = [
     ("CC-BY-4.0", "permissive", ("cc-by-notice",)),
     ("BSD-2-Clause", "permissive", ("bsd-grant",)),
     ("BSD-3-Clause", "permissive", ("bsd3-tag",)),
+    ("GPL-2.0-only", "copyleft", ("gpl2-tag",)),
+    ("GPL-2.0-only", "copyleft", ("gpl2-notice",)),
+    ("GPL-2.0-or-later", "copyleft", ("gpl2-later-tag",)),
+    ("LGPL-2.1-only", "copyleft", ("lgpl21-tag",)),
+    ("LGPL-2.1-only", "copyleft", ("lgpl21-notice",)),
+    ("LGPL-2.1-or-later", "copyleft", ("lgpl21-later-tag",)),
+    ("LGPL-3.0-only", "copyleft", ("lgpl3-tag",)),
+    ("LGPL-3.0-only", "copyleft", ("lgpl3-notice",)),
+    ("LGPL-3.0-or-later", "copyleft", ("lgpl3-later-tag",)),
+    ("AGPL-3.0-only", "copyleft", ("agpl3-tag",)),
+    ("AGPL-3.0-only", "copyleft", ("agpl3-notice",)),
+    ("AGPL-3.0-or-later", "copyleft", ("agpl3-later-tag",)),
+    ("MPL-2.0", "copyleft", ("mpl2-tag",)),
+    ("MPL-2.0", "copyleft", ("mpl2-notice",)),
+    ("EPL-2.0", "copyleft", ("epl2-tag",)),
+    ("ISC", "permissive", ("isc-tag",)),
+    ("ISC", "permissive", ("isc-grant",)),
+    ("BSD-2-Clause", "permissive", ("bsd2-tag",)),
+    ("Unlicense", "permissive", ("unlicense-tag",)),
+    ("Unlicense", "permissive", ("unlicense-grant",)),
+    ("CC0-1.0", "permissive", ("cc0-tag",)),
+    ("CC-BY-4.0", "permissive", ("cc-by-tag",)),
+    ("CC-BY-SA-4.0", "copyleft", ("cc-by-sa-tag",)),
+    ("CC-BY-NC-4.0", "noncommercial", ("cc-by-nc-tag",)),
+    ("Zlib", "permissive", ("zlib-tag",)),
+    ("BSL-1.0", "permissive", ("boost-tag",)),
+    ("BSL-1.0", "permissive", ("boost-notice",)),
 ]
 # Further rules, for identifiers of whole texts; they follow those above.
 FULL_RULES = [
@@ -101,13 +156,13 @@ FULL_RULES = [
 KINDS = ("noncommercial", "copyleft", "permissive")
 
 
-def _pattern() -> str:
-    """A regular expression of all known sentences in normalised lines, the longest first; within a sentence one line may end for each space."""
-
-    def one(sentence: str) -> str:
-        return r"(?:\s+[a-z0-9]+){1,12}?\s+".join(part.strip().replace(" ", r"[ \n]") for part in sentence.split("*"))
-
-    return "(?md)^(?:" + "|".join(one(s) for s in sorted({**SENTENCES, **FULL_SENTENCES}, key=len, reverse=True)) + ")$"
+KNOWN = {**SENTENCES, **FULL_SENTENCES}
+#: How many words tell whether a line may begin a known sentence.
+START_WORDS = 3
+STARTS = sorted({" ".join(s.split()[:k]) for s in KNOWN for k in range(1, START_WORDS + 1)})
+HOLDER_WORDS = 12
+#: No known sentence runs over more lines: each has a word at least, and each word of a holder's name may be followed by a cut.
+MOST_LINES = max(len(s.split()) for s in KNOWN) + 2 * HOLDER_WORDS
 
 
 def normalised(text: Column) -> Column:
@@ -116,12 +171,36 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(cut), r"[^a-z0-9\n]+", " "), r" ?\n ?", "\n")
 
 
+def _runs(lines: Column, i: Column) -> Column:
+    """The runs of lines from line ``i``, each as (end, sentence); one over an empty line has two spaces and equals no known sentence, but for the name of a holder (``Inc.`` is a cut)."""
+    holder = rf"^(neither the name of)(?: +[a-z0-9]+){{1,{HOLDER_WORDS}}} +(nor the names of)"
+
+    def run(n: Column) -> Column:
+        return F.struct((i + n).alias("end"), F.regexp_replace(F.array_join(F.slice(lines, i + 1, n), " "), holder, "$1 * $2").alias("sentence"))
+
+    return F.transform(F.sequence(F.lit(1), F.least(F.lit(MOST_LINES), F.size(lines) - i)), run)
+
+
 def recognised(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order."""
-    holder = r"^(neither the name of) .* (nor the names of)"
-    known = F.create_map(*[F.lit(x) for pair in {**SENTENCES, **FULL_SENTENCES}.items() for x in pair])
-    plain = F.transform(F.regexp_extract_all(F.btrim(normalised(text), F.lit(" ")), F.lit(_pattern()), F.lit(0)), lambda s: F.regexp_replace(s, r"\s+", " "))
-    return let(known, lambda ids: F.transform(plain, lambda s: F.coalesce(F.try_element_at(ids, s), F.try_element_at(ids, F.regexp_replace(s, holder, "$1 * $2")))))
+    known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
+
+    def longest(lines: Column, i: Column) -> Column:
+        run = F.try_element_at(F.filter(_runs(lines, i), lambda r: r["sentence"].isin(list(KNOWN))), F.lit(-1))
+        return F.when(run.isNotNull(), F.struct(i.alias("start"), run["end"].alias("end"), run["sentence"].alias("sentence")))
+
+    def found(lines: Column) -> Column:
+        starts = F.array_compact(F.transform(lines, lambda line, i: F.when(F.substring_index(line, " ", START_WORDS).isin(STARTS), i)))
+        return F.array_compact(F.transform(starts, lambda i: longest(lines, i)))
+
+    def taken(state: Column, run: Column) -> Column:
+        """Runs that begin inside one already taken go."""
+        longer = F.struct(run["end"].alias("free"), F.concat(state["sids"], F.array(F.element_at(known, run["sentence"]))).alias("sids"))
+        return F.when(run["start"] >= state["free"], longer).otherwise(state)
+
+    lines = F.split(F.btrim(normalised(text), F.lit(" ")), "\n")
+    none = F.struct(F.lit(0).alias("free"), F.array().cast("array<string>").alias("sids"))
+    return F.aggregate(let(lines, found), none, taken, lambda state: state["sids"])
 
 
 def scanned(docs: DataFrame) -> DataFrame:

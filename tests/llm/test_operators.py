@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -388,6 +389,36 @@ def test_licences(spark, small):
     assert (got[9]["licences"], got[9]["kind"]) == ("CC-BY-NC-4.0,MIT", "noncommercial") and got[10]["licences"] == "GPL-3.0-or-later" and got[4]["n_known"] == 0 and len(got) == 11
 
 
+def longest_runs(text):
+    """The known sentences of a text by trying every run of lines, the longest at each place first."""
+    cut = re.sub(r"(?<!(?i:spdx-license-identifier))([.!?;:])[ \t\r\n]+", "\\1\n\n", text or "")
+    lines = [x.strip() for x in re.sub(r"[^a-z0-9\n]+", " ", cut.lower()).split("\n")]
+    out, i = [], 0
+    while i < len(lines):
+        for j in range(len(lines), i, -1):
+            run = re.sub(r"^(neither the name of)(?: +[a-z0-9]+){1,12} +(nor the names of)", r"\1 * \2", " ".join(lines[i:j]))
+            if run in licences.KNOWN:
+                out.append(licences.KNOWN[run])
+                break
+        else:
+            j = i + 1
+        i = j
+    return out
+
+
+def test_licence_sentences_by_lookup(spark, small):
+    """Every known sentence, whole and wrapped at random, and the given texts, equal every run of lines tried in turn."""
+    draw = random.Random(5)
+    texts = [*ODD, MIT_TEXT, BSD_TEXT, APACHE_TEXT, "MIT License\nMIT License and more\nMIT\nLicense", "Neither the name of " + "x " * 13 + "nor the names of its contributors may be used to endorse or promote products derived from this software"]
+    for s in licences.KNOWN:
+        w = s.replace("*", "the Example Foundation").split()
+        texts += [" ".join(w), "# " + "".join(x + draw.choice((" ", " ", "\n# ")) for x in w), "so " + " ".join(w), " ".join(w[:-1]) + "\n\n" + w[-1]]
+    texts += [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect() if len(r["text"] or "") < 5000]
+    got = by_id(licences.scanned(frame(spark, texts)))
+    assert [got[i]["sentences"] for i in range(len(texts))] == [",".join(longest_runs(t)) for t in texts]
+    assert {name for name, _, _ in licences.RULES} <= {n for r in got.values() for n in r["licences"].split(",")}
+
+
 MIT_TEXT = """The MIT License (MIT)
 
 Copyright (c) 2020 A. Holder
