@@ -71,7 +71,7 @@ def tables(spark, team="home"):
     """Two matches of two seconds: a player dribbles the ball."""
     t = {n: [] for n in schema.DDL}
     for m in ("a", "b"):
-        t["match"].append((m, "0.6", "x", None, None, None, "H", "A", 10.0))
+        t["match"].append((m, "0.6", "vision", None, None, None, "H", "A", 10.0))
         t["players"].append((m, "P", "home", 9, None, None))
         for i in range(20):
             t["frames"].append((m, i, 1, i / 10, True, None, None, None, None, None))
