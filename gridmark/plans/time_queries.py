@@ -193,10 +193,13 @@ def time_weighted_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH {BOUND} SELECT event_id, min(CASE WHEN event_type = 'click' THEN event_id END) OVER w AS next_restart, bool_or(event_type = 'click' AND team = 'home') OVER w AS home_restarts_later
 FROM b WINDOW w AS (PARTITION BY match_id, period ORDER BY ts_us, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)""")
 def next_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first later restart (its id grows with time), and whether the home team restarts later at all."""
-    after = windows.ordered(KEYS, "ts_us", "event_id").rowsBetween(1, Window.unboundedFollowing)
+    """The least id of a later restart (the first one, as ids grow with time), and whether the home team restarts later at all.
+
+    The frame runs backwards: one that ends at the group's end would be read anew for each row.
+    """
+    after = Window.partitionBy(*KEYS).orderBy(F.desc("ts_us"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
     click = F.col("event_type") == "click"
-    return bound(spark, sf_dir).select("event_id", F.first(F.when(click, F.col("event_id")), ignorenulls=True).over(after).alias("next_restart"), F.bool_or(click & (F.col("team") == "home")).over(after).alias("home_restarts_later"))
+    return bound(spark, sf_dir).select("event_id", F.min(F.when(click, F.col("event_id"))).over(after).alias("next_restart"), F.bool_or(click & (F.col("team") == "home")).over(after).alias("home_restarts_later"))
 
 
 @query("""WITH {BOUND}, h AS (SELECT event_id, match_id, period, object_id, ts_us // {HOUR} AS k, x FROM b), d AS (SELECT match_id, period, object_id, k, min(event_id) AS event_id, arg_min(x, event_id) AS x FROM h GROUP BY ALL)
