@@ -6,7 +6,9 @@ only, so a stream can store it as JSON.
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections import deque
 
 
 class ViewGate:
@@ -98,3 +100,101 @@ class Autoregressive:
 
     def end(self) -> list[dict]:
         return []
+
+
+class TrailingMedian:
+    """The median and the number of values from ``back`` before a row's time to just before it, for ``sequential.along``: steps return (median, n).
+
+    Values lie in two heaps, the lower half and the upper one.  They leave in the order in which they came, so one is gone if its number is below the first that
+    stays; a heap drops such values when they reach its top, and all of them when they are half of it.  Null values don't count.
+    """
+
+    def __init__(self, back: int) -> None:
+        self.back, self.time, self.next, self.first = back, None, 0, 0
+        self.waiting, self.live, self.low, self.high, self.n_low, self.n_high = [], deque(), [], [], 0, 0
+
+    def step(self, time: int | None, value: float | None) -> tuple:
+        if time is None:
+            return None, 0
+        if time != self.time:
+            for v in self.waiting:
+                self._add(v)
+            self.waiting, self.time = [], time
+            while self.live and self.live[0][0] < time - self.back:
+                self._drop()
+        if value is not None:
+            self.waiting.append(value)
+        n = self.n_low + self.n_high
+        if not n:
+            return None, 0
+        low = -self.low[0][0]
+        return (low if n % 2 else 0.5 * low + 0.5 * self.high[0][0]), n
+
+    def _add(self, v: float) -> None:
+        item = (v, self.next)
+        self.live.append((self.time, *item))
+        self.next += 1
+        if self.n_low and item > self._top():
+            heapq.heappush(self.high, item)
+            self.n_high += 1
+        else:
+            heapq.heappush(self.low, (-v, -item[1]))
+            self.n_low += 1
+        self._even()
+
+    def _drop(self) -> None:
+        _, v, i = self.live.popleft()
+        in_low = (v, i) <= self._top()
+        self.first = i + 1
+        self.n_low, self.n_high = self.n_low - in_low, self.n_high - (not in_low)
+        self._prune()
+        self._even()
+
+    def _top(self) -> tuple:
+        return -self.low[0][0], -self.low[0][1]
+
+    def _prune(self) -> None:
+        while self.low and -self.low[0][1] < self.first:
+            heapq.heappop(self.low)
+        while self.high and self.high[0][1] < self.first:
+            heapq.heappop(self.high)
+        if len(self.low) + len(self.high) > 2 * (self.n_low + self.n_high) + 64:
+            self.low, self.high = [x for x in self.low if -x[1] >= self.first], [x for x in self.high if x[1] >= self.first]
+            heapq.heapify(self.low)
+            heapq.heapify(self.high)
+
+    def _even(self) -> None:
+        """As many values in the lower half as in the upper one, or one more."""
+        while self.n_low > self.n_high + 1 or self.n_low < self.n_high:
+            if self.n_low > self.n_high:
+                v, i = heapq.heappop(self.low)
+                heapq.heappush(self.high, (-v, -i))
+                self.n_low, self.n_high = self.n_low - 1, self.n_high + 1
+            else:
+                v, i = heapq.heappop(self.high)
+                heapq.heappush(self.low, (-v, -i))
+                self.n_low, self.n_high = self.n_low + 1, self.n_high - 1
+            self._prune()
+
+
+class LatestMark:
+    """The label of the mark that holds a time, of several that of the greatest ordinal, for ``sequential.along``: marks, at their starts, and points come in the order of time.
+
+    Marks lie in a heap by ordinal; one that has ended leaves when it reaches the top, and all of them when they may be half of it.
+    """
+
+    def __init__(self) -> None:
+        self.heap, self.n, self.most = [], 0, 1024
+
+    def step(self, is_mark: bool, time: int | None, end: int | None, ordinal: int | None, label: object) -> tuple:
+        if is_mark:
+            self.n += 1
+            heapq.heappush(self.heap, (-ordinal, -self.n, end, label))
+            if len(self.heap) > self.most:
+                self.heap = [m for m in self.heap if m[2] > time]
+                heapq.heapify(self.heap)
+                self.most = 2 * len(self.heap) + 1024
+            return (None,)
+        while self.heap and self.heap[0][2] <= time:
+            heapq.heappop(self.heap)
+        return (self.heap[0][3] if self.heap else None,)

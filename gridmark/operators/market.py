@@ -7,14 +7,18 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridmark.operators import machines, sequential
+
 # Fixed value: the number of bytes of a word in a chain log's data, as hex digits.
 WORD = 64
 
 
 def jumps(trades: DataFrame, keys: list[str], time: str, price: str, back: int, least: float, rows: int) -> DataFrame:
-    """Trades at least ``least`` above the median of the ``back`` micros before them, with ``rows`` earlier trades there."""
-    w = Window.partitionBy(*keys).orderBy(time).rangeBetween(-back, -1)
-    seen = trades.withColumns({"_m": F.percentile(price, 0.5).over(w), "_n": F.count(price).over(w)})
+    """Trades at least ``least`` above the median of the ``back`` micros before them, with ``rows`` earlier trades there.
+
+    The median moves with the window (``machines.TrailingMedian``): a trade comes and goes once, whereas an aggregate over a sliding frame reads the frame for each row.
+    """
+    seen = sequential.along(trades, keys, [time], [time, price], lambda: machines.TrailingMedian(back), "_m double, _n long")
     return seen.where((F.col("_n") >= rows) & (F.col(price) >= F.col("_m") + least)).withColumn("jump", F.col(price) - F.col("_m")).drop("_m", "_n")
 
 

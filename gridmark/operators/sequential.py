@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from gridmark.session import ship
@@ -55,6 +57,31 @@ def batch(df: DataFrame, keys: list[str], order: list[str], machine: Callable[[d
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, out_schema)
 
 
+def along(df: DataFrame, keys: list[str], order: list[str | Column], reads: list[str], machine: Callable[[], object], schema: str) -> DataFrame:
+    """``df`` with the columns of ``schema``: what ``machine().step(*values of reads)`` returns, as a tuple, for each row of a group of ``keys`` in ``order``.
+
+    Rows pass through as Arrow batches and keep their types; a task holds one batch and one state at a time.  Null keys are a group.
+    """
+    ship(df.sparkSession)
+    more = StructType.fromDDL(schema)
+    kinds = [to_arrow_type(f.dataType) for f in more]
+    out_schema = StructType([*df.schema.fields, *more.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for b in batches:
+            read = lambda names: zip(*[b.column(n).to_pylist() for n in names], strict=True)  # noqa: B023, E731
+            out = []
+            for now, row in zip(read(keys), read(reads), strict=True):
+                if state is None or now != key:
+                    key, state = now, machine()
+                out.append(state.step(*row))
+            columns = zip(*out, strict=True) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [*b.schema.names, *more.names])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out_schema)
+
+
 def swept(df: DataFrame, name: str, values: list[float]) -> DataFrame:
     """Each row once for each parameter value, in the column ``name``: with it as a further key one job runs the whole sweep."""
     return df.withColumn(name, F.explode(F.array(*[F.lit(float(v)) for v in values])))

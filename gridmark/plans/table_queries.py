@@ -148,7 +148,7 @@ def except_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, round(p - med, 6) AS jump FROM q WHERE n >= 5 AND p >= med + 0.08""")
 def trailing_median_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values well above the median of the 48 hours before them, of five at least."""
-    return market.jumps(bound(spark, sf_dir), KEYS, "ts_us", "p", 48 * HOUR, 0.08, 5).select("event_id", F.round("jump", 6).alias("jump"))
+    return market.jumps(bound(spark, sf_dir).select("event_id", *KEYS, "ts_us", "p"), KEYS, "ts_us", "p", 48 * HOUR, 0.08, 5).select("event_id", F.round("jump", 6).alias("jump"))
 
 
 @query("""WITH e AS (SELECT event_id, user_id % 8 AS market, epoch_us(ts) // {HOUR} * {HOUR} AS t FROM events), d AS (SELECT market, t, lead(t) OVER (PARTITION BY market ORDER BY t) AS nxt FROM (SELECT DISTINCT market, t FROM e)),

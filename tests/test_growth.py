@@ -1,8 +1,9 @@
 """Steps whose work must grow no faster than their rows, and results on rows that small tables lack."""
 
-from pyspark.sql import functions as F
+import random
+import statistics
 
-from gridmark.operators import asof
+from gridmark.operators import asof, machines, market
 from gridmark.plans import catalog
 
 
@@ -25,3 +26,18 @@ def test_forward_lookup_without_a_time(spark):
     got = lambda strict: values(asof.asof_forward(left, right, ["g"], "t", "t", {"v": "v"}, strict=strict, right_order=["n"]), "t", "v")
     assert got(False) == [(10, "b"), (25, "b"), (26, None), (None, None)]
     assert got(True) == [(10, "b"), (25, None), (26, None), (None, None)]
+
+
+def test_medians_move_with_their_window(spark, small):
+    draw = random.Random(3)
+    rows = sorted(((draw.randrange(400), draw.choice([None, *range(30)])) for _ in range(1500)), key=lambda r: r[0])
+    m = machines.TrailingMedian(40)
+    for t, v in rows:
+        before = [p for at, p in rows if p is not None and t - 40 <= at < t]
+        assert m.step(t, v) == ((statistics.median(before), len(before)) if before else (None, 0))
+    assert m.step(None, 1.0) == (None, 0)
+    trades = spark.createDataFrame([(2**60 + i, "a", t, None if v is None else float(v)) for i, (t, v) in enumerate(rows)], "id long, k string, t long, v double")
+    got = market.jumps(trades, ["k"], "t", "v", 40, 10.0, 5)
+    medians = {2**60 + i: statistics.median(b) for i, (t, v) in enumerate(rows) if v is not None and len(b := [p for at, p in rows if p is not None and t - 40 <= at < t]) >= 5}
+    assert values(got, "id", "jump") == sorted((i, float(rows[i - 2**60][1] - m)) for i, m in medians.items() if rows[i - 2**60][1] >= m + 10)
+    assert "percentile" not in plan(catalog.QUERIES["trailing_median_jump"](spark, small))
