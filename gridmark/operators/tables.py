@@ -8,9 +8,18 @@ from pyspark.sql import functions as F
 from gridmark.session import hinted
 
 
+def apart(dx: Column, dy: Column) -> Column:
+    """The distance as the root of a sum of squares, not as ``hypot``, whose last digit differs: which of two equal distances is the lesser hangs on it.
+
+    Exact decimals are subtracted as such and squared as doubles.
+    """
+    dx, dy = dx.cast("double"), dy.cast("double")
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def nearest(objects: DataFrame, targets: DataFrame, on: list[str], within: float | None = None) -> DataFrame:
     """For each target row (``on``, bx, by) its nearest object (x, y), ties by object_id; objects out of reach don't count."""
-    d = F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))
+    d = apart(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))
     near = objects.join(targets, on).withColumn("d", d)
     near = near if within is None else near.where(F.col("d") <= within)
     return near.groupBy(*on).agg(F.min_by(F.struct("object_id", "team", "d"), F.struct("d", "object_id")).alias("n")).select(*on, "n.*")
@@ -39,7 +48,7 @@ def mutual_nearest(a: DataFrame, b: DataFrame, on: list[str], gate: float) -> Da
     In a crowd this can leave more rows unmatched than an optimal assignment would.
     """
     pairs = a.select(*on, F.col("id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay")).join(b.select(*on, F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by")), on)
-    pairs = pairs.withColumn("d", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).where(F.col("d") <= gate)
+    pairs = pairs.withColumn("d", apart(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).where(F.col("d") <= gate)
     first = {s: F.row_number().over(Window.partitionBy(*on, s).orderBy("d", "a_id", "b_id")) for s in ("a_id", "b_id")}
     return pairs.withColumns({"_a": first["a_id"], "_b": first["b_id"]}).where("_a = 1 AND _b = 1").select(*on, "a_id", "b_id", "d")
 

@@ -44,3 +44,8 @@ def bound(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("user_id") % 2 == 0, "home").otherwise("away").alias("team"), timestamp_us(F.col("ts")).alias("ts_us"), "event_type", "value",
         F.least(F.col("value") / 500, F.lit(1.0)).alias("p"), (F.col("value") % 105 - 52.5).alias("x"), ((k - 50) * 0.68).alias("y"),
     )
+
+
+def exact(b: DataFrame) -> DataFrame:
+    """``b`` with y as the decimal that it is in SQL, so that differences of places are exact where equal distances are told apart."""
+    return b.withColumn("y", F.round("y", 2).cast("decimal(10,2)"))

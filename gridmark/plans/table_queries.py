@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridmark.functions import geometry as G
 from gridmark.functions import scalars, timing
 from gridmark.operators import market, reviews, tables, validate, windows
-from gridmark.plans.registry import HOUR, KEYS, bound, query, table
+from gridmark.plans.registry import HOUR, KEYS, bound, exact, query, table
 
 
 @query("""WITH r AS (
@@ -49,7 +49,7 @@ d AS (SELECT k.match_id, k.period, k.day, k.event_id, k.team, sqrt((k.x - bx) **
 SELECT match_id, period, day, event_id AS object_id, team, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY match_id, period, day ORDER BY d, event_id) AS n FROM d WHERE d <= 30) WHERE n = 1""")
 def nearest_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per day the event nearest to the day's first view, within 30 metres."""
-    k = bound(spark, sf_dir).withColumn("day", F.floor(F.col("ts_us") / (24 * HOUR)))
+    k = exact(bound(spark, sf_dir)).withColumn("day", F.floor(F.col("ts_us") / (24 * HOUR)))
     on = [*KEYS, "day"]
     t = k.where("event_type = 'view'").groupBy(*on).agg(F.min_by("x", "event_id").alias("bx"), F.min_by("y", "event_id").alias("by"))
     n = tables.nearest(k.where("event_type != 'view'").withColumn("object_id", F.col("event_id")), t, on, 30)
@@ -67,7 +67,7 @@ def team_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT match_id, day, a_id, b_id, sqrt((ax - bx) ** 2 + (ay - oy) ** 2) AS d FROM a JOIN c USING (match_id, day)), g AS (SELECT * FROM p WHERE d <= 20),
 n AS (SELECT *, row_number() OVER (PARTITION BY match_id, day, a_id ORDER BY d, a_id, b_id) AS i, row_number() OVER (PARTITION BY match_id, day, b_id ORDER BY d, a_id, b_id) AS j FROM g) SELECT match_id, day, a_id, b_id, round(d, 6) AS d FROM n WHERE i = 1 AND j = 1""")
 def mutual_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = bound(spark, sf_dir).select("match_id", F.floor(F.col("ts_us") / (24 * HOUR)).alias("day"), F.col("event_id").alias("id"), "x", "y", "event_type")
+    k = exact(bound(spark, sf_dir)).select("match_id", F.floor(F.col("ts_us") / (24 * HOUR)).alias("day"), F.col("event_id").alias("id"), "x", "y", "event_type")
     return tables.mutual_nearest(k.where("event_type = 'view'"), k.where("event_type = 'click'"), ["match_id", "day"], 20).withColumn("d", F.round("d", 6))
 
 

@@ -1,9 +1,12 @@
 """Steps whose work must grow no faster than their rows, and results on rows that small tables lack."""
 
+import math
 import random
 import statistics
 
-from gridmark.operators import asof, machines, market
+from pyspark.sql import functions as F
+
+from gridmark.operators import asof, machines, market, reviews, tables
 from gridmark.plans import catalog
 
 
@@ -41,3 +44,15 @@ def test_medians_move_with_their_window(spark, small):
     medians = {2**60 + i: statistics.median(b) for i, (t, v) in enumerate(rows) if v is not None and len(b := [p for at, p in rows if p is not None and t - 40 <= at < t]) >= 5}
     assert values(got, "id", "jump") == sorted((i, float(rows[i - 2**60][1] - m)) for i, m in medians.items() if rows[i - 2**60][1] >= m + 10)
     assert "percentile" not in plan(catalog.QUERIES["trailing_median_jump"](spark, small))
+
+
+def test_equal_distances_are_equal(spark):
+    """Of places equally far the lesser id counts, and a distance is the root of a sum of squares to its last digit."""
+    near = spark.createDataFrame([(1, i, "home", float(x), str(y)) for i, (x, y) in enumerate([(0.68, "1.36"), (1.36, "0.68")])], "f int, object_id int, team string, x double, y string").withColumn("y", F.col("y").cast("decimal(10,2)"))
+    ball = spark.createDataFrame([(1, 0.0, "0")], "f int, bx double, by string").withColumn("by", F.col("by").cast("decimal(10,2)"))
+    assert values(tables.nearest(near, ball, ["f"]), "object_id") == [(0,)]
+    draw = random.Random(1)
+    pairs = [(draw.randrange(-5000, 5000) / 100, draw.randrange(-5000, 5000) / 100) for _ in range(2000)]
+    d = spark.createDataFrame(pairs, "x double, y double").select("x", "y", tables.apart(F.col("x"), F.col("y")).alias("d"))
+    assert all(r["d"] == math.sqrt(r["x"] * r["x"] + r["y"] * r["y"]) for r in d.collect())
+    assert any(math.hypot(x, y) != math.sqrt(x * x + y * y) for x, y in pairs)
