@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridmark.operators import asof, machines, sequential, tables
+
 
 def agreement(df: DataFrame, keys: list[str], truth: str, inferred: str, alive: Column) -> DataFrame:
     """Counters and shares of agreement by group and pooled (null keys); an unknown inferred value disagrees with a known one."""
@@ -21,20 +23,19 @@ def shifted_join(a: DataFrame, b: DataFrame, keys: list[str], time_a: str, time_
     return a.withColumn("_k", tick).join(other, [*keys, "_k"]).drop("_k")
 
 
-def kicks(ball: DataFrame, keys: list[str], time: str, slow: float = 7.0, fast: float = 9.0, mean: float = 10.0, gap: int = 100_000, ahead: int = 200_000) -> DataFrame:
+def kicks(ball: DataFrame, keys: list[str], time: str, slow: float = 7.0, fast: float = 9.0, mean: float = 10.0, gap: int = 100_000, ahead: int = 200_000, *, repeats: bool = False) -> DataFrame:
     """Rows where a slow ball turns fast and stays so: speed before below ``slow``, after above ``fast``, over the next ``ahead`` micros above ``mean``.
 
-    Repeated positions are dropped first; a step over a longer gap counts as none.
+    Repeated positions are dropped first, unless ``repeats`` keeps them as steps of speed 0; a step over a longer gap counts as none.
     """
     w = Window.partitionBy(*keys).orderBy(time)
-    moved = ball.withColumn("_same", (F.lag("x").over(w) == F.col("x")) & (F.lag("y").over(w) == F.col("y"))).where("NOT coalesce(_same, false)").drop("_same")
+    moved = ball if repeats else ball.withColumn("_same", (F.lag("x").over(w) == F.col("x")) & (F.lag("y").over(w) == F.col("y"))).where("NOT coalesce(_same, false)").drop("_same")
     dt = F.lead(time).over(w) - F.col(time)
-    step = F.when((dt > 0) & (dt <= gap), F.hypot(F.lead("x").over(w) - F.col("x"), F.lead("y").over(w) - F.col("y")) / (dt / 1e6))
-    rows = moved.withColumn("after", step).withColumn("before", F.lag("after").over(w))
-    last = F.last(F.struct(time, "x", "y")).over(w.rangeBetween(0, ahead))
-    rows = rows.withColumn("_l", last)
-    over = F.hypot(F.col("_l.x") - F.col("x"), F.col("_l.y") - F.col("y")) / ((F.col(f"_l.{time}") - F.col(time)) / 1e6)
-    return rows.where((F.col("before") < slow) & (F.col("after") > fast) & (F.col(f"_l.{time}") > F.col(time)) & (F.when(F.col(f"_l.{time}") > F.col(time), over) > mean)).drop("_l")
+    step = F.when((dt > 0) & (dt <= gap), tables.apart(F.lead("x").over(w) - F.col("x"), F.lead("y").over(w) - F.col("y")) / (dt / 1e6))
+    rows = moved.withColumn("after", step).withColumn("before", F.lag("after").over(w)).where((F.col("before") < slow) & (F.col("after") > fast))
+    rows = asof.asof_backward(rows.withColumn("_until", F.col(time) + ahead), moved.select(*keys, time, "x", "y"), keys, "_until", time, {time: "_lt", "x": "_lx", "y": "_ly"})
+    over = tables.apart(F.col("_lx") - F.col("x"), F.col("_ly") - F.col("y")) / ((F.col("_lt") - F.col(time)) / 1e6)
+    return rows.where(F.when(F.col("_lt") > F.col(time), over) > mean).drop("_until", "_lt", "_lx", "_ly")
 
 
 def triggers(df: DataFrame, keys: list[str], time: str, fast: str, slow: str, truth: str, ahead: int) -> DataFrame:

@@ -56,3 +56,10 @@ def test_equal_distances_are_equal(spark):
     d = spark.createDataFrame(pairs, "x double, y double").select("x", "y", tables.apart(F.col("x"), F.col("y")).alias("d"))
     assert all(r["d"] == math.sqrt(r["x"] * r["x"] + r["y"] * r["y"]) for r in d.collect())
     assert any(math.hypot(x, y) != math.sqrt(x * x + y * y) for x, y in pairs)
+
+
+def test_kicks_after_a_repeated_place(spark):
+    step = 100_000
+    ball = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, step, 5.0, 0.0), (1, 2 * step, 5.0, 0.0), (1, 3 * step, 8.0, 0.0), (1, 4 * step, 11.0, 0.0)], "g int, t long, x double, y double")
+    assert values(reviews.kicks(ball, ["g"], "t", repeats=True), "t", "before", "after") == [(2 * step, 0.0, 30.0)]
+    assert values(reviews.kicks(ball, ["g"], "t"), "t") == []
