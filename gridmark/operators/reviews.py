@@ -39,11 +39,20 @@ def kicks(ball: DataFrame, keys: list[str], time: str, slow: float = 7.0, fast:
 
 
 def triggers(df: DataFrame, keys: list[str], time: str, fast: str, slow: str, truth: str, ahead: int) -> DataFrame:
-    """Rows where the fast rule changes its team and the slow one keeps its own, with the teams that truth shows in the next ``ahead`` micros."""
+    """Rows where the fast rule changes its team and the slow one keeps its own, with ``seen``, which of the two teams truth shows in the next ``ahead`` micros, and ``right``.
+
+    Each team's next time is looked up (``asof.asof_forward``), so that a long horizon reads no frame of rows.
+    """
     w = Window.partitionBy(*keys).orderBy(time)
-    seen = F.collect_set(truth).over(w.rangeBetween(1, ahead))
-    rows = df.withColumns({"_f": F.lag(fast).over(w), "_s": F.lag(slow).over(w), "seen": seen})
-    return rows.where((F.col("_f") != F.col(fast)) & F.col("_s").eqNullSafe(F.col(slow)) & (F.col(fast) != F.col(slow))).drop("_f", "_s").withColumn("right", F.array_contains("seen", F.col(fast)) & ~F.array_contains("seen", F.col(slow)))
+    rows = df.withColumns({"_f": F.lag(fast).over(w), "_s": F.lag(slow).over(w)})
+    rows = rows.where((F.col("_f") != F.col(fast)) & F.col("_s").eqNullSafe(F.col(slow)) & (F.col(fast) != F.col(slow))).drop("_f", "_s")
+    shown = df.where(F.col(truth).isNotNull()).select(*keys, F.col(truth).alias("_team"), F.col(time).alias("_next"))
+    soon = {}
+    for rule in (fast, slow):
+        rows = asof.asof_forward(rows.withColumn("_team", F.col(rule)), shown, [*keys, "_team"], time, "_next", {"_next": f"_next_{rule}"}, strict=True).drop("_team")
+        soon[rule] = F.coalesce(F.col(f"_next_{rule}") - F.col(time) <= ahead, F.lit(False))
+    rows = rows.withColumns({"seen": F.array_compact(F.array(*[F.when(soon[r], F.col(r)) for r in (fast, slow)])), "right": soon[fast] & ~soon[slow]})
+    return rows.drop(f"_next_{fast}", f"_next_{slow}")
 
 
 def withdrawn(labels: DataFrame, checks: DataFrame, clip: str, frame: str, most: float = 0.03) -> DataFrame:

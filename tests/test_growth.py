@@ -63,3 +63,10 @@ def test_kicks_after_a_repeated_place(spark):
     ball = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, step, 5.0, 0.0), (1, 2 * step, 5.0, 0.0), (1, 3 * step, 8.0, 0.0), (1, 4 * step, 11.0, 0.0)], "g int, t long, x double, y double")
     assert values(reviews.kicks(ball, ["g"], "t", repeats=True), "t", "before", "after") == [(2 * step, 0.0, 30.0)]
     assert values(reviews.kicks(ball, ["g"], "t"), "t") == []
+
+
+def test_triggers_look_up_the_next_time(spark, small):
+    rows = spark.createDataFrame([(1, 0, "a", "a", None), (1, 1, "b", "a", "a"), (1, 2, "b", "a", "b"), (1, 4, "a", "a", "a"), (1, 5, "b", "a", None), (1, 9, "b", "a", "b")], "g int, t long, fast string, slow string, truth string")
+    assert values(reviews.triggers(rows, ["g"], "t", "fast", "slow", "truth", 4), "t", "right", "seen") == [(1, False, ["b", "a"]), (5, True, ["b"])]
+    assert values(reviews.triggers(rows, ["g"], "t", "fast", "slow", "truth", 2), "t", "right", "seen") == [(1, True, ["b"]), (5, False, [])]
+    assert "rangeframe" not in plan(catalog.QUERIES["trigger_rows"](spark, small))
