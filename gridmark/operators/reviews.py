@@ -83,11 +83,19 @@ def decided(labels: DataFrame, candidates: DataFrame, on: list[str], hit: float,
 
 
 def marked_at(points: DataFrame, marks: DataFrame, keys: list[str], time: str, width: int) -> DataFrame:
-    """``points`` with the label of the interval [start, end) that holds them; of several, the later one."""
-    from gridmark.operators.asof import interval_join
+    """``points`` with the label of the interval [start, end) that holds them; of several, the later one, which has the greatest ordinal.
 
-    held = interval_join(points, marks, keys, time, "start", "end", width, closed="left").groupBy(*points.columns).agg(F.max_by("label", "ordinal").alias("label"))
-    return points.join(held, points.columns, "left")
+    Marks are copied to the cells of ``width`` that they span, and each cell is passed over once in the order of time (``machines.LatestMark``): a point is paired with
+    no mark, however many hold it.
+    """
+    cell = lambda t: F.floor(t / width)
+    whole = marks.where((F.col("start") < F.col("end")) & F.col("ordinal").isNotNull()).dropna(subset=keys)
+    label = whole.schema["label"].dataType.simpleString()
+    m = whole.select(*keys, F.explode(F.sequence(cell(F.col("start")), cell(F.col("end")))).alias("_cell"), F.lit(True).alias("_mark"), F.col("start").alias("_t"), F.col("end").alias("_end"), F.col("ordinal").alias("_ordinal"), F.col("label").alias("_label"))
+    p = points.select(*keys, cell(F.col(time)).alias("_cell"), F.lit(False).alias("_mark"), F.col(time).alias("_t"), F.struct(*points.columns).alias("_p"))
+    order = ["_t", F.desc("_mark"), "_ordinal", "_label"]
+    rows = sequential.along(p.unionByName(m, allowMissingColumns=True), [*keys, "_cell"], order, ["_mark", "_t", "_end", "_ordinal", "_label"], machines.LatestMark, f"label {label}")
+    return rows.where("NOT _mark").select("_p.*", "label")
 
 
 def clip_scores(pairs: DataFrame, clip: str) -> DataFrame:

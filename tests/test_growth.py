@@ -70,3 +70,13 @@ def test_triggers_look_up_the_next_time(spark, small):
     assert values(reviews.triggers(rows, ["g"], "t", "fast", "slow", "truth", 4), "t", "right", "seen") == [(1, False, ["b", "a"]), (5, True, ["b"])]
     assert values(reviews.triggers(rows, ["g"], "t", "fast", "slow", "truth", 2), "t", "right", "seen") == [(1, True, ["b"]), (5, False, [])]
     assert "rangeframe" not in plan(catalog.QUERIES["trigger_rows"](spark, small))
+
+
+def test_marks_are_not_paired_with_points(spark, small):
+    draw = random.Random(5)
+    marks = [(draw.choice([1, 2]), a, a + draw.randrange(60), n, f"m{n}") for n, a in enumerate(draw.randrange(300) for _ in range(200))]
+    points = [(draw.choice([1, 2, 3]), t, 2**60 + t) for t in range(300)] + [(1, 7, None), (None, 7, 1), (1, None, 2)]
+    got = reviews.marked_at(spark.createDataFrame(points, "g int, t long, id long"), spark.createDataFrame([*marks, (None, 0, 300, 999, "x"), (1, 0, 300, None, "y")], "g int, start long, end long, ordinal long, label string"), ["g"], "t", 25)
+    held = lambda g, t: max(((m[3], m[4]) for m in marks if t is not None and m[0] == g and m[1] <= t < m[2]), default=(0, None))[1]
+    assert values(got, "g", "t", "id", "label") == sorted(((g, t, i, held(g, t)) for g, t, i in points), key=str)
+    assert " join " not in plan(catalog.QUERIES["views_marked"](spark, small))
