@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmark.functions import geometry as G
+from gridmark.operators.asof import asof_forward
 from gridmark.operators.windows import filled, ordered, so_far
 
 #: Why an alarm ends, in the order in which reasons count when several hold on one row.
@@ -194,8 +195,10 @@ def carried(
         gains = F.coalesce(F.when(F.col("_side").isNotNull() & (time - F.col("_side_from") >= team_us), F.col("_side")), gains)
     rows = rows.withColumn("possession", filled(gains, w))
 
-    recent = Window.partitionBy(*keys).orderBy("ts_us").rangeBetween(-window_us, 0)
-    since = F.first(F.when(F.col("_seen"), F.struct(time.alias("t"), x.alias("x"), y.alias("y"))), ignorenulls=True).over(recent)
+    # The first sighting of the window is the next one from its start on: a lookup, not a frame that is read for each row.
+    sightings = rows.where("_seen").select(*keys, "ts_us", "x", "y", *tie)
+    rows = asof_forward(rows.withColumn("_from", time - window_us), sightings, keys, "_from", "ts_us", {"ts_us": "_t0", "x": "_x0", "y": "_y0"}, right_order=tie)
+    since = F.when(F.col("_t0") <= time, F.struct(F.col("_t0").alias("t"), F.col("_x0").alias("x"), F.col("_y0").alias("y")))
     rows = rows.withColumn("_since", since)
     apart = time - F.col("_since.t")
     rows = rows.withColumn("_speed", F.when(F.col("_seen") & ~F.col("ball_out") & (apart > 0) & (apart >= window_us / 2), F.hypot(x - F.col("_since.x"), y - F.col("_since.y")) / (apart / 1e6)))
