@@ -46,15 +46,23 @@ def _word(data: Column, n: int) -> Column:
     return F.substring(data, 3 + WORD * n, WORD)
 
 
+def _zeros(digits: Column) -> Column:
+    return (digits != "") & (F.ltrim(digits, F.lit("0")) == "")
+
+
 def _fits(word: Column) -> Column:
     """Whether a word's amount is below 2^96: all its other digits are zero."""
-    return F.rlike(F.left(word, F.lit(WORD - 24)), F.lit("^0+$"))
+    return _zeros(F.left(word, F.lit(WORD - 24)))
 
 
 def _amount(word: Column) -> Column:
-    """A word as a decimal, from its last three groups of eight hex digits; null if it has more (``_fits``)."""
+    """A word's amount over a million; null at 2^96 or more (``_fits``).
+
+    Below 2^52 a double has the number itself, so one division rounds once; others are decimals, from their last three groups of eight hex digits.
+    """
     groups = [F.conv(F.substring(word, WORD - 8 * (i + 1) + 1, 8), 16, 10).cast("decimal(10,0)") * F.lit(Decimal(16 ** (8 * i))) for i in range(3)]
-    return F.when(_fits(word), groups[0] + groups[1] + groups[2])
+    small = (F.length(word) == WORD) & _zeros(F.left(word, F.lit(WORD - 13)))
+    return F.when(small, F.conv(F.right(word, F.lit(13)), 16, 10).cast("double") / 1e6).when(_fits(word), ((groups[0] + groups[1] + groups[2]) / 1000000).cast("double"))
 
 
 def matched_trades(logs: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -64,7 +72,9 @@ def matched_trades(logs: DataFrame, tokens: DataFrame) -> DataFrame:
     the hex word, as ids of 256 bits fit no number; logs of other tokens are dropped.  ``overflow``: an amount of 2^96 or more, which is null then.
     """
     d = F.col("data")
-    rows = logs.select("block", "log_index", "ts", "tx", F.when(F.right(_word(d, 0), F.lit(1)) == "0", "BUY").otherwise("SELL").alias("side"), F.lower(_word(d, 1)).alias("token"), (_amount(_word(d, 2)) / 1000000).cast("double").alias("maker"), (_amount(_word(d, 3)) / 1000000).cast("double").alias("taker"), (~(_fits(_word(d, 2)) & _fits(_word(d, 3)))).alias("overflow"), F.concat(F.lit("0x"), F.right(F.element_at("topics", 3), F.lit(40))).alias("wallet"))
+    words = logs.select("block", "log_index", "ts", "tx", "topics", *[_word(d, n).alias(f"_w{n}") for n in range(4)])
+    maker, taker = F.col("_w2"), F.col("_w3")
+    rows = words.select("block", "log_index", "ts", "tx", F.when(F.right("_w0", F.lit(1)) == "0", "BUY").otherwise("SELL").alias("side"), F.lower("_w1").alias("token"), _amount(maker).alias("maker"), _amount(taker).alias("taker"), (~(_fits(maker) & _fits(taker))).alias("overflow"), F.concat(F.lit("0x"), F.right(F.element_at("topics", 3), F.lit(40))).alias("wallet"))
     buy = F.col("side") == "BUY"
     return rows.join(tokens, "token").select("block", "log_index", "ts", "side", "outcome", F.when(buy, F.col("maker")).otherwise(F.col("taker")).alias("usdc"), F.when(buy, F.col("taker")).otherwise(F.col("maker")).alias("shares"), "wallet", "tx", "overflow")
 
