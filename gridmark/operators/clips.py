@@ -92,12 +92,13 @@ def frame_pairs(aligned: DataFrame, seen: DataFrame, truth: DataFrame, gate: flo
 
 
 def summary(frames: DataFrame, pairs: DataFrame) -> DataFrame:
-    """A row for each clip, and one without a clip for all: counts, shares and error quantiles of ``frame_pairs``."""
-    geo = F.col("geometry")
-    f = frames.rollup("clip").agg(
-        F.count("*").alias("n_scored"), F.count_if(F.col("has_truth")).alias("n_truth_frames"), F.count_if(F.col("view") == "match").alias("n_match_view"), F.count_if(geo).alias("n_geometry"),
-        F.sum("n_truth").alias("n_truth"), F.sum(F.when(geo, F.col("n_truth")).otherwise(0)).alias("n_truth_geo"), F.sum("n_vis").alias("n_vis"),
-    )
+    """A row for each clip, and one without a clip for all, even of no frames: counts, shares and error quantiles of ``frame_pairs``."""
+    geo, real = F.col("geometry"), ~F.col("_none")
+    none = frames.sparkSession.range(1).select(F.lit(True).alias("_none"))  # a rollup of no rows has no total
+    f = frames.withColumn("_none", F.lit(False)).unionByName(none, allowMissingColumns=True).rollup("clip").agg(
+        F.grouping("clip").alias("_total"), F.count_if(real).alias("n_scored"), F.count_if(F.col("has_truth")).alias("n_truth_frames"), F.count_if(F.col("view") == "match").alias("n_match_view"), F.count_if(geo).alias("n_geometry"),
+        F.sum("n_truth").alias("n_truth"), F.sum(F.when(real, F.when(geo, F.col("n_truth")).otherwise(0))).alias("n_truth_geo"), F.sum("n_vis").alias("n_vis"),
+    ).where("_total = 1 OR n_scored > 0").drop("_total")
     q = lambda p, c: F.percentile(c, p)
     in_geo = F.when(geo, F.col("d"))
     p = pairs.rollup("clip").agg(F.count("*").alias("n_pairs"), F.count_if("near").alias("n_near"), F.count_if(F.col("near") & geo).alias("n_near_geo"), q(0.5, F.col("d")).alias("median_m"), q(0.9, F.col("d")).alias("p90_m"), q(0.5, in_geo).alias("median_geo_m"), q(0.9, in_geo).alias("p90_geo_m"))

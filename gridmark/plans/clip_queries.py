@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmark.operators import clips, metrics, possession
-from gridmark.plans.registry import HOUR, KEYS, bound, query, table
+from gridmark.plans.registry import HOUR, KEYS, bound, exact, query, table
 
 MARGINS = [0.0, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35]
 DWELLS = [0, 2, 3, 5]
@@ -59,13 +59,14 @@ SELECT f.clip, n_scored, n_truth_frames, n_geometry, n_truth, n_vis, coalesce(n_
 def clip_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every clip, and of all in the row without one: unmarked frames paired in time, people paired in place."""
     frames, spans, marks, truth = clip_tables(spark, sf_dir)
-    places = bound(spark, sf_dir).select("event_id", "x", "y")
+    places = exact(bound(spark, sf_dir)).select("event_id", "x", "y")
     at = lambda ids, key, steps: ids.select(*ids.columns, F.explode(F.array(*[F.col(key) + s for s in steps])).alias("id"))
     people = at(truth.select("match_id", "truth_frame"), "truth_frame", (0, 1, 2)).join(places, F.col("id") == F.col("event_id")).drop("event_id")
     seen = at(frames.select("clip", "frame_id"), "frame_id", (0, 1, 3)).join(places, F.col("id") == F.col("event_id")).drop("event_id")
     rows = clips.aligned(frames, spans, marks, truth, 3 * HOUR, 12 * HOUR)
     s = clips.summary(*clips.frame_pairs(rows, seen, people, 30.0, 10.0))
-    return s.select("clip", "n_scored", "n_truth_frames", "n_geometry", "n_truth", "n_vis", "n_pairs", "n_near", *[F.round(c, 6).alias(c) for c in ("geometry_missing", "within_near", "within_near_geo", "unmatched_per_frame", "median_m", "p90_m")])
+    some = lambda c: F.when(F.col("n_scored") > 0, F.col(c)).alias(c)  # noqa: E731  (the SQL's count_if of no rows is null)
+    return s.select("clip", "n_scored", some("n_truth_frames"), some("n_geometry"), "n_truth", "n_vis", "n_pairs", "n_near", *[F.round(c, 6).alias(c) for c in ("geometry_missing", "within_near", "within_near_geo", "unmatched_per_frame", "median_m", "p90_m")])
 
 
 HOURS = """{BOUND}, h AS (SELECT match_id, period, ts_us // {HOUR} AS k, round((avg(x) + 52.5) / 105, 6) AS p, arg_max(CASE WHEN x >= 0 THEN 'home' ELSE 'away' END, (ts_us, event_id)) AS rule, count(*) = 1 AND max((ts_us // {HOUR}) % 3) = 0 AS fallback, CASE WHEN round(avg(x + y), 6) >= 0 THEN 'home' ELSE 'away' END AS truth, count_if(event_type = 'purchase') > 0 AS pos FROM b GROUP BY ALL)"""

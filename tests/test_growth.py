@@ -6,7 +6,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from gridmark.operators import asof, machines, market, reviews, tables
+from gridmark.operators import asof, clips, machines, market, reviews, tables
 from gridmark.plans import catalog
 
 
@@ -80,3 +80,20 @@ def test_marks_are_not_paired_with_points(spark, small):
     held = lambda g, t: max(((m[3], m[4]) for m in marks if t is not None and m[0] == g and m[1] <= t < m[2]), default=(0, None))[1]
     assert values(got, "g", "t", "id", "label") == sorted(((g, t, i, held(g, t)) for g, t, i in points), key=str)
     assert " join " not in plan(catalog.QUERIES["views_marked"](spark, small))
+
+
+def test_summary_of_no_frames(spark):
+    frames = spark.createDataFrame([], "clip long, has_truth boolean, view string, geometry boolean, n_truth long, n_vis long")
+    pairs = spark.createDataFrame([], "clip long, near boolean, geometry boolean, d double")
+    assert values(clips.summary(frames, pairs), "clip", "n_scored", "n_truth", "n_pairs", "median_m") == [(None, 0, None, 0, None)]
+
+
+def test_carried_state_reads_no_sliding_frames(spark, small):
+    assert "rangeframe" not in plan(catalog.QUERIES["carrier_state"](spark, small))
+
+
+def test_amounts_on_both_sides_of_2_52(spark):
+    numbers = [0, 1, 10**6 + 1, 2**52 - 1, 2**52, 2**53 + 1, 2**60 + 7, 2**96 - 1, 2**96]
+    words = spark.createDataFrame([(i, f"{n:064x}") for i, n in enumerate(numbers)], "i int, w string").select("i", market._amount(F.col("w")).alias("v"), market._fits(F.col("w")).alias("fits"))
+    assert values(words, "i", "v", "fits") == [(i, n / 10**6 if n < 2**96 else None, n < 2**96) for i, n in enumerate(numbers)]
+    assert "rlike" not in plan(catalog.QUERIES["trades_from_logs"](spark, "/root/testdata/sf0.001"))
