@@ -82,15 +82,35 @@ def calibration(df: DataFrame, p: str, y: str, bins: int) -> DataFrame:
 def score_alarms(shots: DataFrame, alarms: DataFrame, keys: list[str], grace: int, width: int, by: list[str] | None = None) -> DataFrame:
     """Each shot with the alarm that it takes: (shot_id, alarm_id, lead_us), nulls for a missed one.
 
-    An active alarm goes before one in grace, then the latest start.  ``width``: the cells of the interval join.
+    An active alarm goes before one in grace, then the latest start, then the least id.  The alarm that started last before a shot is looked up in one window, and tells
+    all where alarms follow each other (``possession.alarms``): no shot is paired with an alarm.  Only a shot that an earlier start may reach, as its alarm outlasts later
+    ones, is joined with all that hold it.  ``width``: the cells of that join.
     """
+    by = by or []
+    every = [*by, *keys]
+    a = alarms.dropna(subset=[*every, "start_us", "end_us"]).select(*every, "alarm_id", "start_us", "end_us")
+    points = shots.select(*every, F.col("ts_us").alias("_t"), F.lit(False).alias("_is"), "shot_id")
+    both = points.unionByName(a.select(*every, F.col("start_us").alias("_t"), F.lit(True).alias("_is"), "alarm_id", "end_us"), allowMissingColumns=True)
+    before = Window.partitionBy(*every).orderBy("_t", "_is", F.desc("alarm_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("_is"), F.struct("alarm_id", F.col("_t").alias("start_us"), "end_us")), ignorenulls=True).over(before)
+    seen = both.withColumns({"_a": last, "_reach": F.max("end_us").over(before)}).where("NOT _is")
+    seen = staged(seen.select(*every, "shot_id", F.col("_t").alias("ts_us"), "_a", "_reach"), "last-alarms")
+    t, end, reach = F.col("ts_us"), F.col("_a.end_us"), F.col("_reach")
+    holds = t <= end + grace
+    open_ = F.coalesce((t > end) & ((reach >= t) | (~holds & (reach + grace >= t))), F.lit(False))
+    own = F.when(holds, F.col("_a"))
+    taken = seen.where(~open_).select(*by, "shot_id", own["alarm_id"].alias("alarm_id"), (t - own["start_us"]).alias("lead_us"))
+    rest = seen.where(open_).select(*every, "shot_id", "ts_us")
+    return taken if rest.isEmpty() else taken.unionByName(_held(rest, a, every, grace, width, by))
+
+
+def _held(shots: DataFrame, alarms: DataFrame, keys: list[str], grace: int, width: int, by: list[str]) -> DataFrame:
+    """``score_alarms`` by a join with all alarms that hold a shot."""
     from gridmark.operators.asof import interval_join
 
-    by = by or []
-    a = alarms.select(*by, *keys, "alarm_id", "start_us", "end_us").withColumn("_until", F.col("end_us") + grace)
-    got = interval_join(shots.select(*by, *keys, "shot_id", "ts_us"), a, [*by, *keys], "ts_us", "start_us", "_until", width)
+    got = interval_join(shots, alarms.withColumn("_until", F.col("end_us") + grace), keys, "ts_us", "start_us", "_until", width)
     best = got.groupBy(*by, "shot_id").agg(F.min(F.struct((F.col("ts_us") > F.col("end_us")).alias("late"), (-F.col("start_us")).alias("s"), "alarm_id", (F.col("ts_us") - F.col("start_us")).alias("lead_us"))).alias("b"))
-    return shots.select(*by, "shot_id").join(best, [*by, "shot_id"], "left").select(*by, "shot_id", "b.alarm_id", "b.lead_us")
+    return best.select(*by, "shot_id", "b.alarm_id", "b.lead_us")
 
 
 def alarm_summary(taken: DataFrame, alarms: DataFrame, n_matches: Column, by: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from gridmark.operators import asof, clips, machines, market, reviews, tables
+from gridmark.operators import asof, clips, machines, market, metrics, reviews, tables
 from gridmark.plans import catalog
 
 
@@ -97,3 +97,29 @@ def test_amounts_on_both_sides_of_2_52(spark):
     words = spark.createDataFrame([(i, f"{n:064x}") for i, n in enumerate(numbers)], "i int, w string").select("i", market._amount(F.col("w")).alias("v"), market._fits(F.col("w")).alias("fits"))
     assert values(words, "i", "v", "fits") == [(i, n / 10**6 if n < 2**96 else None, n < 2**96) for i, n in enumerate(numbers)]
     assert "rlike" not in plan(catalog.QUERIES["trades_from_logs"](spark, "/root/testdata/sf0.001"))
+
+
+def test_shots_are_not_paired_with_alarms(spark, monkeypatch):
+    """Alarms that follow each other are looked up; where some outlast later ones, or start together, the result is that of all pairs."""
+    draw = random.Random(7)
+
+    def taken(alarms, shots, grace):
+        got = {}
+        for g, n, t in shots:
+            held = [(t > b, -a, i, t - a) for h, i, a, b in alarms if g is not None and h == g and a < t <= b + grace]
+            got[n] = min(held)[2:] if held else (None, None)
+        return sorted(((n, *v) for n, v in got.items()), key=str)
+
+    def scored(alarms, shots, grace):
+        a = spark.createDataFrame(alarms, "g string, alarm_id string, start_us long, end_us long").withColumn("tau", F.lit(0.5))
+        s = spark.createDataFrame(shots, "g string, shot_id long, ts_us long").withColumn("tau", F.lit(0.5))
+        return values(metrics.score_alarms(s, a, ["g"], grace, 50, ["tau"]), "shot_id", "alarm_id", "lead_us")
+
+    shots = [(draw.choice(["a", "b", "c", None]), n, draw.choice([None, *range(400)])) for n in range(300)]
+    shots = [(g, n, -1 if t is None else t) for g, n, t in shots]
+    mixed = [(draw.choice("ab"), f"{n:02}", t, t + draw.choice([0, 3, 20, 90])) for n, t in enumerate(draw.randrange(0, 400, 5) for _ in range(60))]
+    assert scored(mixed, shots, 15) == taken(mixed, shots, 15)
+    edges = sorted(draw.sample(range(400), 60))
+    series = [("a", f"{n:02}", a, b) for n, (a, b) in enumerate(zip(edges[::2], edges[1::2], strict=True))] + [("a", "99", edges[1], edges[2])]
+    monkeypatch.setattr(asof, "interval_join", None)  # alarms of a series need no pairs
+    assert scored(series, shots, 15) == taken(series, shots, 15)
