@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 import zipfile
@@ -10,6 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: About how many rows a task sorts or groups where ``dealt`` sets the number of tasks.
+TASK_ROWS = 250_000
+
 _shipped: set[str] = set()
 
 
@@ -49,3 +53,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def hinted(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` marked for broadcast if its counted rows allow it; else as it is, so that Spark shuffles it."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def dealt(df: DataFrame, n_rows: int, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in as many partitions as ``n_rows`` rows need at ``TASK_ROWS`` each.
+
+    Adaptive execution merges partitions up to a size in compressed bytes, which is millions of narrow rows, and a task that sorts them holds them all; a stated number stays as it is.
+    """
+    return df.repartition(max(1, math.ceil(n_rows / TASK_ROWS)), *keys)

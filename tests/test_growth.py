@@ -6,7 +6,8 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from gridmark.operators import asof, clips, machines, market, metrics, reviews, tables
+from gridmark import session
+from gridmark.operators import asof, clips, machines, market, metrics, reviews, tables, validate
 from gridmark.plans import catalog
 
 
@@ -123,3 +124,14 @@ def test_shots_are_not_paired_with_alarms(spark, monkeypatch):
     series = [("a", f"{n:02}", a, b) for n, (a, b) in enumerate(zip(edges[::2], edges[1::2], strict=True))] + [("a", "99", edges[1], edges[2])]
     monkeypatch.setattr(asof, "interval_join", None)  # alarms of a series need no pairs
     assert scored(series, shots, 15) == taken(series, shots, 15)
+
+
+def test_validation_is_dealt_out_by_rows(spark, monkeypatch):
+    """Twice the rows are twice the tasks: merged ones would sort all rows of a table, however small their bytes."""
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    frames = lambda n: spark.range(n).selectExpr("CAST(id % 7 AS STRING) AS match_id", "id AS frame_id", "1L AS period", "DOUBLE(id) AS timestamp_s", "'alive' AS ball_state", "'p' AS ball_carrier_id", "IF(id = 9, NULL, 'home') AS possession_team", "false AS set_play_phase")
+    for n in (400, 800):
+        rows = frames(n)
+        once, gone = validate.repeats(rows.union(rows.limit(1)), "frames", ["frame_id"], "repeats"), validate.strays(rows, "frames", rows.where("frame_id <> 11"), ["match_id", "frame_id"], "unknown")
+        assert [df.rdd.getNumPartitions() for df in (validate.frame_faults(rows), once, gone)] == [n // 100, n // 100 + 1, n // 50]
+        assert [values(df, "match_id", "sample") for df in (validate.frame_faults(rows), once, gone)] == [[("2", "9")], [("0", "0")], [("4", "11")]]
