@@ -4,11 +4,11 @@
    separators, spelt-out signs, missing prefixes).  A window pattern matches at every group of digits, so that a longer wrong span hides no right one.
 2. ``candidates`` proposes spans in each run: for cards each number of digits in ``SIZES``, for phones each end of a group, for IPv4 addresses four groups.
    ``free_candidates`` leaves those that touch no base span; it sorts both by place and carries the furthest end of a base span along.
-3. ``fit`` has no labels of its own, and doesn't learn the base patterns back: it writes base spans of a bounded sample in other ways (``_rewritten``: spelt-out
-   or spaced signs, other separators, no prefix, other numbering) and spoils them (broken check digits, octets over 255, dates, prose), in their own
-   surroundings.  What the generators propose there, and a bounded sample of the documents' other numbers, are the examples; the sign and the plus that define base
-   spans are no features.  Thresholds come from spans that the trees haven't seen: the lowest with the asked precision; a kind with fewer than ``LEAST_HELD_OUT``
-   of them takes that of all kinds together.
+3. ``fit`` has no labels of its own, and doesn't learn the base patterns back: it writes all base spans in other ways (``_rewritten``: spelt-out or spaced signs,
+   other separators, no prefix, other numbering) and spoils them (broken check digits, octets over 255, dates, prose), in their own surroundings.  What the
+   generators propose there, and all other numbers of the documents, are the examples; the sign and the plus that define base spans are no features.  Examples of
+   equal features are counted together, and weights set how much each kind of span, and the other numbers, count as a whole.  Thresholds come from spans that the
+   trees haven't seen: the lowest with the asked precision; a kind with fewer than ``LEAST_HELD_OUT`` of them takes that of all kinds together.
 4. ``added``: the candidates above their kind's threshold; of overlapping ones the likeliest stays, then the longest, and what it doesn't touch is judged anew.
 
 Positions are code points, ends exclusive: the pieces between the matches of a pattern have the lengths that the positions sum up.
@@ -22,6 +22,7 @@ any kind is in the documents nothing is learnt and nothing added.
 from __future__ import annotations
 
 import functools
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import Transformer
@@ -61,6 +62,8 @@ SIZES = {"card": (12, 19), "phone": (7, 16)}
 CUES = {"email": r"(?i)(?:e-?mail|contact|write)\W*\w*\W*$", "ip": r"(?i)(?:\bip|address|host|server)\W*\w*\W*$", "card": r"(?i)(?:card|visa|account|payment)\W*\w*\W*$", "phone": r"(?i)(?:call|tel|phone|mobile|fax)\W*\w*\W*$"}
 FEATURES = ("kind", "n_chars", "n_digits", "n_letters", "n_seps", "n_dots", "n_colons", "n_groups", "longest_group", "luhn", "octets", "spelt", "ending", "zero_first", "cue", "sign_before", "alnum_before", "alnum_after")
 CONTEXT, CHUNK, CELL, LEAST_HELD_OUT = 32, 256, 64, 20
+#: Rewritten spans that a task reads: they are short, so files of them would be merged into few tasks.
+TASK_SPANS = 20_000
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\x20?\.\x20?|$)){4}$"
 SPAN = "array<struct<start:int,end:int>>"
 RUN = "array<struct<kind:int,form:string,start:int,s:string,before:string,after:string>>"
@@ -248,27 +251,27 @@ def _rewritten(s: Column, kind: str) -> Column:
     return F.array(*[F.struct(x.alias("s"), F.length(F.regexp_replace(x, " 12/27$", "")).alias("size"), F.lit(g).alias("good")) for x, g in written])
 
 
-def examples(rows: DataFrame, most_spans: int = 300, most_others: int = 5000) -> DataFrame:
-    """The rows that ``fit`` learns from: FEATURES, y, and ``part``: whether the trees may see them.
+def examples(rows: DataFrame, spans_weigh: int = 300, others_weigh: int = 5000) -> DataFrame:
+    """The examples that ``fit`` learns from, all of them: FEATURES, y, ``part``: whether the trees may see them, their number ``n``, and their ``weight`` together.
 
-    ``most_spans``: about how many base spans of each kind are rewritten.  ``most_others``: about how many other numbers of the documents are taken.
+    ``spans_weigh``: at most what all base spans of a kind weigh.  ``others_weigh``: at most what all other numbers of the documents weigh.  A span or number weighs 1 at most.
     """
-    share = lambda h: F.pmod(h, F.lit(1 << 30)) / (1 << 30)
-    spans_ = rows.where(F.size("examples") > 0).select(F.explode("examples").alias("e")).select("e.*").where(F.length("s") <= CELL).withColumn("h", F.xxhash64("s"))
-    n = {r["kind"]: r["n"] for r in spans_.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    rate = F.element_at(F.array(*[F.lit(most_spans / max(n.get(k, 1), 1)) for k in range(len(KINDS))]), F.col("kind") + 1)
-    part = F.pmod(F.xxhash64("h", F.lit(2)), F.lit(10)) < 7
-    taken = staged(spans_.where(share(F.xxhash64("h", "before")) < rate), "base-spans")
-    by_kind = [taken.where(F.col("kind") == n).select(F.col("kind").alias("of"), "before", "after", part.alias("part"), F.explode(_rewritten(F.col("s"), k)).alias("w")) for n, k in enumerate(KINDS)]
-    written = staged(functools.reduce(DataFrame.union, by_kind).coalesce(4), "rewritten-spans")
-    made = written.select("of", "part", F.col("w.good").alias("good"), F.length("before").alias("t_start"), (F.length("before") + F.col("w.size")).alias("t_end"), F.concat("before", "w.s", F.coalesce("after", F.lit("")), F.lit(" ")).alias("text"))
-    made = proposed(_read(made, F.col("text")), "of", "part", "good", "t_start", "t_end")
+    spans_ = rows.where(F.size("examples") > 0).select(F.explode("examples").alias("e")).select("e.*").where(F.length("s") <= CELL)
+    part = F.pmod(F.xxhash64(F.xxhash64("s"), F.lit(2)), F.lit(10)) < 7
+    taken = staged(spans_.groupBy("kind", "s", "before", "after").agg(F.count("*").alias("n")).withColumn("part", part), "base-spans")
+    n = {r["kind"]: r["n"] for r in taken.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    by_kind = [taken.where(F.col("kind") == i).select(F.col("kind").alias("of"), "before", "after", "part", "n", F.explode(_rewritten(F.col("s"), k)).alias("w")) for i, k in enumerate(KINDS)]
+    written = staged(functools.reduce(DataFrame.union, by_kind), "rewritten-spans")
+    made = written.repartition(max(1, math.ceil(written.count() / TASK_SPANS))).select("of", "part", "n", F.col("w.good").alias("good"), F.length("before").alias("t_start"), (F.length("before") + F.col("w.size")).alias("t_end"), F.concat("before", "w.s", F.coalesce("after", F.lit("")), F.lit(" ")).alias("text"))
+    made = proposed(_read(made, F.col("text")), "of", "part", "n", "good", "t_start", "t_end")
     right = F.col("good") & (F.col("of") == F.col("kind")) & (F.col("start") == F.col("t_start")) & (F.col("end") == F.col("t_end"))
-    made = measured(made).select(*FEATURES, right.cast("double").alias("y"), "part")
+    made = measured(made).select("of", *FEATURES, right.cast("double").alias("y"), "part", "n")
     others = staged(free_candidates(rows), "other-candidates")
-    rest = others.where(share(F.xxhash64("th", "doc_id", "kind", "start", "end")) < most_others / max(others.count(), 1))
-    rest = measured(rest).where("NOT unsure").select(*FEATURES, F.lit(0.0).alias("y"), (F.pmod(F.xxhash64("s"), F.lit(10)) < 7).alias("part"))
-    return made.union(rest)
+    rest = measured(others).where("NOT unsure").select(F.lit(len(KINDS)).alias("of"), *FEATURES, F.lit(0.0).alias("y"), (F.pmod(F.xxhash64("s"), F.lit(10)) < 7).alias("part"), F.lit(1).cast("long").alias("n"))
+    whole = [spans_weigh / max(n.get(k, 1), 1) for k in range(len(KINDS))] + [others_weigh / max(others.count(), 1)]
+    each = F.element_at(F.array(*[F.lit(min(1.0, w)) for w in whole]), F.col("of") + 1)
+    alike = made.union(rest).withColumn("kind", F.col("kind").cast("double")).groupBy("of", "part", "y", *FEATURES).agg(F.sum("n").alias("n"))
+    return alike.withColumn("weight", F.col("n") * each).drop("of")
 
 
 @dataclass(frozen=True)
@@ -280,28 +283,29 @@ class Model:
     held_out: dict[str, tuple[float, float, int]]
 
 
-def fit(rows: DataFrame, *, precision: float = 0.99, most_spans: int = 300, most_others: int = 5000) -> Model | None:
-    """Trees and thresholds from staged ``found`` rows; None without a base span to rewrite."""
-    sample = staged(examples(rows, most_spans, most_others).coalesce(4), "examples")
-    n = {(r["part"], r["y"]): r["n"] for r in sample.groupBy("part", "y").agg(F.count("*").alias("n")).collect()}
+def fit(rows: DataFrame, *, precision: float = 0.99, spans_weigh: int = 300, others_weigh: int = 5000) -> Model | None:
+    """Trees and thresholds from staged ``found`` rows, all of them; None without a base span to rewrite."""
+    every = staged(examples(rows, spans_weigh, others_weigh), "examples")
+    n = {(r["part"], r["y"]): r["n"] for r in every.groupBy("part", "y").agg(F.count("*").alias("n")).collect()}
     if not n.get((True, 1.0)) or not n.get((True, 0.0)):
         return None
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="vector")
-    ready = assemble.transform(sample).select("part", "kind", "y", "vector")
-    trees = GBTClassifier(featuresCol="vector", labelCol="y", maxIter=15, maxDepth=5, stepSize=0.3, seed=3).fit(ready.where("part"))
-    share = trees.transform(ready.where("NOT part")).select("kind", "y", F.floor(vector_to_array("probability")[1] * 100).cast("int").alias("bin"))
-    cells = [(int(r["kind"]), r["bin"], r["good"], r["n"]) for r in share.groupBy("kind", "bin").agg(F.sum("y").alias("good"), F.count("*").alias("n")).collect()]
+    ready = assemble.transform(every).select("part", "kind", "y", "vector", "n", "weight")
+    trees = GBTClassifier(featuresCol="vector", labelCol="y", weightCol="weight", maxIter=15, maxDepth=5, stepSize=0.3, seed=3).fit(ready.where("part"))
+    share = trees.transform(ready.where("NOT part")).select("kind", "y", "n", "weight", F.floor(vector_to_array("probability")[1] * 100).cast("int").alias("bin"))
+    sums = [F.sum(F.col("y") * F.col("weight")).alias("good"), F.sum("weight").alias("all"), F.sum(F.col("y") * F.col("n")).alias("n")]
+    cells = [(int(r["kind"]), r["bin"], r["good"], r["all"], r["n"]) for r in share.groupBy("kind", "bin").agg(*sums).collect()]
 
     def chosen(kinds: set[int]) -> tuple[float, float, float, int]:
-        """The threshold, its precision and recall, and how many rewritten spans there are."""
+        """The threshold, its precision and recall by weight, and how many rewritten spans there are."""
         own = [c for c in cells if c[0] in kinds]
-        right = sum(c[2] for c in own)
-        best, rate, recall, good, taken = 1.0, 1.0, 0.0, 0.0, 0
+        right, number = sum(c[2] for c in own), sum(c[4] for c in own)
+        best, rate, recall, good, taken = 1.0, 1.0, 0.0, 0.0, 0.0
         for at in range(100, 49, -1):
             good, taken = good + sum(c[2] for c in own if c[1] == at), taken + sum(c[3] for c in own if c[1] == at)
             if taken and good / taken >= precision:
-                best, rate, recall = at / 100, good / taken, good / max(right, 1)
-        return best, rate, recall, int(right)
+                best, rate, recall = at / 100, good / taken, good / (right or 1)
+        return best, rate, recall, int(number)
 
     own, together = [chosen({k}) for k in range(len(KINDS))], chosen(set(range(len(KINDS))))
     return Model((assemble, trees), tuple(c[0] if c[3] >= LEAST_HELD_OUT else together[0] for c in own), {k: c[1:] for k, c in zip(KINDS, own, strict=True)})

@@ -527,6 +527,21 @@ def test_personal_data_adds_likely_spans(spark):
     assert all(got[i]["n_card"] == 0 and "card:5:24" in got[i]["spans"] for i in range(150, 155))
 
 
+def test_personal_data_learns_from_all_rows(spark):
+    """Each base span and each other number is an example, however many there are; weights alone are bounded, and equal examples are one row."""
+    texts = [f"write a{i % 400}@b{i}.org or call +49 30 {1000000 + i} about {10**13 + 7919 * i} and {3 * 10**13 + 104729 * i} today" for i in range(900)]
+    rows = personal_data.staged(personal_data.found(frame(spark, texts)), "found")
+    each = personal_data.staged(personal_data.examples(rows), "examples")
+    many = {r["kind"]: r for r in each.where("y = 1").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("weight").alias("w")).collect()}
+    assert many[0]["n"] >= 900 * 5 and many[3]["n"] >= 900 * 2
+    others = personal_data.free_candidates(rows)
+    apart = each.where("y = 0").agg(F.sum("n").alias("n")).first()["n"]
+    assert others.count() > 5000 and apart >= personal_data.measured(others).where("NOT unsure").count()
+    assert many[0]["w"] <= 300 * 6 and each.count() < each.agg(F.sum("n")).first()[0]
+    model = personal_data.fit(rows)
+    assert model.held_out["email"][2] >= 900 and model.held_out["email"][0] >= 0.99
+
+
 def proposed(spark, texts, kind):
     """The wide candidates (start, end) of a kind for each text."""
     out = {i: [] for i in range(len(texts))}
