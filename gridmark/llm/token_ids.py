@@ -26,8 +26,8 @@ import json
 import os
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -47,8 +47,8 @@ ESCAPE = 0
 BLOCK_IDS = 1 << 16
 SCHEMA = "part int, block int, ids_before long, n_ids int, doc_ids array<long>, doc_ends array<long>, words binary, escapes binary"
 ARROW_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int64())), ("words", pa.binary()), ("escapes", pa.binary())])
-#: Words that a Python worker remembers before it starts anew, at about 150 bytes each 60 MB; longer pieces count as no words.
-MOST_WORDS, LONGEST_PIECE = 400_000, 48
+#: Bytes of words and their ids that a Python worker remembers before it drops those used least, about 45 a word; longer pieces count as no words.
+MOST_BYTES, LONGEST_PIECE = 24 << 20, 48
 #: Signs after a word that the tokenizer always cuts off; an apostrophe may start a contraction.
 TAIL = ".,;:!?%$&*#"
 
@@ -72,10 +72,11 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         top = widest[reach]
         fits = np.maximum(top[: len(ids)], top[count - reach : count - reach + len(ids)]) < k
         best[fits] = k
-    step = np.concatenate([[1], COUNTS])[best].tolist()
-    at, starts = 0, []
-    while at < len(step):
-        starts.append(at)
+    step = np.concatenate([[1], COUNTS]).astype(np.uint8)[best].tobytes()
+    at, n, starts = 0, len(ids), []
+    add = starts.append
+    while at < n:
+        add(at)
         at += step[at]
     starts = np.array(starts)
     chosen = best[starts]
@@ -113,7 +114,7 @@ class Pieces:
     """Ids of texts.
 
     A vocabulary whose tokenizer drops white space and marks ends of words has the ids of a text's pieces (between blanks and line feeds) in
-    order.  Arrow finds the different pieces of a batch, so that Python sees each of them once.  A piece of letters with ``TAIL`` signs after it is cut
+    order.  Arrow finds the different pieces of a batch, so that each of them is looked up once, in a memory that Arrow holds as well.  A piece of letters with ``TAIL`` signs after it is cut
     there, and its letters lower-cased, so that a word is encoded once however it is written and whatever follows it; new words are encoded as
     one text and cut at the ids that end a word.  Other vocabularies encode whole texts.
     """
@@ -133,38 +134,68 @@ class Pieces:
         self.forget()
 
     def forget(self) -> None:
-        """Empties the memory of words: ``place`` of a word, where its ids begin in ``flat``, and how many they are.  Place 0 is the empty word."""
-        self.place, self.flat, self.ends = {"": 0}, array("I"), array("q", [0])
+        """Empties the memory: the words, their ids one after the other, where those of each word end, how often batches had the word.  Place 0 is the empty word."""
+        self.words, self.flat = pa.array([""], pa.large_string()), np.empty(0, np.uint32)
+        self.ends, self.uses = np.zeros(1, np.int64), np.ones(1, np.int32)
+
+    def sizes(self) -> np.ndarray:
+        """About how many bytes each remembered word takes."""
+        return pc.binary_length(self.words).to_numpy() + 4 * np.diff(self.ends, prepend=0) + 20
+
+    def trim(self) -> None:
+        """Drops the words that the fewest batches had, the oldest first, once all take ``MOST_BYTES``; half of that stays, and uses count half from then on."""
+        sizes = self.sizes()
+        if sizes.sum() <= MOST_BYTES:
+            return
+        order = np.lexsort((-np.arange(len(sizes)), -self.uses))
+        stay = np.sort(order[np.cumsum(sizes[order]) <= MOST_BYTES // 2])
+        stay = np.append(0, stay[stay > 0])
+        self.flat, ends = gathered(self.flat, np.append(0, self.ends)[stay], self.ends[stay])
+        self.words, self.ends, self.uses = self.words.take(pa.array(stay)), ends, self.uses[stay] // 2
 
     def encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def remember(self, words: list[str], whole: list[str]) -> None:
+    def remember(self, words: pa.Array, whole: pa.Array) -> None:
         """Adds ids: of words that are letters only, many as one text, and of other pieces, each as a text."""
+        ids: list[np.ndarray] = [self.flat]
+        sizes: list[np.ndarray] = []
+
+        def one_by_one(texts: list[str]) -> None:
+            for i in range(0, len(texts), 1000):
+                each = self.encoded(texts[i : i + 1000])
+                ids.append(np.fromiter(chain.from_iterable(each), np.uint32))
+                sizes.append(np.fromiter(map(len, each), np.int64))
+
         for i in range(0, len(words), 5000):
             part = words[i : i + 5000]
-            ids = self.encoded([" ".join(part)])[0]
-            cuts = np.flatnonzero(self.word_ends[np.array(ids, np.int64)]) + 1
+            joined = pc.binary_join(pa.ListArray.from_arrays([0, len(part)], part), pa.scalar(" ", pa.large_string()))
+            found = np.array(self.encoded(joined.to_pylist())[0], np.uint32)
+            cuts = np.flatnonzero(self.word_ends[found]) + 1
             if len(cuts) == len(part):
-                self.place.update(zip(part, range(len(self.ends), len(self.ends) + len(part)), strict=True))
-                self.ends.frombytes((cuts + len(self.flat)).astype(np.int64).tobytes())
-                self.flat.extend(ids)
+                ids.append(found)
+                sizes.append(np.diff(cuts, prepend=0))
             else:
-                whole = whole + part
-        for i in range(0, len(whole), 1000):
-            for word, ids in zip(whole[i : i + 1000], self.encoded(whole[i : i + 1000]), strict=True):
-                self.place[word] = len(self.ends)
-                self.flat.extend(ids)
-                self.ends.append(len(self.flat))
+                one_by_one(part.to_pylist())
+        one_by_one(whole.to_pylist())
+        self.words = pa.concat_arrays([self.words, words, whole])
+        self.flat = np.concatenate(ids)
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes)))
+        self.uses = np.append(self.uses, np.zeros(len(words) + len(whole), np.int32))
 
     def places(self, words: pa.Array, of_letters: np.ndarray) -> np.ndarray:
         """The places of different words; those that aren't known are encoded first."""
-        names = words.to_pylist()
-        known = self.place
-        new = [i for i, w in enumerate(names) if w not in known]
-        if new:
-            self.remember([names[i] for i in new if of_letters[i]], [names[i] for i in new if not of_letters[i]])
-        return np.fromiter(map(known.__getitem__, names), np.int64, len(names))
+        at = pc.index_in(self.words, value_set=words)
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        place = np.full(len(words), -1, np.int64)
+        place[at.drop_null().to_numpy()] = np.flatnonzero(known)
+        new = place < 0
+        if new.any():
+            letters, others = np.flatnonzero(new & of_letters), np.flatnonzero(new & ~of_letters)
+            place[np.append(letters, others)] = np.arange(len(self.words), len(self.words) + len(letters) + len(others))
+            self.remember(words.take(pa.array(letters)), words.take(pa.array(others)))
+        self.uses[place] += 1
+        return place
 
     def ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by ``end``, and where each text's ids stop."""
@@ -172,11 +203,10 @@ class Pieces:
             each = self.encoded(["" if t is None else t for t in texts.to_pylist()])
             stops = np.cumsum([len(x) + 1 for x in each], dtype=np.int64)
             return np.fromiter((i for x in each for i in (*x, end)), np.uint32, int(stops[-1]) if len(stops) else 0), stops
-        if len(self.place) > MOST_WORDS or len(self.flat) > 16 * MOST_WORDS:
-            self.forget()
+        self.trim()
         bounds, data = as_bytes(texts)
         cuts, found = pieces(bounds, data, (data == 32) | (data == 10))
-        own = pc.ascii_ltrim(found.dictionary, characters=" \n")
+        own = pc.ascii_ltrim(found.dictionary, characters=" \n").cast(pa.large_string())
         core = pc.utf8_rtrim(own, characters=TAIL)
         letters = pc.and_(pc.utf8_is_alpha(core), pc.less_equal(pc.binary_length(own), LONGEST_PIECE))
         ascii_letters = pc.and_(letters, pc.string_is_ascii(core))
@@ -185,15 +215,17 @@ class Pieces:
         number = word.indices.to_numpy(zero_copy_only=False)
         is_letters = letters.to_numpy(zero_copy_only=False).astype(bool)
         of_letters[number[is_letters]] = True
-        head = self.places(word.dictionary, of_letters)[number]
         tail_size = np.where(is_letters, pc.binary_length(own).to_numpy(zero_copy_only=False) - pc.binary_length(core).to_numpy(zero_copy_only=False), 0)
         tailed = np.flatnonzero(tail_size)
-        tails = pa.array([s[len(s) - n :] for s, n in zip(own.take(pa.array(tailed)).to_pylist(), tail_size[tailed].tolist(), strict=True)], pa.string()).dictionary_encode()
-        tail = np.zeros(len(own), np.int64)
-        tail[tailed] = self.places(tails.dictionary, np.zeros(len(tails.dictionary), bool))[tails.indices.to_numpy(zero_copy_only=False)]
-        ends = np.frombuffer(self.ends, np.int64)
-        flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.empty(0, np.uint32)
-        kinds, kind_ends = gathered(flat, np.concatenate([[0], ends])[np.stack([head, tail], 1).ravel()], ends[np.stack([head, tail], 1).ravel()])
+        own_bounds, own_data = as_bytes(own)
+        tail_data, tail_ends = gathered(own_data, own_bounds[1:][tailed] - tail_size[tailed], own_bounds[1:][tailed])
+        tails = pa.Array.from_buffers(pa.large_string(), len(tailed), [None, pa.py_buffer(np.append(0, tail_ends)), pa.py_buffer(tail_data)]).dictionary_encode()
+        every = pa.concat_arrays([word.dictionary, tails.dictionary]).dictionary_encode()
+        place = self.places(every.dictionary, np.append(of_letters, np.zeros(len(every.dictionary) - len(of_letters), bool)))[every.indices.to_numpy(zero_copy_only=False)]
+        head, tail = place[number], np.zeros(len(own), np.int64)
+        tail[tailed] = place[len(of_letters) :][tails.indices.to_numpy(zero_copy_only=False)]
+        both = np.stack([head, tail], 1).ravel()
+        kinds, kind_ends = gathered(self.flat, np.append(0, self.ends)[both], self.ends[both])
         kind_ends = kind_ends[1::2]
         kind_starts = np.concatenate([[0], kind_ends])[:-1]
         order = found.indices.to_numpy(zero_copy_only=False)
@@ -204,7 +236,6 @@ class Pieces:
         text_of = np.ones(len(out), bool)
         text_of[stops - 1] = False
         out[text_of] = gathered(kinds, kind_starts[order], kind_ends[order])[0]
-        del flat, ends  # else the memory couldn't grow
         return out, stops
 
 

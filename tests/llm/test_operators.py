@@ -303,6 +303,26 @@ def test_token_ids(spark):
     assert twice.count() == len(texts) + 2 and twice.agg(F.sum("n_tokens")).first()[0] == at + 2 * got[3]["n_tokens"]
 
 
+def test_a_full_memory_keeps_common_words(monkeypatch):
+    """Rare words come and go; those that each batch has are encoded once, and ids are those of the library all the time."""
+    monkeypatch.setattr(token_ids, "MOST_WORDS", 600, raising=False)
+    monkeypatch.setattr(token_ids, "MOST_BYTES", 600 * 45, raising=False)
+    p = token_ids.Pieces(public_tokenizers.path("word_bpe_49k.json"))
+    seen, encoded = Counter(), p.encoded
+    monkeypatch.setattr(p, "encoded", lambda texts: (seen.update(w for t in texts for w in t.split(" ")), encoded(texts))[1])
+    letters = "abcdefghijklmnopqrst"
+    common = [f"common{a}{b}" for a in letters for b in letters[:5]]
+    for batch in range(12):
+        rare = [f"rare{letters[batch]}{a}{b}" for a in letters for b in letters[:10]]
+        texts = [" ".join(common), None, "", " ".join(w + "?!." for w in rare) + f"\n{batch} {'=' * 300} ?!. " + common[batch].upper()]
+        want = [i for t in texts for i in (*p.tokenizer.encode(t or "", add_special_tokens=False).ids, 2)]
+        ids, stops = p.ids(pa.array(texts, pa.string()), 2)
+        assert ids.tolist() == want and stops[-1] == len(want), batch
+    assert {seen[w] for w in common} == {1}
+    for texts in ([None, ""], ["", " \n "], ["!?"], []):
+        assert p.ids(pa.array(texts, pa.string()), 2)[0].tolist() == [i for t in texts for i in (*p.tokenizer.encode(t or "", add_special_tokens=False).ids, 2)]
+
+
 def test_other_vocabularies_keep_their_spaces(spark):
     p = token_ids.Pieces(public_tokenizers.path("byte_bpe_50k.json"))
     assert p.ids(pa.array(["a  b\n c"]), 7)[0].tolist() == [*p.tokenizer.encode("a  b\n c", add_special_tokens=False).ids, 7]
