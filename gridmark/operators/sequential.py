@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -82,6 +83,49 @@ def along(df: DataFrame, keys: list[str], order: list[str | Column], reads: list
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out_schema)
 
 
+def groups(df: DataFrame, keys: list[str], order: list[str | Column], work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``work(rows, starts)`` yields for whole groups of ``keys`` in ``order``: many small ones together, a large one by itself.  A task holds a group and a batch."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            if held[0].select(keys).slice(0, 1).to_pylist() == b.select(keys).slice(b.num_rows - 1).to_pylist():
+                continue  # the group may go on
+            rows = pa.Table.from_batches(held).combine_chunks()
+            starts = np.flatnonzero(changes(*[codes(rows.column(k)) for k in keys]))
+            if len(starts) > 1:
+                yield from work(rows.slice(0, starts[-1]), starts[:-1])
+            held = rows.slice(starts[-1]).to_batches()
+        if held:
+            yield from work(pa.Table.from_batches(held).combine_chunks(), np.zeros(1, np.int64))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Equal numbers for equal values; null is a value."""
+    return column.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before, and the first row."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 def swept(df: DataFrame, name: str, values: list[float]) -> DataFrame:
     """Each row once for each parameter value, in the column ``name``: with it as a further key one job runs the whole sweep."""
     return df.withColumn(name, F.explode(F.array(*[F.lit(float(v)) for v in values])))

@@ -45,11 +45,15 @@ def team_shape(objects: DataFrame, on: list[str], halfway: float = 0.0) -> DataF
 def mutual_nearest(a: DataFrame, b: DataFrame, on: list[str], gate: float) -> DataFrame:
     """(on, a_id, b_id, d): pairs within the gate of which each is the other's nearest.  ``a``, ``b``: (on, id, x, y).
 
-    In a crowd this can leave more rows unmatched than an optimal assignment would.
+    In a crowd this can leave more rows unmatched than an optimal assignment would.  All pairs of a group are made: for the few of a frame; ``crowds.mutual_nearest`` is for more.
     """
     pairs = a.select(*on, F.col("id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay")).join(b.select(*on, F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by")), on)
-    pairs = pairs.withColumn("d", apart(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).where(F.col("d") <= gate)
-    first = {s: F.row_number().over(Window.partitionBy(*on, s).orderBy("d", "a_id", "b_id")) for s in ("a_id", "b_id")}
+    return mutual(pairs.withColumn("d", apart(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).where(F.col("d") <= gate), on)
+
+
+def mutual(pairs: DataFrame, on: list[str]) -> DataFrame:
+    """The pairs (on, a_id, b_id, d) that come first for both, by d, a_id and b_id."""
+    first = {s: F.row_number().over(Window.partitionBy(*on, s).orderBy("d", F.col("a_id").asc_nulls_last(), F.col("b_id").asc_nulls_last())) for s in ("a_id", "b_id")}
     return pairs.withColumns({"_a": first["a_id"], "_b": first["b_id"]}).where("_a = 1 AND _b = 1").select(*on, "a_id", "b_id", "d")
 
 

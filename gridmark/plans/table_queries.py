@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridmark.functions import geometry as G
 from gridmark.functions import scalars, timing
-from gridmark.operators import market, reviews, tables, validate, windows
+from gridmark.operators import crowds, market, reviews, tables, validate, windows
 from gridmark.plans.registry import HOUR, KEYS, bound, exact, query, table
 
 
@@ -68,7 +68,7 @@ p AS (SELECT match_id, day, a_id, b_id, sqrt((ax - bx) ** 2 + (ay - oy) ** 2) AS
 n AS (SELECT *, row_number() OVER (PARTITION BY match_id, day, a_id ORDER BY d, a_id, b_id) AS i, row_number() OVER (PARTITION BY match_id, day, b_id ORDER BY d, a_id, b_id) AS j FROM g) SELECT match_id, day, a_id, b_id, round(d, 6) AS d FROM n WHERE i = 1 AND j = 1""")
 def mutual_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = exact(bound(spark, sf_dir)).select("match_id", F.floor(F.col("ts_us") / (24 * HOUR)).alias("day"), F.col("event_id").alias("id"), "x", "y", "event_type")
-    return tables.mutual_nearest(k.where("event_type = 'view'"), k.where("event_type = 'click'"), ["match_id", "day"], 20).withColumn("d", F.round("d", 6))
+    return crowds.mutual_nearest(k.where("event_type = 'view'"), k.where("event_type = 'click'"), ["match_id", "day"], 20).withColumn("d", F.round("d", 6))
 
 
 @query("""WITH {BOUND} SELECT event_id, round(sqrt((52.5 - x) ** 2 + y ** 2), 6) AS distance, round(atan2(abs((52.5 - x) * (-3.66 - y) - (52.5 - x) * (3.66 - y)), (52.5 - x) ** 2 + (3.66 - y) * (-3.66 - y)), 6) AS angle,

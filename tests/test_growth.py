@@ -7,7 +7,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from gridmark import session
-from gridmark.operators import asof, clips, machines, market, metrics, reviews, tables, validate
+from gridmark.operators import asof, clips, crowds, machines, market, metrics, reviews, tables, validate
 from gridmark.plans import catalog
 
 
@@ -135,3 +135,55 @@ def test_validation_is_dealt_out_by_rows(spark, monkeypatch):
         once, gone = validate.repeats(rows.union(rows.limit(1)), "frames", ["frame_id"], "repeats"), validate.strays(rows, "frames", rows.where("frame_id <> 11"), ["match_id", "frame_id"], "unknown")
         assert [df.rdd.getNumPartitions() for df in (validate.frame_faults(rows), once, gone)] == [n // 100, n // 100 + 1, n // 50]
         assert [values(df, "match_id", "sample") for df in (validate.frame_faults(rows), once, gone)] == [[("2", "9")], [("0", "0")], [("4", "11")]]
+
+
+def most_rows(spark, df):
+    """The rows of ``df``, and the most that any step of its plan put out."""
+    rows = df.collect()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    run = store.executionsList().last().executionId()
+    made, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+    metrics = [m.apply(i) for m in (nodes.apply(n).metrics() for n in range(nodes.size())) for i in range(m.size())]
+    counts = [made.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+    return rows, max(int(c.get().replace(",", "")) for c in counts if c.isDefined())
+
+
+def nearest_of_all_pairs(a, b, gate, unit=1):
+    """The pairs that come first for both of those within the gate, by d, a's id and b's id; y in parts of a unit."""
+    d = sorted((d, i, j) for i, x, y in a for j, u, v in b if (d := math.sqrt((x - u) * (x - u) + (y - v) / unit * ((y - v) / unit))) <= gate)
+    of_a, of_b = {}, {}
+    for p in d:
+        of_a.setdefault(p[1], p)
+        of_b.setdefault(p[2], p)
+    return sorted((i, j, d) for d, i, j in of_a.values() if of_b[j] == (d, i, j))
+
+
+def test_mutual_nearest_makes_no_pairs(spark, tmp_path):
+    """One match and day of 600 views and 600 clicks, that is 360,000 pairs: no step puts out more than a few times the rows."""
+    n, draw = 1200, random.Random(8)
+    places = [(i, draw.randrange(10500), draw.randrange(100)) for i in range(n)]
+    events = spark.createDataFrame([(i, 64, "view" if i % 2 else "click", v / 100, f'{{"k": {k}}}') for i, v, k in places], "event_id long, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.expr("timestamp_ntz'2024-01-03 04:05:06'")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    rows, most = most_rows(spark, catalog.QUERIES["mutual_nearest"](spark, str(tmp_path)))
+    assert most <= 3 * n
+    sides = [[(i, v / 100 % 105 - 52.5, (k - 50) * 68) for i, v, k in places if i % 2 == s] for s in (1, 0)]
+    assert sorted((r["a_id"], r["b_id"]) for r in rows) == [p[:2] for p in nearest_of_all_pairs(*sides, 20, 100)]
+
+
+def test_crowds_by_trees_and_blocks(spark, monkeypatch):
+    """Lattices with many ties and equal places, whole and in blocks, with trees and without: the pairs of ``tables.mutual_nearest``."""
+    draw = random.Random(9)
+    side = lambda s, sizes: [(g, f"{s}{i:03}", float(draw.randrange(30)), draw.randrange(30) * 0.68) for g, n in sizes.items() for i in draw.sample(range(900), n)]
+    made = lambda rows: spark.createDataFrame([*rows, (None, "z", 0.0, 0.0), ("a", "y", None, 0.0), ("a", "x", math.nan, 0.0), ("a", "w", math.inf, 0.0)], "g string, id string, x double, y double").withColumn("y", F.round("y", 2).cast("decimal(10,2)"))
+    a, b = made(side("p", {"a": 200, "b": 3, "c": 40, "e": 90})), made(side("q", {"a": 170, "b": 4, "d": 60, "e": 2}))
+    want = values(tables.mutual_nearest(a, b, ["g"], 8.0), "g", "a_id", "b_id", "d")
+    assert {g for g, *_ in want} == {"a", "b", "e"}
+    for few, block in ((crowds.FEW, 1000), (0, 1000), (0, 30), (crowds.FEW, 1)):
+        monkeypatch.setattr(crowds, "FEW", few)
+        assert values(crowds.mutual_nearest(a, b, ["g"], 8.0, block), "g", "a_id", "b_id", "d") == want, (few, block)
+    spots = lambda n: [(draw.randrange(n), draw.random(), draw.random()) for _ in range(300)]
+    p, q = spots(120), spots(90)  # ids that stand at several places
+    frame = lambda rows: spark.createDataFrame([(1, *r) for r in rows], "g int, id long, x double, y double")
+    for block in (1000, 70):
+        assert values(crowds.mutual_nearest(frame(p), frame(q), ["g"], 0.05, block), "a_id", "b_id", "d") == sorted(nearest_of_all_pairs(p, q, 0.05), key=str)
