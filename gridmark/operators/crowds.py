@@ -126,27 +126,24 @@ class Places:
         waiting = [(0, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while waiting:
             level, i, j = waiting.pop()
+            if 0 < level <= t.depth:
+                i, j = np.repeat(i, 2), np.column_stack((2 * j, 2 * j + 1)).ravel()
+            if 0 < level <= q.depth:
+                i, j = np.concatenate((2 * i, 2 * i + 1)), np.concatenate((j, j))
+                order = np.argsort(i, kind="stable")
+                i, j = i[order], j[order]
             at, to = q.levels[min(level, q.depth)], t.levels[min(level, t.depth)]
             gap, span = zip(*[(np.maximum(np.maximum(to[lo][j] - at[hi][i], at[lo][i] - to[hi][j]), 0.0), np.maximum(to[hi][j] - at[lo][i], at[hi][i] - to[lo][j])) for lo, hi in ((1, 2), (3, 4))], strict=True)
             heads = np.flatnonzero(sequential.changes(i))
             reach = np.minimum(np.minimum.reduceat(self.apart(*span), heads), self.gate)
             kept = self.apart(*gap) <= np.repeat(reach, np.diff(np.append(heads, len(i))))
             i, j = i[kept], j[kept]
-            if not len(i):
-                continue
-            if level == max(q.depth, t.depth):
+            if level < max(q.depth, t.depth):
+                heads = np.flatnonzero(sequential.changes(i))
+                cuts = heads[sequential.changes(heads // BOXES)]
+                waiting += [(level + 1, i[a:b], j[a:b]) for a, b in zip(cuts, np.append(cuts, len(i))[1:], strict=True)]
+            elif len(i):
                 yield at[0][i], at[0][i + 1], to[0][j], to[0][j + 1]
-                continue
-            middle = np.searchsorted(i, i[len(i) // 2]) or np.searchsorted(i, i[0], "right")
-            halves = [(i[:middle], j[:middle]), (i[middle:], j[middle:])] if len(i) > BOXES and middle < len(i) else [(i, j)]
-            for i, j in halves:
-                if level < t.depth:
-                    i, j = np.repeat(i, 2), np.column_stack((2 * j, 2 * j + 1)).ravel()
-                if level < q.depth:
-                    i, j = np.concatenate((2 * i, 2 * i + 1)), np.concatenate((j, j))
-                    order = np.argsort(i, kind="stable")
-                    i, j = i[order], j[order]
-                waiting.append((level + 1, i, j))
 
     def look_up(self, start: np.ndarray, end: np.ndarray, to_start: np.ndarray, to_end: np.ndarray) -> None:
         """Each place from ``start`` to ``end`` gets its nearest of those from ``to_start`` to ``to_end``; ranges of one start stand together."""
